@@ -15,6 +15,18 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, _table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_warc": op2_warc}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_quality_classifier, op6_url_filters)}
 
 ORACLES: dict[str, str] = {}
