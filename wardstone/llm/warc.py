@@ -54,7 +54,7 @@ def _clean(value: str) -> str:
 
 
 def record_bytes(row: dict) -> bytes:
-    """One record, plain. Responses hold an HTTP response around the payload, revisits none."""
+    """One record, plain. Responses hold an HTTP response around the payload, revisits none. payload_digest is base32 or 40 hex digits; the record has base32."""
     payload = row.get("payload") or b""
     kind = row["record_type"]
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {_DATE}"]
@@ -63,7 +63,10 @@ def record_bytes(row: dict) -> bytes:
             lines.append(f"{name}: <{_clean(row[key])}>")
     if row.get("target_uri") is not None:
         lines.append(f"WARC-Target-URI: {_clean(row['target_uri'])}")
-    lines.append(f"WARC-Payload-Digest: sha1:{row.get('payload_digest') or digest(payload)}")
+    found = row.get("payload_digest") or digest(payload)
+    if len(found) == 40:
+        found = base64.b32encode(bytes.fromhex(found)).decode()
+    lines.append(f"WARC-Payload-Digest: sha1:{found}")
     lines.append(f"WARC-Payload-Length: {len(payload) if row.get('payload_bytes') is None else row['payload_bytes']}")
     if kind == "revisit":
         lines.append(f"WARC-Profile: {_REVISIT}")
@@ -201,6 +204,7 @@ class _Split(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.payload, self.batch = options["path"], str(options.get("payload", "true")).lower() != "false", int(options.get("batchBytes", 4 << 20))
+        self.verify = str(options.get("verify", "false")).lower() == "true"
         self.filters: list = []
 
     def pushFilters(self, filters):
@@ -254,6 +258,8 @@ class WarcReader(DataSourceReader):
                         row["content_type"] = parse_headers(http).get("content-type")
                     else:
                         row["payload"] = block
+                    if self.verify and row["record_type"] == "response":
+                        row["payload_bytes"], row["payload_digest"] = len(row["payload"] or b""), digest(row["payload"] or b"")
                 rows.append(row)
                 held += len(block) + 500
                 if held >= self.batch:
@@ -305,7 +311,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """Options: path; payload (read payloads, default true); compression (gzip or none); splitBytes; batchBytes."""
+    """Options: path; payload (read payloads, default true); verify (length and digest of responses from the payload read, default false); compression (gzip or none); splitBytes; batchBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -350,13 +356,6 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return back.withColumn("keeper", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper")), F.col("keeper")))
 
 
-def _base32(sha1):
-    """Base32 of 20 bytes: 32 digits of 5 bits each, read from 160 bits."""
-    fives = lambda c, n, f: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: f(F.substring(c, F.lit(1) + i * 5, F.lit(5)))), "")
-    bits = fives(F.hex(sha1), 8, lambda x: F.lpad(F.conv(x, 16, 2), 20, "0"))
-    return fives(bits, 32, lambda x: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(x, 2, 10).cast("int") + 1, F.lit(1)))
-
-
 def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0, **options) -> None:
     """Write a response or revisit record for each page."""
     r = revisits(pages, min_bytes)
@@ -365,27 +364,23 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0, **options) ->
     write_warc(
         r.select(
             F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), urn(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"), urn(F.col("keeper")).alias("refers_to"),
-            _base32(F.col("payload_sha1")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(~revisit, F.col("payload")).alias("payload"),
+            F.hex("payload_sha1").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(~revisit, F.col("payload")).alias("payload"),
         ),
         path, **options,
     )
 
 
 def pages_of(records: DataFrame) -> DataFrame:
-    """What the archives hold of each page. A response's length and digest come from the payload that was read, a revisit's from its headers."""
+    """What the archives hold of each page, one row per response or revisit."""
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)")
-    read = F.col("record_type") == "response"
-    return records.where(F.col("record_type").isin("response", "revisit")).select(
-        page("record_id").alias("page_id"), F.when(read, F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(read, _base32(F.unhex(F.sha1(F.coalesce(F.col("payload"), F.lit(bytearray())))))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        F.col("record_type"), page("refers_to").alias("refers_to"), F.col("target_uri").alias("url"),
-    )
+    return records.where(F.col("record_type").isin("response", "revisit")).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), F.col("target_uri").alias("url"))
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """Archives of pages, read again. A response's length and digest come from the payload that was read, a revisit's from its headers."""
     path = new_dir(spark, "warc")
     archive_pages(pages, path, min_bytes)
-    return pages_of(read_warc(spark, path))
+    return pages_of(read_warc(spark, path, verify="true"))
 
 
 def scan_bytes(data: bytes) -> list[dict]:
