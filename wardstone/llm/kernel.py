@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _R = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 2 << 20
+_CHUNK = 1 << 19
 _WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _WORD[_a:_b] = True

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, written
+from .common import slices, small_batches, written
 from .kernel import shingles, words
 
 _CLASS = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 sentence marks, 5 other signs, 6 not ASCII, 7 line end
@@ -80,6 +80,7 @@ def held_out(doc_id: Column) -> Column:
 
 def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id, x (statistics), one row per document."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -33,6 +33,12 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -42,6 +48,6 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_quality_classifier, op4_document_fingerprints, op6_url_filters, op8_pii)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_quality_classifier, op4_document_fingerprints, op6_url_filters, op7_sentencepiece, op8_pii)}
 
 ORACLES: dict[str, str] = {}
