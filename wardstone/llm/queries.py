@@ -27,6 +27,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_matches
+
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge_urls
 
@@ -48,6 +54,6 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_quality_classifier, op4_document_fingerprints, op6_url_filters, op7_sentencepiece, op8_pii)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_quality_classifier, op4_document_fingerprints, op5_license_scans, op6_url_filters, op7_sentencepiece, op8_pii)}
 
 ORACLES: dict[str, str] = {}
