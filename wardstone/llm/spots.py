@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, written
+from .common import partitions, slices, small_batches
 from .kernel import _POW, Words, mix, row_sets, shingles, word_hash, words
 
 #: Frequent function words of English, German, French and Spanish.
@@ -133,6 +133,7 @@ def edited_fingerprints(docs: DataFrame, anchors: list[str] | None = None, chain
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     held = anchor_hashes(ANCHORS if anchors is None else anchors)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         kept: tuple | None = None  # the row whose next one is not yet seen
