@@ -60,6 +60,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_quality_classifier, op4_document_fingerprints, op5_license_scans, op6_url_filters, op7_sentencepiece, op8_pii, op9_ngram_jaccard_join)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import deduplicated
+
+    return deduplicated(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_quality_classifier, op4_document_fingerprints, op5_license_scans, op6_url_filters, op7_sentencepiece, op8_pii, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
 
 ORACLES: dict[str, str] = {}
