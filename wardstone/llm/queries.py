@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
@@ -66,6 +72,6 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_quality_classifier, op4_document_fingerprints, op5_license_scans, op6_url_filters, op7_sentencepiece, op8_pii, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_quality_classifier, op4_document_fingerprints, op5_license_scans, op6_url_filters, op7_sentencepiece, op8_pii, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
 
 ORACLES: dict[str, str] = {}
