@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors, forgets the partitioning."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

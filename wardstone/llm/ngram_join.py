@@ -4,8 +4,9 @@ Texts are sets of five-word shingles. Equal sets become one (the smallest doc_id
 tokens. In each run a set starts at the root path and, level by level, follows every child whose token it has and whose hash of
 (path, token) falls under 1 / (threshold * 128): the same choices for all sets, so two sets meet in a bucket if a path of shared tokens is
 chosen. A pair at the threshold keeps one shared path on average, whatever the depth; runs are repeated until the chance that it survives
-in one of them reaches the target recall. Buckets of up to ``small`` sets are compared by brute force on the tokens; larger ones are split four
-levels further, twice; sets that still share a large bucket then agree on 12 sampled tokens and are all linked to its smallest.
+in one of them reaches the target recall. Buckets of up to ``small`` sets are compared by brute force on the tokens. Larger ones are split two
+levels further, twice, each set following its least child only: a pair there shares several buckets, and their number must not grow.
+Sets that still share a large bucket then agree on 8 sampled tokens and are all linked to its smallest.
 
 Links found so far only say which sets may be alike. Their connected components are then compared exactly, every pair of a component
 whose sizes allow the threshold, in tiles of bounded size, each pair in exactly one tile. Tiles give each set's number of links and a
@@ -20,6 +21,7 @@ doc_id have a null class and no links. Repeated rows count as documents of their
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -87,6 +89,14 @@ def follow(tokens: np.ndarray, owner: np.ndarray, path: np.ndarray, levels: int,
     return owner, path
 
 
+def descend(tokens: np.ndarray, path: np.ndarray, levels: int) -> np.ndarray:
+    """Each row's path, levels longer, by the one child whose hash is the least among the row's tokens: two rows stay together with the chance of their similarity."""
+    salt = mix(tokens.astype(np.uint64) | (np.arange(TOKENS, dtype=np.uint64) << np.uint64(16)), 21)
+    for _ in range(levels):
+        path = mix(mix(salt ^ path[:, None], 29).min(axis=1), 31)
+    return path
+
+
 def runs_for(recall: float, depth: int) -> int:
     """Runs after which a pair at the threshold has shared a bucket with this chance: a critical Poisson branching process that survives depth levels."""
     alive = 1.0
@@ -108,15 +118,15 @@ def bucket_rows(sets: DataFrame, runs: int, depth: int, threshold: float) -> Dat
     return sets.select("id", "tokens").mapInArrow(run, "path long, id long").distinct()
 
 
-def split_rows(rows: DataFrame, sets: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """(path, id) with each path followed depth levels further."""
+def split_rows(rows: DataFrame, sets: DataFrame, levels: int) -> DataFrame:
+    """(path, id) with each path followed further, one child a level, so that rows don't grow in number."""
 
     def run(batches):
         for b in batches:
-            owner, path = follow(_tokens(b.column("tokens")), np.arange(b.num_rows), np.asarray(b.column("path")).view(np.uint64), depth, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(np.asarray(b.column("id"))[owner])], ["path", "id"])
+            path = descend(_tokens(b.column("tokens")), np.asarray(b.column("path")).view(np.uint64), levels)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("id")], ["path", "id"])
 
-    return rows.join(sets.select("id", "tokens"), "id").select("path", "id", "tokens").mapInArrow(run, "path long, id long").distinct()
+    return rows.join(sets.select("id", "tokens"), "id").select("path", "id", "tokens").mapInArrow(run, "path long, id long")
 
 
 def _grouped(batches, key: str):
@@ -194,7 +204,7 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, small: int
         links = found if links is None else links.union(found)
         large = rows.join(sizes.where(F.col("size") > small).select("path", "first"), "path")
         if deeper:
-            rows = written(split_rows(large.select("path", "id"), sets, depth, threshold), "paths")
+            rows = written(split_rows(large.select("path", "id"), sets, 2), "paths")
         else:
             links = links.union(written(large.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "hot-links"))
     return links
@@ -279,7 +289,7 @@ def verified(docs: DataFrame, members: DataFrame, words: int, threshold: float,
                         b.append([int(ids[at[q]])])
                         links.append([None])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(sum(a, []), pa.int64()), pa.array(sum(b, []), pa.int64()), pa.array(sum(links, []), pa.int64())], ["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(itertools.chain.from_iterable(x), pa.int64()) for x in (a, b, links)]], ["a", "b", "links"])
 
     return rows.repartition(partitions(spark), "gid").sortWithinPartitions("gid", "id").mapInArrow(run, "a long, b long, links long")
 
