@@ -5,27 +5,32 @@ from __future__ import annotations
 import numpy as np
 
 
+_END = 255  # no byte of UTF-8 text
+
+
 class Collection:
-    """Strings laid out with an end mark (byte 0 of a 9-bit alphabet) after each."""
+    """Strings of UTF-8 bytes laid out with an end mark after each."""
 
     def __init__(self, strings: list[bytes]):
         self.strings = strings
         sizes = np.array([len(s) for s in strings], np.int64) + 1
         self.first = np.cumsum(sizes) - sizes
-        self.text = np.zeros(int(sizes.sum()), np.uint16)
-        body = np.ones(len(self.text), bool)
-        body[self.first + sizes - 1] = False
-        self.text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+        self.text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
+        last = self.first + sizes - 1
         self.before = np.arange(len(self.text)) - 1  # the position whose symbol precedes, around each string
-        self.before[self.first] = self.first + sizes - 1
+        self.before[self.first] = last
         self.after = np.arange(len(self.text)) + 1
-        self.after[self.first + sizes - 1] = self.first
+        self.after[last] = self.first
 
 
 def sorted_rotations(c: Collection, depth: int) -> np.ndarray:
-    """Positions in the order of their next depth symbols at least, around each string, by doubling of ranks."""
-    _, rank = np.unique(c.text, return_inverse=True)
-    jump, known = c.after, 1
+    """Positions in the order of their next depth symbols at least, around each string: by 8 symbols first, then by doubling of ranks."""
+    rank, jump = c.text.astype(np.uint64), c.after
+    for shift in (8, 16, 32):
+        rank = rank << np.uint64(shift) | rank[jump]
+        jump = jump[jump]
+    known = 8
+    _, rank = np.unique(rank, return_inverse=True)
     while known < depth:
         _, rank = np.unique(rank.astype(np.int64) * (int(rank.max()) + 2) + rank[jump], return_inverse=True)
         jump, known = jump[jump], known * 2
@@ -46,9 +51,10 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     where the symbols differ or the rows they precede lay in different blocks, so common prefixes come with the rounds; no rotation is compared.
     """
     whole = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
+    kind = np.uint8 if len(transforms) <= 256 else np.uint16 if len(transforms) <= 1 << 16 else np.int64
+    shard = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
     n = len(whole)
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
     rows = np.arange(n)
     for _ in range(depth):
         symbol = whole[rows]
@@ -58,7 +64,7 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         s, b = symbol[place], block[place]
         new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
         shard = shard[place]
-        block = np.cumsum(new) - 1
+        block = np.cumsum(new, dtype=block.dtype) - 1
         rows = _next_rows(shard)
         if block[-1] == n - 1:
             break

@@ -5,13 +5,16 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 Equal strings must meet without sorting every suffix of the corpus in one place. The least hash of the 16-byte pieces inside a window of ``length`` bytes is the same
 wherever the window stands; runs of windows with the same least hash are its *stretches*, about one per 18 bytes.
 
+0. Of equal texts only the one with the least doc_id takes part as a source; the others are removed as wholes, if they are long enough.
 1. Each partition's (hash, document) pairs go to the hash's bucket, which finds the hashes that more than one document has. A hash that two documents of one partition have
    is known to be shared there: its pairs skip the test and one pair stands for all of them.
 2. Documents get their shared hashes, and send the stretches of those, whole, to the hash's bucket.
 3. A bucket keeps each distinct stretch with the least doc_id that has it. A hash with one distinct stretch is done. The others' stretches form shards, one per sender: each
-   is transformed by itself, then the transforms are merged to depth ``length``, whose blocks are the equal windows and give the least doc_id of each.
+   is transformed by itself (but for stretches that share neither the 17 bytes before their least hash's piece nor the 17 after it with another, which no window can join), then the transforms are merged to depth ``length``, whose blocks are the equal windows and give the least doc_id of each.
 4. Documents get their repeated windows, mark the covered bytes and keep the rest.
 
+Documents are dealt to groups by a hash; messages to a group's documents travel together.
+
 Texts travel twice, compressed one by one. Every step is spread over buckets or documents by hash.
 
 Defined cases: a null text is empty. Null doc_ids count as larger than all others and equal to one another; documents with equal doc_ids don't remove each other's bytes. Repeated
@@ -28,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import shared_windows
-from .common import partitions, slices, small_batches
+from .common import partitions, slices, small_batches, written
 from .kernel import buffers, mix
 from .ngram_join import _grouped
 
 _PIECE = 16
 _LAST = (1 << 63) - 1  # stands for a null doc_id
-_LOW = np.uint64((1 << 48) - 1)
+_LOW = np.uint64((1 << 40) - 1)  # the part of a hash that travels with its bucket
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -85,39 +88,124 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
     return row, first, stop - first, low[first]
 
 
-def _refs(ids: list[int], texts: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8, salt=i.to_bytes(8, "little")).digest(), "little") for i, t in zip(ids, texts)], np.uint64)
+def _tag(text: bytes) -> int:
+    """Tells texts of the same doc_id apart."""
+    return int.from_bytes(hashlib.md5(text, usedforsecurity=False).digest()[:4], "little")
 
 
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _short(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _from_six(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+def _from_short(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _binary(data: bytes, ends: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+def _prepared(docs: DataFrame) -> DataFrame:
+    """ref (what a document's messages go by: its doc_id, or a hash of its text where that is null), doc_id, text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("ref"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), text.alias("text"))
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def _group(refs: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(refs.astype(np.uint64), 83) % np.uint64(groups)).astype(np.int32)
+
+
+_ROW = "group int, kind byte, ref long, doc_id long, blob binary"
+_MESSAGE, _COPY, _TEXT = 0, 1, 2  # kinds of rows, in the order in which a group's are read
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """ref, kind 0, doc_id, blob (compressed text with its length) of every document."""
+def _rows(group, kind: int, ref, doc_id, blob) -> pa.RecordBatch:
+    n = len(blob)
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(np.full(n, kind, np.int8)), pa.nulls(n, pa.int64()) if ref is None else ref, pa.nulls(n, pa.int64()) if doc_id is None else doc_id, pa.array(blob, pa.binary())], ["group", "kind", "ref", "doc_id", "blob"])
+
+
+def _packed(docs: DataFrame, groups: int) -> DataFrame:
+    """A row for every document: blob is its text, compressed, with the length."""
 
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
-                ids, texts = b.column("doc_id").to_pylist(), [t.encode() for t in b.column("text").to_pylist()]
+                texts = [t.encode() for t in b.column("text").to_pylist()]
                 blobs = [len(t).to_bytes(8, "little") + (pa.compress(t, "zstd", asbytes=True) if t else b"") for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(_refs(ids, texts).view(np.int64)), pa.array(np.zeros(len(ids), np.int8)), b.column("doc_id"), pa.array(blobs, pa.binary())], ["ref", "kind", "doc_id", "blob"])
+                yield _rows(_group(b.column("ref").to_numpy(), groups), _TEXT, b.column("ref"), b.column("doc_id"), blobs)
+
+    return _prepared(docs).mapInArrow(run, _ROW)
+
+
+def copies(docs: DataFrame, length: int, groups: int) -> DataFrame:
+    """A row for documents whose text a smaller doc_id has too: blob is the text's MD5."""
+
+    def run(batches):
+        for b in batches:
+            yield _rows(_group(b.column("ref").to_numpy(), groups), _COPY, b.column("ref"), b.column("doc_id"), b.column("blob"))
+
+    t = _prepared(docs).where(F.octet_length("text") >= length).select("ref", "doc_id", F.unhex(F.md5("text")).alias("blob"))
+    several = written(t.groupBy("blob").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("blob", "least"), "equal-texts")
+    later = t.join(several.hint("shuffle_merge"), "blob").where("doc_id > least")
+    return written(later.select("ref", "doc_id", "blob").distinct().mapInArrow(run, _ROW), "copies")
+
+
+def _messages(group_of: np.ndarray, columns: list[np.ndarray]):
+    """Rows of packed columns of int64, one per group."""
+    order = np.argsort(group_of, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(group_of[order], prepend=-1)), len(order))
+    at, blobs = [], []
+    for a, z in zip(cut[:-1], cut[1:]):
+        o = order[a:z]
+        body = b"".join([len(o).to_bytes(8, "little"), *[np.ascontiguousarray(c[o].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]])  # byte planes: the high ones are alike
+        blobs.append(len(body).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(body, asbytes=True))
+        at.append(int(group_of[o[0]]))
+    for i in range(0, len(at), 128):
+        yield _rows(at[i : i + 128], _MESSAGE, None, None, blobs[i : i + 128])
+
+
+def _joined(parts, most: int = 2_000_000):
+    """Tuples of columns put together to large ones: fewer, larger messages."""
+    held, size = [], 0
+    for p in parts:
+        held.append(p)
+        size += len(p[0])
+        if size >= most:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _columns(blobs: list[bytes], n: int) -> list[np.ndarray]:
+    """What _messages packed, of several rows together."""
+    parts = []
+    for blob in blobs:
+        body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+        rows = int.from_bytes(body[:8], "little")
+        parts.append([np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * rows, 8 + 8 * rows * i).reshape(8, rows).T).reshape(-1).view("<i8") for i in range(n)])
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64) for _ in range(n)]
 
-    return _prepared(docs).mapInArrow(run, "ref long, kind byte, doc_id long, blob binary")
+
+def _read_groups(rows: DataFrame, n: int, serve, schema: str, gather=None) -> DataFrame:
+    """Rows dealt by group, each group's messages before its texts. serve(messages, copies, texts) gets the message blobs, the set of (ref, MD5) and a batch of texts, which are never all held; gather makes batches of a whole partition's results."""
+
+    def run(batches):
+        group, blobs, copied, seen = None, [], set(), None
+        for batch in batches:
+            where, kind = batch.column("group").to_numpy(), batch.column("kind").to_numpy()
+            cut = np.append(np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (kind[1:] != kind[:-1]))), len(where)) if len(where) else []
+            for a, z in zip(cut[:-1], cut[1:]):
+                if where[a] != group:
+                    group, blobs, copied, seen = where[a], [], set(), None
+                part = batch.slice(a, z - a)
+                if kind[a] == _MESSAGE:
+                    blobs += part.column("blob").to_pylist()
+                elif kind[a] == _COPY:
+                    copied |= set(zip(part.column("ref").to_pylist(), part.column("blob").to_pylist()))
+                else:
+                    seen = seen or serve(blobs, copied)
+                    yield from seen(part)
+
+    return rows.repartitionById(n, "group").sortWithinPartitions("group", "kind", "ref").mapInArrow(run if gather is None else lambda batches: gather(run(batches)), schema)
 
 
 def _unpacked(blob: bytes) -> bytes:
@@ -138,15 +226,15 @@ def hash_pairs(docs: DataFrame, length: int, buckets: int, most: int = 1_500_000
         first[1:] = keys[1:] != keys[:-1]
         start = np.flatnonzero(first)
         several = np.repeat(np.diff(np.append(start, len(keys))) > 1, np.diff(np.append(start, len(keys))))
-        place = lambda x: (mix(x, 53) % np.uint64(buckets)).astype(np.int64)
-        for known, k, r, at in ((0, keys[~several], refs[~several], place(keys[~several])), (1, keys[several], refs[several], place(refs[several])), (2, keys[several & first], refs[several & first], place(keys[several & first]))):
+        place = lambda x: (mix(x.astype(np.uint64), 53) % np.uint64(buckets)).astype(np.int64)
+        for known, k, r, at in ((0, keys[~several], refs[~several], place(keys[~several] & _LOW)), (1, keys[several], refs[several], place(refs[several])), (2, keys[several & first], refs[several & first], place(keys[several & first] & _LOW))):
             order = np.lexsort((r, at))
             k, r, at = k[order], r[order], at[order]
             cut = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
             rows = []
             for a, z in zip(cut[:-1], cut[1:]):
                 u, n = np.unique(r[a:z], return_counts=True)
-                rows.append((int(at[a]), known, _six(k[a:z]), u.tobytes(), n.astype(np.uint32).tobytes()))
+                rows.append((int(at[a]), known, _short(k[a:z]), u.tobytes(), n.astype(np.uint32).tobytes()))
             for i in range(0, len(rows), 256):
                 part = list(zip(*rows[i : i + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int8()), *[pa.array(c, pa.binary()) for c in part[2:]]], ["bucket", "known", "keys", "refs", "counts"])
@@ -157,10 +245,8 @@ def hash_pairs(docs: DataFrame, length: int, buckets: int, most: int = 1_500_000
             for b in slices(batch, "text"):
                 data, offsets = buffers(b.column("text"))
                 row, _, _, low = stretches(data, offsets, length)
-                raw = data.tobytes()
-                own = _refs(b.column("doc_id").to_pylist(), [raw[a:z] for a, z in zip(offsets[:-1], offsets[1:])])
                 keys.append(low)
-                refs.append(own[row])
+                refs.append(b.column("ref").to_numpy()[row])
                 held += len(low)
                 if held >= most:
                     yield from packed(np.concatenate(keys), np.concatenate(refs))
@@ -171,15 +257,15 @@ def hash_pairs(docs: DataFrame, length: int, buckets: int, most: int = 1_500_000
     return _prepared(docs).mapInArrow(run, "bucket int, known byte, keys binary, refs binary, counts binary")
 
 
-def shared_hashes(pairs: DataFrame, n: int) -> DataFrame:
-    """ref, kind 1, doc_id null, blob (shared hashes) of documents that have some."""
+def shared_hashes(pairs: DataFrame, n: int, groups: int) -> DataFrame:
+    """Messages: (ref, shared hash) of documents that have some."""
 
     def run(batches):
         for t in _grouped(batches, "bucket"):
             where = t.column("bucket").to_numpy()
             known = t.column("known").to_numpy()
-            keys = [_from_six(x) for x in t.column("keys").to_pylist()]
-            refs = [np.repeat(np.frombuffer(r, np.uint64), np.frombuffer(c, np.uint32)) for r, c in zip(t.column("refs").to_pylist(), t.column("counts").to_pylist())]
+            keys = [_from_short(x) for x in t.column("keys").to_pylist()]
+            refs = [np.repeat(np.frombuffer(r, np.int64), np.frombuffer(c, np.uint32)) for r, c in zip(t.column("refs").to_pylist(), t.column("counts").to_pylist())]
             cut = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(where))
             for a, z in zip(cut[:-1], cut[1:]):
                 kind = np.repeat(known[a:z], [len(k) for k in keys[a:z]])
@@ -196,116 +282,156 @@ def shared_hashes(pairs: DataFrame, n: int) -> DataFrame:
                 k, r = np.concatenate([tk, k[~tested]]), np.concatenate([tr, r[~tested]])
                 if not len(k):
                     continue
-                order = np.argsort(r, kind="stable")
-                k, r = k[order], r[order]
-                start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(r[start].view(np.int64)), pa.array(np.ones(len(start), np.int8)), pa.nulls(len(start), pa.int64()), _binary(_six(k), np.append(start, len(k)) * 6)], ["ref", "kind", "doc_id", "blob"])
+                yield r, k.view(np.int64)
 
-    return pairs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "ref long, kind byte, doc_id long, blob binary")
+    def messages(batches):
+        for r, k in _joined(run(batches)):
+            yield from _messages(_group(r, groups), [r, k])
 
-
-def _by_document(t: pa.Table):
-    """(ref, doc_ids, text blob of the first, blobs of the messages with their doc_ids) for each ref of a table sorted by ref and kind."""
-    ref, kind, ids, blobs = t.column("ref").to_numpy(), t.column("kind").to_numpy(), t.column("doc_id").to_pylist(), t.column("blob").to_pylist()
-    cut = np.append(np.flatnonzero(np.append(True, ref[1:] != ref[:-1])), len(ref))
-    for a, z in zip(cut[:-1], cut[1:]):
-        m = a + int(np.searchsorted(kind[a:z], 1))
-        yield int(ref[a]), ids[a:m], blobs[a:m], list(zip(ids[m:z], blobs[m:z]))
+    return pairs.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(messages, _ROW)
 
 
 def sent_stretches(rows: DataFrame, length: int, buckets: int, n: int, most: int = 24 << 20) -> DataFrame:
     """bucket, blob: the stretches of shared hashes, packed by bucket. rows: texts and their shared hashes."""
 
     def packed(held):
-        key, ids, ref, start, size, strings = (np.concatenate(x) for x in zip(*[h[:5] + (np.array(h[5], object),) for h in held]))
+        key, ids, ref, tag, start, size, strings = (np.concatenate(x) for x in zip(*[h[:6] + (np.array(h[6], object),) for h in held]))
         at = (mix(key & _LOW, 59) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
+        order = np.lexsort((ref, at))
         cut = np.append(np.flatnonzero(np.diff(at[order], prepend=-1)), len(at))
         for a, z in zip(cut[:-1], cut[1:]):
             o = order[a:z]
-            body = b"".join([len(o).to_bytes(8, "little"), key[o].tobytes(), ids[o].tobytes(), ref[o].tobytes(), start[o].astype(np.int64).tobytes(), size[o].astype(np.int64).tobytes(), *strings[o]])
-            blob = len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+            body = b"".join([len(o).to_bytes(8, "little"), *[x[o].astype(np.int64).tobytes() for x in (ids, ref, tag, start, size)], *strings[o]])
+            blob = len(body).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(body, asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([int(at[o[0]])], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
-    def run(batches):
+    def serve(blobs, copied):
+        refs, keys = _columns(blobs, 2)
+        mark = lambda k, r: mix((k & _LOW) ^ mix(r.astype(np.uint64), 61), 67)
+        asked = np.unique(mark(keys.view(np.uint64), refs))
+
+        def texts(b):
+            known = np.isin(b.column("ref").to_numpy(), refs)
+            for i in range(0, b.num_rows, 256):
+                part, some = b.slice(i, 256), known[i : i + 256]
+                held = sorted({(r, i, _unpacked(x)) for r, i, x, ok in zip(part.column("ref").to_pylist(), part.column("doc_id").to_pylist(), part.column("blob").to_pylist(), some) if ok})
+                if copied:
+                    held = [h for h in held if (h[0], hashlib.md5(h[2], usedforsecurity=False).digest()) not in copied]
+                if not held:
+                    continue
+                ref, ids = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
+                raw, offsets = b"".join([h[2] for h in held]), np.cumsum([0, *[len(h[2]) for h in held]])
+                row, first, windows, low = stretches(np.frombuffer(raw, np.uint8), offsets, length)
+                m = mark(low, ref[row])
+                at = np.searchsorted(asked, m)
+                at[at == len(asked)] = 0
+                ok = asked[at] == m
+                row, first, windows, low = row[ok], first[ok], windows[ok], low[ok]
+                if len(row):
+                    strings = [raw[s : s + w - 1 + length] for s, w in zip(first.tolist(), windows.tolist())]
+                    tags = np.array([_tag(h[2]) for h in held], np.int64)
+                    yield low, ids[row], ref[row], tags[row], first - offsets[row], windows, strings
+
+        return texts if len(refs) else (lambda b: iter(()))
+
+    def run(parts):
         held, total = [], 0
-        for t in _grouped(batches, "ref"):
-            texts, refs, ids, keys, owner = [], [], [], [], []
-            for ref, own, blobs, messages in _by_document(t):
-                if own and messages:
-                    for i in sorted(set(own)):
-                        texts.append(_unpacked(blobs[own.index(i)]))
-                        refs.append(ref)
-                        ids.append(i)
-                        k = _from_six(b"".join(m for _, m in messages))
-                        keys.append(k)
-                        owner.append(np.full(len(k), len(texts) - 1, np.uint64))
-            if not texts:
-                continue
-            offsets = np.cumsum([0, *map(len, texts)])
-            raw = b"".join(texts)
-            row, first, windows, low = stretches(np.frombuffer(raw, np.uint8), offsets, length)
-            tag = lambda k, o: mix((k & _LOW) ^ mix(o.astype(np.uint64), 61), 67)
-            ok = np.isin(tag(low, row), tag(np.concatenate(keys), np.concatenate(owner)))
-            row, first, windows, low = row[ok], first[ok], windows[ok], low[ok]
-            if not len(row):
-                continue
-            strings = [raw[s : s + w - 1 + length] for s, w in zip(first.tolist(), windows.tolist())]
-            held.append((low, np.array(ids, np.int64)[row], np.array(refs, np.int64)[row], first - offsets[row], windows, strings))
-            total += sum(map(len, strings)) + 120 * len(strings)
+        for p in parts:
+            held.append(p)
+            total += sum(map(len, p[6])) + 120 * len(p[6])
             if total >= most:
                 yield from packed(held)
                 held, total = [], 0
         if held:
             yield from packed(held)
 
-    return rows.repartition(n, "ref").sortWithinPartitions("ref", "kind").mapInArrow(run, "bucket int, blob binary")
+    return _read_groups(rows, n, serve, "bucket int, blob binary", run)
 
 
 def _senders(blobs: list[bytes], length: int):
-    """Each sender's (key, doc_id, ref, start, windows, strings)."""
+    """Each sender's (doc_id, ref, tag, start, windows, least hashes, strings)."""
     for blob in blobs:
         body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
         n = int.from_bytes(body[:8], "little")
         cols = np.frombuffer(body, np.int64, 5 * n, 8).reshape(5, n)
-        ends = 8 + 40 * n + np.cumsum(cols[4] - 1 + length)
-        yield cols[0].view(np.uint64), cols[1], cols[2], cols[3], cols[4], [body[e - w + 1 - length : e] for e, w in zip(ends.tolist(), cols[4].tolist())]
-
-
-def repeated_windows(sent: DataFrame, length: int, n: int) -> DataFrame:
-    """ref, kind 1, doc_id, blob (first window and number, pairs of int64) of windows that a smaller doc_id has too."""
+        base = 8 + 40 * n
+        sizes = cols[4] - 1 + length
+        ends = np.cumsum(sizes)
+        h = piece_hashes(np.frombuffer(body, np.uint8, -1, base))
+        both = np.stack([ends - sizes, ends - _PIECE + 1], axis=1).ravel()
+        key = np.minimum.reduceat(np.append(h, ~np.uint64(0)), both)[::2] if n else np.zeros(0, np.uint64)
+        yield (*cols, key, [body[base + e - w : base + e] for e, w in zip(ends.tolist(), sizes.tolist())])
+
+
+def _joinable(keys: np.ndarray, strings: list[bytes], length: int) -> np.ndarray:
+    """Whether each of distinct stretches may share a window with another of its least hash: the bytes before the hash's piece, or those after it, are the same for half the length that a window has besides the piece. A stretch that has the piece twice may."""
+    sizes = np.array([len(s) for s in strings])
+    start = np.cumsum(sizes) - sizes
+    h = np.append(piece_hashes(np.frombuffer(b"".join(strings), np.uint8)), np.zeros(64, np.uint64))
+    string = np.repeat(np.arange(len(strings)), sizes)
+    inside = np.arange(len(string)) - start[string] <= sizes[string] - _PIECE
+    at = np.flatnonzero(inside & (h[: len(string)] == keys[string]))
+    first = np.append(True, np.diff(string[at]) > 0)
+    ok = np.zeros(len(strings), bool)
+    ok[string[at[~first]]] = True
+    at = at[first]
+    offset = at - start
+    side = (length - _PIECE) // 2
+    for step, has in ((-side, offset >= side), (side, offset + side + _PIECE <= sizes)):
+        i = np.flatnonzero(has)
+        far = at[i] + step
+        k = mix(h[far] ^ mix(h[far - (1 if step > 0 else -1)], 71) ^ mix(keys[i], 73), 79)
+        _, back, count = np.unique(k, return_inverse=True, return_counts=True)
+        ok[i[count[back] > 1]] = True
+    return ok
+
+
+def repeated_windows(sent: DataFrame, length: int, n: int, groups: int, most: int = 1 << 20) -> DataFrame:
+    """Messages: (ref, doc_id, tag, first window, number) of windows that a smaller doc_id has too. Merges take about most bytes at a time."""
 
     def of_bucket(blobs):
         senders = list(_senders(blobs, length))
         distinct: dict[bytes, int] = {}
         variants: dict[int, bytes | None] = {}  # the one distinct stretch of a hash, or None where there are more
-        shard_of: list[list[bytes]] = []
-        for key, ids, _, _, _, strings in senders:
+        shard_of: list[list[tuple[int, bytes]]] = []
+        for ids, _, _, _, _, key, strings in senders:
             fresh = []
             for k, i, s in zip(key.tolist(), ids.tolist(), strings):
                 least = distinct.get(s)
                 if least is None:
                     fresh.append((k, s))
-                    if variants.setdefault(k, s) != s:
+                    distinct[s] = i
+                    if variants.setdefault(k, s) is not s:
                         variants[k] = None
-                if least is None or i < least:
+                elif i < least:
                     distinct[s] = i
             shard_of.append(fresh)
-        shards = [[s for k, s in fresh if variants[k] is None] for fresh in shard_of]
-        shards = [s for s in shards if s]
+        shard_of = [[x for x in fresh if variants[x[0]] is None] for fresh in shard_of]
+        every = [x for fresh in shard_of for x in fresh]
         least: dict[bytes, np.ndarray] = {}
-        if shards:
-            for strings, found in zip(shards, shared_windows(shards, [np.array([distinct[s] for s in own], np.int64) for own in shards], length)):
-                least |= zip(strings, found)
+        if every:
+            ok = _joinable(np.array([k for k, _ in every], np.uint64), [s for _, s in every], length)
+            parts = max(1, -(-sum(len(s) for (_, s), keep in zip(every, ok) if keep) // most))
+            split: list[list[list[bytes]]] = [[[] for _ in shard_of] for _ in range(parts)]  # equal windows have equal hashes, so hashes can be dealt to separate merges
+            at = 0
+            for i, fresh in enumerate(shard_of):
+                for (k, s), keep in zip(fresh, ok[at : at + len(fresh)]):
+                    if keep:
+                        split[(k >> 20) % parts][i].append(s)
+                at += len(fresh)
+            for shards in ([s for s in part if s] for part in split):
+                if shards:
+                    for strings, found in zip(shards, shared_windows(shards, [np.array([distinct[s] for s in own], np.int64) for own in shards], length)):
+                        least |= zip(strings, found)
         ref, doc, runs = [], [], []
-        for _, ids, refs, start, windows, strings in senders:
-            for i, r, a, w, s in zip(ids.tolist(), refs.tolist(), start.tolist(), windows.tolist(), strings):
+        for ids, refs, tags, start, windows, _, strings in senders:
+            for i, r, t, a, w, s in zip(ids.tolist(), refs.tolist(), tags.tolist(), start.tolist(), windows.tolist(), strings):
                 by = least.get(s)
                 if by is None:
                     if distinct[s] < i:
                         ref.append(r)
                         doc.append(i)
-                        runs.append((a, w))
+                        runs.append((t, a, w))
                 else:
                     gone = np.flatnonzero(by < i)
                     if len(gone):
@@ -313,13 +439,11 @@ def repeated_windows(sent: DataFrame, length: int, n: int) -> DataFrame:
                         for x, y in zip(gone[np.append(0, cut + 1)].tolist(), gone[np.append(cut, len(gone) - 1)].tolist()):
                             ref.append(r)
                             doc.append(i)
-                            runs.append((a + x, y - x + 1))
+                            runs.append((t, a + x, y - x + 1))
         if not ref:
             return None
-        order = np.lexsort((doc, ref))
-        r, d, v = np.array(ref, np.int64)[order], np.array(doc, np.int64)[order], np.array(runs, np.int64)[order]
-        start = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (d[1:] != d[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(r[start]), pa.array(np.ones(len(start), np.int8)), pa.array(d[start]), _binary(v.tobytes(), np.append(start, len(r)) * 16)], ["ref", "kind", "doc_id", "blob"])
+        r, v = np.array(ref, np.int64), np.array(runs, np.int64)
+        return r, np.array(doc, np.int64), *v.T
 
     def run(batches):
         for t in _grouped(batches, "bucket"):
@@ -330,7 +454,11 @@ def repeated_windows(sent: DataFrame, length: int, n: int) -> DataFrame:
                 if out is not None:
                     yield out
 
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "ref long, kind byte, doc_id long, blob binary")
+    def messages(batches):
+        for columns in _joined(run(batches)):
+            yield from _messages(_group(columns[0], groups), list(columns))
+
+    return sent.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(messages, _ROW)
 
 
 def kept_text(text: bytes, runs: np.ndarray, length: int) -> tuple[bytes, int, int]:
@@ -353,27 +481,34 @@ def deduplicated(docs: DataFrame, length: int = 50, with_text: bool = False) ->
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
-    buckets = 4 * n
-    texts = _packed(docs)
-    shared = shared_hashes(hash_pairs(docs, length, buckets), n)
-    again = repeated_windows(sent_stretches(texts.union(shared), length, buckets, n), length, n)
-
-    def run(batches):
-        for t in _grouped(batches, "ref"):
-            rows = []
-            for _, own, blobs, messages in _by_document(t):
-                done: dict[int, tuple] = {}
-                for i, blob in zip(own, blobs):
-                    if i not in done:
-                        text = _unpacked(blob)
-                        runs = np.frombuffer(b"".join(m for j, m in messages if j == i), np.int64).reshape(-1, 2)
-                        kept, gone, spans = kept_text(text, runs, length)
-                        done[i] = (None if i == _LAST else i, len(text), gone, spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_text)
-                    rows.append(done[i])
-            if rows:
-                cols = list(zip(*rows))
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.binary()])], names)
-
-    rows = texts.union(again).repartition(n, "ref").sortWithinPartitions("ref", "kind")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    buckets = n
+    groups = n
+    texts, equal = _packed(docs, groups), copies(docs, length, groups)
+    shared = shared_hashes(hash_pairs(docs, length, buckets), n, groups)
+    again = repeated_windows(sent_stretches(texts.union(shared).union(equal), length, buckets, n), length, n, groups)
+
+    def serve(blobs, copied):
+        ref, doc, tag, first, windows = _columns(blobs, 5)
+        order = np.argsort(ref, kind="stable")
+        ref, doc, tag, runs = ref[order], doc[order], tag[order], np.stack([first[order], windows[order]], axis=1)
+
+        def result(b):
+            rows, last = [], (None, None, None)
+            own = b.column("ref").to_numpy()
+            for r, a, z, i, blob in zip(own.tolist(), np.searchsorted(ref, own), np.searchsorted(ref, own, "right"), b.column("doc_id").to_pylist(), b.column("blob").to_pylist()):
+                if (i, blob) != last[:2]:  # repeated rows lie together
+                    text = _unpacked(blob)
+                    if copied and (r, hashlib.md5(text, usedforsecurity=False).digest()) in copied:
+                        kept, gone, spans = b"", len(text), 1
+                    else:
+                        mine = (doc[a:z] == i) & (tag[a:z] == _tag(text)) if z > a else np.zeros(0, bool)
+                        kept, gone, spans = kept_text(text, runs[a:z][mine], length)
+                    last = (i, blob, (None if i == _LAST else i, len(text), gone, spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
+                rows.append(last[2])
+            cols = list(zip(*rows))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.string(), pa.binary()])], names)
+
+        return result
+
+    return _read_groups(texts.union(again).union(equal), n, serve, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
