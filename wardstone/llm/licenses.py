@@ -107,7 +107,7 @@ class Templates:
         found: dict[int, list[tuple[int, int, float, int, str]]] = {}
         bounds = w.bounds() if hits else None
         for (row, t), own in hits.items():
-            for region in self._regions(sorted(own, key=lambda x: (x[1], x[0]))):
+            for region in self._regions(sorted(own, key=lambda x: (x[1], x[0])), max(self.band, len(self.words[t]) // 6)):
                 got = self._measure(w, t, min(x[1] for x in region), max(x[1] for x in region), int(bounds[row]), int(bounds[row + 1]))
                 if got and got[2] >= least:
                     found.setdefault(row, []).append((*got, self.names[t]))
@@ -119,11 +119,11 @@ class Templates:
             out += [(row, name, max(s[2] for s in own), own) for name, own in sorted(by.items())]
         return out
 
-    def _regions(self, own):
-        """Hits whose diagonals follow each other within the band."""
+    def _regions(self, own, gap: int):
+        """Hits whose diagonals follow each other with gaps at most so wide: that many words in a row may be added or missing."""
         region = [own[0]]
         for x in own[1:]:
-            if x[1] - region[-1][1] > self.band:
+            if x[1] - region[-1][1] > gap:
                 yield region
                 region = []
             region.append(x)
@@ -142,10 +142,10 @@ class Templates:
 
     @staticmethod
     def _apart(spans):
-        """Of spans that overlap, those of the highest coverage, then of most matched words."""
+        """Of spans that overlap, those with the most matched words times coverage: a long notice before the short one it begins with, the exact version before its neighbour."""
         starts: list[int] = []
         kept: list[tuple] = []
-        for s in sorted(spans, key=lambda s: (-s[2], -s[3], s[0], s[1], s[4])):
+        for s in sorted(spans, key=lambda s: (-s[2] * s[3], s[0], s[1], s[4])):
             i = bisect.bisect(starts, s[1])
             if not i or kept[i - 1][1] < s[0]:
                 starts.insert(i, s[0])

@@ -131,7 +131,10 @@ class _Plain:
         return b""
 
     def close(self) -> None:
-        self.f.seek(self.f.tell())
+        """Past the blank lines after a record, so that the next one's place is known."""
+        at = self.f.tell()
+        if self.f.read(4) != b"\r\n\r\n":
+            self.f.seek(at)
 
 
 class _Gzip:
