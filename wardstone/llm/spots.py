@@ -117,9 +117,9 @@ def in_id_order(docs: DataFrame, columns: list[str]) -> DataFrame:
         passed = F.size(F.filter(tiers, lambda t: t[0] <= F.col("doc_id")))
         inner = F.when(passed > 0, (passed - 1) * step + F.size(F.filter(F.element_at(tiers, F.greatest(passed, F.lit(1))), lambda x: x <= F.col("doc_id")))).otherwise(0)
         both = base.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(inner).cast("int"))
-        starts = F.col("doc_id").isNull() | F.col("doc_id").isin([row.first]) if row.none else (F.col("doc_id") == row.first)
-        tierless = F.exists(tiers, lambda t: F.array_contains(t, F.col("doc_id")))
-        starts = F.coalesce(starts, F.lit(False)) | F.coalesce(tierless, F.lit(False))
+        starts = F.col("doc_id").isNull() if row.none else (F.col("doc_id") == row.first)
+        edge = F.element_at(F.array(*[F.lit(x) for x in edges]), F.greatest(F.col("bucket"), F.lit(1)))
+        starts = F.coalesce(starts, F.lit(False)) | F.coalesce((F.col("bucket") > 0) & (edge == F.col("doc_id")), F.lit(False))
         last = len(edges)
     before = F.when(F.col("bucket") == 0, F.lit(last)).otherwise(F.col("bucket") - 1)
     held = F.when(starts, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest")), F.struct(before.cast("int").alias("bucket"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))))
