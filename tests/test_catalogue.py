@@ -8,7 +8,7 @@ import pytest
 
 from wardstone.functions.canon import canonical_host, canonical_ip, casefold, nfc
 from wardstone.functions.text import duration_seconds
-from wardstone.plans import report_queries  # noqa: F401  (registers its queries)
+from wardstone.plans import flow_queries, report_queries  # noqa: F401  (these register their queries)
 from wardstone.plans.catalogue import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

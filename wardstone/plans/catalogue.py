@@ -113,7 +113,7 @@ def detect_multi_rule(spark, sf_dir):
 
 @query(D + "SELECT rule_severity AS severity, date_trunc('hour', occurred_at) AS bucket, count(*) AS n FROM r GROUP BY ALL")
 def detections_by_severity_hour(spark, sf_dir):
-    return detections(spark, sf_dir).groupBy("severity", F.date_trunc("hour", F.col("occurred_at")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return detections(spark, sf_dir).groupBy("severity", F.date_trunc("hour", F.col("occurred_at")).cast("timestamp_ntz").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(D + "SELECT tactic, count(*) AS n FROM (SELECT unnest(mitre_tactics) AS tactic FROM r) GROUP BY tactic")
@@ -316,7 +316,7 @@ def group_fingerprint(spark, sf_dir):
     return collapse.fingerprint(events(spark, sf_dir), ["host_name"], ["event_action", "user_id"])
 
 
-@query("SELECT c_mktsegment, coalesce(sum(CAST(c_acctbal AS DECIMAL(18,2))) FILTER (c_acctbal < -990), 0) AS low_sum, coalesce(max(c_acctbal) FILTER (c_acctbal > 99999), 0.0) AS top FROM customer GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment, CAST(coalesce(sum(CAST(c_acctbal AS DECIMAL(18,2))) FILTER (c_acctbal < -990), 0) AS DECIMAL(28,2)) AS low_sum, coalesce(max(c_acctbal) FILTER (c_acctbal > 99999), 0.0) AS top FROM customer GROUP BY c_mktsegment")
 def sum_or_zero(spark, sf_dir):
     low = F.sum(F.when(F.col("c_acctbal") < -990, F.col("c_acctbal").cast("decimal(18,2)")))
     return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.coalesce(low, F.lit(0).cast("decimal(18,2)")).alias("low_sum"), F.coalesce(F.max(F.when(F.col("c_acctbal") > 99999, F.col("c_acctbal"))), F.lit(0.0)).alias("top"))

@@ -246,10 +246,8 @@ def self_traffic(events: DataFrame, ports: tuple[int, ...], program: str) -> Dat
     return events.where(~F.coalesce(own, F.lit(False)))
 
 
-def envelope(eve: DataFrame, host: str) -> tuple[DataFrame, DataFrame]:
-    """EVE lines in ``value`` wrapped for /security, and the lines that are no JSON objects."""
-    v = F.try_parse_json("value")
-    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+def envelope(eve: DataFrame, host: str, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """EVE lines in ``value`` wrapped for /security (with the columns to keep), and the lines that are no JSON objects."""
+    ok = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
     head = f'{{"vendor":"OISF","product":"Suricata","source_type":"suricata_eve","platform":"network","device_name":{json.dumps(host)},"event":'
-    return eve.where(ok).select(F.lit("/security").alias("path"), F.concat(F.lit(head), F.col("value"), F.lit("}")).alias("body")), eve.where(~ok)
-
+    return eve.where(ok).select(*keep, F.lit("/security").alias("path"), F.concat(F.lit(head), F.col("value"), F.lit("}")).alias("body")), eve.where(~ok)
