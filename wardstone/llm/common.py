@@ -49,10 +49,10 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, mb: int = 4) -> None:
     """Arrow batches of a few MB: texts may be long, and a batch is held several times over by a Python worker and the JVM."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(125 * mb))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

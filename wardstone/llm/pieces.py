@@ -40,7 +40,7 @@ class Pieces:
         self.unknown = kinds.index(2) if 2 in kinds else 0
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 6}
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.moves: dict[tuple[str, str], tuple[str, list[str]]] = {}
+        self.moves: dict[tuple[str, str], tuple[str, list[tuple]]] = {}
         self.least = min(scores, default=0.0) - 10.0
         inside = {c for p in self.ids if len(p) > 1 for c in p} | {MARK}
         group = "".join(re.escape(c) for c in sorted(inside - {MARK}))
@@ -48,7 +48,9 @@ class Pieces:
         self.cut = re.compile(f"{MARK}+[{group}]*|[{group}]+|{free}" if group else f"{MARK}+|{free}").findall
         self.raw = [bytes([int(p[3:5], 16)]) if k == 6 else b"" if k in (2, 3) else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds)]
         self.known: dict[str, tuple[int, ...]] = {}
-        self.near: dict[tuple[str, str], bool] = {}
+        self.aged: dict[str, tuple[int, ...]] = {}  # what known held before; words still in use come back from it
+        self.entries: dict[str, tuple] = {}
+        self.tried = 0
 
     def __reduce__(self):
         return _same, (self.pieces, self.scores, self.kinds, self.bpe, self.prefix, self.most)
@@ -80,78 +82,76 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def neighbours(self, a: str, b: str) -> bool:
-        key = (a, b)
-        found = self.near.get(key)
-        if found is None:
-            if len(self.near) >= self.most:
-                self.near.clear()
-            found = self.near[key] = self.merged(a + b) == ([a, b] if a else [b])
-        return found
-
     def ids_of(self, piece: str) -> tuple[int, ...]:
         k = self.ids.get(piece)
         if k is not None:
             return (k,)
         return tuple(self.bytes[b] for b in piece.encode()) if self.bytes else (self.unknown,)
 
-    def _suffixes(self, state: str, c: str) -> tuple[str, list[str]]:
-        """The longest start of a piece that ends the text read so far, after character c, and the pieces that end there, longest first."""
-        key = (state, c)
-        found = self.moves.get(key)
+    def _entry(self, piece: str) -> tuple:
+        """(piece, length, ids, known neighbours): pieces before it, and whether they may stand there."""
+        found = self.entries.get(piece)
         if found is None:
-            if len(self.moves) >= self.most:
-                self.moves.clear()
-            t = state + c
-            ends = [t[k:] for k in range(len(t)) if t[k:] in self.ids]
-            if not ends or len(ends[-1]) > 1:
-                ends.append(c)
-            while t and t not in self.starts:
-                t = t[1:]
-            found = self.moves[key] = (t, ends)
+            found = self.entries[piece] = (piece, len(piece), self.ids_of(piece), {})
+        return found
+
+    def _suffixes(self, state: str, c: str) -> tuple[str, list[tuple]]:
+        """The longest start of a piece that ends the text read so far, after character c, and the entries of the pieces that end there, longest first."""
+        if len(self.moves) + self.tried >= 4 * self.most:
+            self.moves.clear()
+            self.entries.clear()
+            self.tried = 0
+        t = state + c
+        ends = [t[k:] for k in range(len(t)) if t[k:] in self.ids]
+        if not ends or len(ends[-1]) > 1:
+            ends.append(c)
+        while t and t not in self.starts:
+            t = t[1:]
+        found = self.moves[state, c] = (t, [self._entry(p) for p in ends])
         return found
 
     def forward(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """ids of distinct words, in one depth-first pass over their trie."""
         out: dict[str, tuple[int, ...]] = {}
-        last, scores, start, states = [""], [0.0], [0], [""]  # of each prefix: last piece, score, where that starts, piece start that ends it
-        before, moves, near, scored, bpe = "", self.moves, self.near, self.scores, self.bpe
+        root = ("", 0, (), {})
+        last, scores, states = [root], [0.0], [""]  # of each prefix: entry of its last piece, score, piece start that ends it
+        before, moves, bpe = "", self.moves, self.bpe
         for word in sorted(words):
             same, n = 0, min(len(word), len(before))
             while same < n and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :], scores[same + 1 :], start[same + 1 :], states[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                step = (states[-1], word[i - 1])
-                state, ends = moves.get(step) or self._suffixes(*step)
+            del last[same + 1 :], scores[same + 1 :], states[same + 1 :]
+            state = states[-1]
+            i = same
+            for c in word[same:]:
+                i += 1
+                found = moves.get((state, c))
+                state, ends = self._suffixes(state, c) if found is None else found
                 if bpe:
-                    for p in ends:
-                        key = (last[i - len(p)], p)
-                        ok = near.get(key)
-                        if self.neighbours(*key) if ok is None else ok:
+                    for e in ends:
+                        b = last[i - e[1]][0]
+                        ok = e[3].get(b)
+                        if ok is None:
+                            self.tried += 1
+                            ok = e[3][b] = self.merged(b + e[0]) == ([b, e[0]] if b else [e[0]])
+                        if ok:
                             break
-                    total = 0.0
                 else:
-                    total, p = -math.inf, ends[-1]
-                    for e in ends:
-                        at = self.ids.get(e)
-                        own = scores[i - len(e)] + (self.least if at is None else scored[at])
+                    total, e = -math.inf, ends[-1]
+                    for x in ends:
+                        at = self.ids.get(x[0])
+                        own = scores[i - x[1]] + (self.least if at is None else self.scores[at])
                         if own > total:
-                            total, p = own, e
-                last.append(p)
-                scores.append(total)
-                start.append(i - len(p))
+                            total, e = own, x
+                    scores.append(total)
+                last.append(e)
                 states.append(state)
             before = word
             got: list[int] = []
-            i = len(word)
             while i:
-                k = self.ids.get(last[i])
-                if k is None:
-                    got.extend(reversed(self.ids_of(last[i])))
-                else:
-                    got.append(k)
-                i = start[i]
+                e = last[i]
+                got.extend(e[2][::-1])
+                i -= e[1]
             got.reverse()
             out[word] = tuple(got)
         return out
@@ -163,12 +163,16 @@ class Pieces:
             own = self.cut((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else []
             units += own
             counts.append(len(own))
-        fresh = {u for u in set(units) if u not in self.known}
-        if len(self.known) + len(fresh) > self.most:
-            self.known.clear()
-            fresh = set(units)
-        self.known |= self.forward(list(fresh))
-        found = [self.known[u] for u in units]
+        distinct = set(units)
+        if len(self.known) > self.most:
+            self.aged, self.known = self.known, {}
+        known, aged = self.known, self.aged
+        fresh = [u for u in distinct if u not in known]
+        if aged:
+            known |= {u: aged[u] for u in fresh if u in aged}
+            fresh = [u for u in fresh if u not in known]
+        known |= self.forward(fresh)
+        found = [known[u] for u in units]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -198,12 +202,12 @@ def _held(model: Pieces | str | None) -> Pieces:
 def encode(docs: DataFrame, model: Pieces | str | None = None, column: str = "text") -> DataFrame:
     """docs with ``ids`` array<int> after its columns (an input column of that name is replaced)."""
     pieces = _held(model)
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 12)
     docs = docs.drop("ids")
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch, column):
+            for b in slices(batch, column, 12 << 20):
                 ids, ends = pieces.encode_batch(b.column(column).to_pylist())
                 yield b.append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
 
@@ -226,11 +230,11 @@ def decode(rows: DataFrame, model: Pieces | str | None = None, column: str = "id
 def digests(docs: DataFrame, model: Pieces | str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_sha256 (of the ids as 4-byte little-endian numbers), decoded_sha256 (of the decoded text), exact (it is the text again)."""
     pieces = _held(model)
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 12)
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 12 << 20):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 ids, ends = pieces.encode_batch(texts)
                 own = [ids[a:z] for a, z in zip(ends[:-1], ends[1:])]
