@@ -37,48 +37,38 @@ def sorted_rotations(c: Collection, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def transform(c: Collection, order: np.ndarray) -> np.ndarray:
-    """The symbol before each rotation, in their order."""
-    return c.text[c.before[order]]
+def transform(c: Collection, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's transform: the symbol before each rotation, in their order, and the row of the rotation that begins with that symbol."""
+    row = np.empty(len(order), np.int64)
+    row[order] = np.arange(len(order))
+    return c.text[c.before[order]], row[c.before[order]]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge sorted shards by their transforms alone: (rows, block).
 
-    rows lists the rows of all shards (numbered one shard after the other) in merged order; block numbers runs of rows that share
-    their next depth symbols. Round k knows, for each place of the merged order, the shard its row comes from, for rotations sorted by k
-    symbols; reading every shard's transform in that order and placing its rows stably by symbol sorts them by k + 1. A block border appears
-    where the symbols differ or the rows they precede lay in different blocks, so common prefixes come with the rounds; no rotation is compared.
+    rows is the interleave: the rows of all shards (numbered one shard after the other) in merged order; block numbers runs of rows that share their next depth symbols.
+    Each round refines it: rows sorted by k symbols are read in order, and the rows that begin one symbol earlier are placed stably by that symbol, which sorts them by k + 1.
+    A border appears where the symbols differ or the rows they precede lay in different blocks, so common prefixes come with the rounds; no two rotations are compared.
     """
-    whole = np.concatenate(transforms)
-    kind = np.uint8 if len(transforms) <= 256 else np.uint16 if len(transforms) <= 1 << 16 else np.int64
-    shard = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
+    kind = np.int32 if sum(len(t) for t, _ in transforms) < 1 << 31 else np.int64
+    whole = np.concatenate([t for t, _ in transforms])
+    earlier = np.concatenate([r + k for (_, r), k in zip(transforms, np.cumsum([0, *[len(t) for t, _ in transforms]]))]).astype(kind)
     n = len(whole)
-    block = np.zeros(n, np.int32 if n < 1 << 31 else np.int64)
-    rows = np.arange(n)
+    rows, block = np.arange(n, dtype=kind), np.zeros(n, kind)
+    new = np.ones(n, bool)
     for _ in range(depth):
         symbol = whole[rows]
         place = np.argsort(symbol, kind="stable")
-        new = np.empty(n, bool)
-        new[:1] = True
         s, b = symbol[place], block[place]
-        new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        shard = shard[place]
-        block = np.cumsum(new, dtype=block.dtype) - 1
-        rows = _next_rows(shard)
-        if block[-1] == n - 1:
+        np.logical_or(s[1:] != s[:-1], b[1:] != b[:-1], out=new[1:])
+        rows = earlier[rows[place]]
+        block = np.cumsum(new, dtype=kind) - 1
+        if n and block[-1] == n - 1:  # all apart: more symbols change nothing
             break
     return rows, block
 
 
-def _next_rows(shard: np.ndarray) -> np.ndarray:
-    """For each place, the number of its row: the shard's start and how many of its rows come before."""
-    order = np.argsort(shard, kind="stable")
-    out = np.empty(len(shard), np.int64)
-    out[order] = np.arange(len(shard))
-    return out
-
-
 def shared_windows(shards: list[list[bytes]], owner: list[np.ndarray], length: int) -> list[list[np.ndarray]]:
     """For each shard's strings: for each start of a window of length bytes, the least owner of any string that has the same window."""
     held = [Collection(s) for s in shards]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import shared_windows
-from .common import partitions, slices, small_batches, written
+from .common import give_back, partitions, released, slices, small_batches, written
 from .kernel import buffers, mix
 from .ngram_join import _grouped
 
@@ -132,7 +132,7 @@ def _packed(docs: DataFrame, groups: int) -> DataFrame:
                 blobs = [len(t).to_bytes(8, "little") + (pa.compress(t, "zstd", asbytes=True) if t else b"") for t in texts]
                 yield _rows(_group(b.column("ref").to_numpy(), groups), _TEXT, b.column("ref"), b.column("doc_id"), blobs)
 
-    return _prepared(docs).mapInArrow(run, _ROW)
+    return _prepared(docs).mapInArrow(released(run), _ROW)
 
 
 def copies(docs: DataFrame, length: int, groups: int) -> DataFrame:
@@ -145,7 +145,7 @@ def copies(docs: DataFrame, length: int, groups: int) -> DataFrame:
     t = _prepared(docs).where(F.octet_length("text") >= length).select("ref", "doc_id", F.unhex(F.md5("text")).alias("blob"))
     several = written(t.groupBy("blob").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("blob", "least"), "equal-texts")
     later = t.join(several.hint("shuffle_merge"), "blob").where("doc_id > least")
-    return written(later.select("ref", "doc_id", "blob").distinct().mapInArrow(run, _ROW), "copies")
+    return written(later.select("ref", "doc_id", "blob").distinct().mapInArrow(released(run), _ROW), "copies")
 
 
 def _messages(group_of: np.ndarray, columns: list[np.ndarray]):
@@ -204,6 +204,7 @@ def _read_groups(rows: DataFrame, n: int, serve, schema: str, gather=None) -> Da
                 else:
                     seen = seen or serve(blobs, copied)
                     yield from seen(part)
+        give_back()
 
     return rows.repartitionById(n, "group").sortWithinPartitions("group", "kind", "ref").mapInArrow(run if gather is None else lambda batches: gather(run(batches)), schema)
 
@@ -217,24 +218,26 @@ def hash_pairs(docs: DataFrame, length: int, buckets: int, most: int = 1_500_000
     """bucket, known, keys, refs, counts: packed (hash, document) pairs. known 0: to be tested; 1: shared, to be passed on; 2: stands for a shared hash."""
 
     def packed(keys, refs):
-        order = np.lexsort((refs, keys))
-        keys, refs = keys[order], refs[order]
-        once = np.ones(len(keys), bool)
-        once[1:] = (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])
-        keys, refs = keys[once], refs[once]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        start = np.flatnonzero(first)
-        several = np.repeat(np.diff(np.append(start, len(keys))) > 1, np.diff(np.append(start, len(keys))))
-        place = lambda x: (mix(x.astype(np.uint64), 53) % np.uint64(buckets)).astype(np.int64)
-        for known, k, r, at in ((0, keys[~several], refs[~several], place(keys[~several] & _LOW)), (1, keys[several], refs[several], place(refs[several])), (2, keys[several & first], refs[several & first], place(keys[several & first] & _LOW))):
-            order = np.lexsort((r, at))
-            k, r, at = k[order], r[order], at[order]
+        order = np.argsort(keys, kind="stable")  # a document's pairs lie together, so equal pairs come to lie side by side
+        k, r = keys[order], refs[order]
+        fresh = np.append(True, k[1:] != k[:-1])
+        twice = np.append(False, ~fresh[1:] & (r[1:] == r[:-1]))
+        start = np.flatnonzero(fresh)
+        several = np.minimum.reduceat(r, start) != np.maximum.reduceat(r, start)
+        kind = np.empty(len(keys), np.int8)
+        kind[order] = np.where(twice, 3, np.repeat(several, np.diff(np.append(start, len(k)))))
+        place = lambda x: (mix(x.astype(np.uint64), 53) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        own, known, stand = keys[kind == 0], keys[kind == 1], k[start[several]]
+        for tag, x, y, at in ((0, own, refs[kind == 0], place(own & _LOW)), (1, known, refs[kind == 1], place(refs[kind == 1])), (2, stand, r[start[several]], place(stand & _LOW))):
+            if not len(x):
+                continue
+            order = np.argsort(at, kind="stable")
+            x, y, at = x[order], y[order], at[order].astype(np.int64)
             cut = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
             rows = []
-            for a, z in zip(cut[:-1], cut[1:]):
-                u, n = np.unique(r[a:z], return_counts=True)
-                rows.append((int(at[a]), known, _short(k[a:z]), u.tobytes(), n.astype(np.uint32).tobytes()))
+            for i, z in zip(cut[:-1], cut[1:]):
+                run = np.flatnonzero(np.append(True, y[i + 1 : z] != y[i : z - 1]))
+                rows.append((int(at[i]), tag, _short(x[i:z]), y[i:z][run].tobytes(), np.diff(np.append(run, z - i)).astype(np.uint32).tobytes()))
             for i in range(0, len(rows), 256):
                 part = list(zip(*rows[i : i + 256]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int8()), *[pa.array(c, pa.binary()) for c in part[2:]]], ["bucket", "known", "keys", "refs", "counts"])
@@ -254,7 +257,7 @@ def hash_pairs(docs: DataFrame, length: int, buckets: int, most: int = 1_500_000
         if held:
             yield from packed(np.concatenate(keys), np.concatenate(refs))
 
-    return _prepared(docs).mapInArrow(run, "bucket int, known byte, keys binary, refs binary, counts binary")
+    return _prepared(docs).mapInArrow(released(run), "bucket int, known byte, keys binary, refs binary, counts binary")
 
 
 def shared_hashes(pairs: DataFrame, n: int, groups: int) -> DataFrame:
@@ -288,7 +291,7 @@ def shared_hashes(pairs: DataFrame, n: int, groups: int) -> DataFrame:
         for r, k in _joined(run(batches)):
             yield from _messages(_group(r, groups), [r, k])
 
-    return pairs.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(messages, _ROW)
+    return pairs.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(messages), _ROW)
 
 
 def sent_stretches(rows: DataFrame, length: int, buckets: int, n: int, most: int = 24 << 20) -> DataFrame:
@@ -349,7 +352,7 @@ def sent_stretches(rows: DataFrame, length: int, buckets: int, n: int, most: int
 
 
 def _senders(blobs: list[bytes], length: int):
-    """Each sender's (doc_id, ref, tag, start, windows, least hashes, strings)."""
+    """Each sender's (doc_id, ref, tag, start, windows, least hashes, bytes, ends of its stretches there)."""
     for blob in blobs:
         body = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
         n = int.from_bytes(body[:8], "little")
@@ -360,7 +363,7 @@ def _senders(blobs: list[bytes], length: int):
         h = piece_hashes(np.frombuffer(body, np.uint8, -1, base))
         both = np.stack([ends - sizes, ends - _PIECE + 1], axis=1).ravel()
         key = np.minimum.reduceat(np.append(h, ~np.uint64(0)), both)[::2] if n else np.zeros(0, np.uint64)
-        yield (*cols, key, [body[base + e - w : base + e] for e, w in zip(ends.tolist(), sizes.tolist())])
+        yield (*cols, key, body, base + ends)
 
 
 def _joinable(keys: np.ndarray, strings: list[bytes], length: int) -> np.ndarray:
@@ -386,79 +389,96 @@ def _joinable(keys: np.ndarray, strings: list[bytes], length: int) -> np.ndarray
     return ok
 
 
-def repeated_windows(sent: DataFrame, length: int, n: int, groups: int, most: int = 1 << 20) -> DataFrame:
-    """Messages: (ref, doc_id, tag, first window, number) of windows that a smaller doc_id has too. Merges take about most bytes at a time."""
-
-    def of_bucket(blobs):
-        senders = list(_senders(blobs, length))
-        distinct: dict[bytes, int] = {}
-        variants: dict[int, bytes | None] = {}  # the one distinct stretch of a hash, or None where there are more
-        shard_of: list[list[tuple[int, bytes]]] = []
-        for ids, _, _, _, _, key, strings in senders:
-            fresh = []
-            for k, i, s in zip(key.tolist(), ids.tolist(), strings):
-                least = distinct.get(s)
-                if least is None:
-                    fresh.append((k, s))
-                    distinct[s] = i
-                    if variants.setdefault(k, s) is not s:
-                        variants[k] = None
-                elif i < least:
-                    distinct[s] = i
-            shard_of.append(fresh)
-        shard_of = [[x for x in fresh if variants[x[0]] is None] for fresh in shard_of]
-        every = [x for fresh in shard_of for x in fresh]
-        least: dict[bytes, np.ndarray] = {}
-        if every:
-            ok = _joinable(np.array([k for k, _ in every], np.uint64), [s for _, s in every], length)
-            parts = max(1, -(-sum(len(s) for (_, s), keep in zip(every, ok) if keep) // most))
-            split: list[list[list[bytes]]] = [[[] for _ in shard_of] for _ in range(parts)]  # equal windows have equal hashes, so hashes can be dealt to separate merges
-            at = 0
-            for i, fresh in enumerate(shard_of):
-                for (k, s), keep in zip(fresh, ok[at : at + len(fresh)]):
-                    if keep:
-                        split[(k >> 20) % parts][i].append(s)
-                at += len(fresh)
-            for shards in ([s for s in part if s] for part in split):
-                if shards:
-                    for strings, found in zip(shards, shared_windows(shards, [np.array([distinct[s] for s in own], np.int64) for own in shards], length)):
-                        least |= zip(strings, found)
-        ref, doc, runs = [], [], []
-        for ids, refs, tags, start, windows, _, strings in senders:
-            for i, r, t, a, w, s in zip(ids.tolist(), refs.tolist(), tags.tolist(), start.tolist(), windows.tolist(), strings):
-                by = least.get(s)
-                if by is None:
-                    if distinct[s] < i:
+def repeated_in(blobs: list[bytes], length: int, most: int):
+    """(ref, doc_id, tag, first window, number) of the repeated windows of one bucket's stretches, in parts of about 4 * most bytes. Merges take about most bytes at a time.
+
+    Equal windows have equal least hashes, so hashes can be dealt to parts, and in a part to separate merges; only a part's stretches are held as objects.
+    """
+    senders = list(_senders(blobs, length))
+    parts = max(1, -(-sum(int(s[4].sum()) + (length - 1) * len(s[4]) for s in senders) // (4 * most)))
+    for part in range(parts):
+        chosen = []
+        for *cols, key, body, ends in senders:
+            at = np.flatnonzero((key >> np.uint64(8)) % np.uint64(parts) == part)
+            w = cols[4][at] - 1 + length
+            chosen.append((*[c[at] for c in cols], key[at], [body[e - n : e] for e, n in zip(ends[at].tolist(), w.tolist())]))
+        out = _repeated(chosen, length, most)
+        if out is not None:
+            yield out
+        give_back()
+
+
+def _repeated(senders: list[tuple], length: int, most: int):
+    distinct: dict[bytes, int] = {}
+    variants: dict[int, bytes | None] = {}  # the one distinct stretch of a hash, or None where there are more
+    shard_of: list[list[tuple[int, bytes]]] = []
+    for ids, _, _, _, _, key, strings in senders:
+        fresh = []
+        for k, i, s in zip(key.tolist(), ids.tolist(), strings):
+            least = distinct.get(s)
+            if least is None:
+                fresh.append((k, s))
+                distinct[s] = i
+                if variants.setdefault(k, s) is not s:
+                    variants[k] = None
+            elif i < least:
+                distinct[s] = i
+        shard_of.append(fresh)
+    shard_of = [[x for x in fresh if variants[x[0]] is None] for fresh in shard_of]
+    every = [x for fresh in shard_of for x in fresh]
+    least: dict[bytes, tuple] = {}  # owners of the windows, the least and the largest of them
+    if every:
+        ok = _joinable(np.array([k for k, _ in every], np.uint64), [s for _, s in every], length)
+        parts = max(1, -(-sum(len(s) for (_, s), keep in zip(every, ok) if keep) // most))
+        split: list[list[list[bytes]]] = [[[] for _ in shard_of] for _ in range(parts)]
+        at = 0
+        for i, fresh in enumerate(shard_of):
+            for (k, s), keep in zip(fresh, ok[at : at + len(fresh)]):
+                if keep:
+                    split[(k >> 20) % parts][i].append(s)
+            at += len(fresh)
+        for shards in ([s for s in part if s] for part in split):
+            if shards:
+                for strings, found in zip(shards, shared_windows(shards, [np.array([distinct[s] for s in own], np.int64) for own in shards], length)):
+                    least |= {x: (by, int(by.min()), int(by.max())) for x, by in zip(strings, found)}
+    ref, doc, runs = [], [], []
+    for ids, refs, tags, start, windows, _, strings in senders:
+        for i, r, t, a, w, s in zip(ids.tolist(), refs.tolist(), tags.tolist(), start.tolist(), windows.tolist(), strings):
+            by, low, high = least.get(s) or (None, distinct[s], distinct[s])
+            if high < i:
+                ref.append(r)
+                doc.append(i)
+                runs.append((t, a, w))
+            elif low < i:
+                gone = np.flatnonzero(by < i)
+                if len(gone):
+                    cut = np.flatnonzero(np.diff(gone) > 1)
+                    for x, y in zip(gone[np.append(0, cut + 1)].tolist(), gone[np.append(cut, len(gone) - 1)].tolist()):
                         ref.append(r)
                         doc.append(i)
-                        runs.append((t, a, w))
-                else:
-                    gone = np.flatnonzero(by < i)
-                    if len(gone):
-                        cut = np.flatnonzero(np.diff(gone) > 1)
-                        for x, y in zip(gone[np.append(0, cut + 1)].tolist(), gone[np.append(cut, len(gone) - 1)].tolist()):
-                            ref.append(r)
-                            doc.append(i)
-                            runs.append((t, a + x, y - x + 1))
-        if not ref:
-            return None
-        r, v = np.array(ref, np.int64), np.array(runs, np.int64)
-        return r, np.array(doc, np.int64), *v.T
+                        runs.append((t, a + x, y - x + 1))
+    if not ref:
+        return None
+    r, v = np.array(ref, np.int64), np.array(runs, np.int64)
+    return r, np.array(doc, np.int64), *v.T
+
+
+
+def repeated_windows(sent: DataFrame, length: int, n: int, groups: int, most: int = 1 << 20) -> DataFrame:
+    """Messages: (ref, doc_id, tag, first window, number) of windows that a smaller doc_id has too. Merges take about most bytes at a time."""
 
     def run(batches):
         for t in _grouped(batches, "bucket"):
             where, blobs = t.column("bucket").to_numpy(), t.column("blob").to_pylist()
             cut = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(where))
             for a, z in zip(cut[:-1], cut[1:]):
-                out = of_bucket(blobs[a:z])
-                if out is not None:
-                    yield out
+                yield from repeated_in(blobs[a:z], length, most)
 
     def messages(batches):
         for columns in _joined(run(batches)):
             yield from _messages(_group(columns[0], groups), list(columns))
 
-    return sent.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(messages, _ROW)
+    return sent.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(messages), _ROW)
 
 
 def kept_text(text: bytes, runs: np.ndarray, length: int) -> tuple[bytes, int, int]:
