@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, small_batches
+from .common import released, slices, small_batches
 from .kernel import Words, shingles, words
 
 #: Public license notices and the statements commonly used in their place.
@@ -173,4 +173,4 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(names), pa.array(coverages), pa.array(spans), pa.array(n, pa.int64())], ["doc_id", "license", "coverage", "spans", "n_spans"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, coverage double, spans string, n_spans long")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, license string, coverage double, spans string, n_spans long")

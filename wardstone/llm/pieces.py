@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import released, slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, model: Pieces | str | None = None, column: str = "te
                 ids, ends = pieces.encode_batch(b.column(column).to_pylist())
                 yield b.append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
 
-    return docs.mapInArrow(run, docs.withColumn("ids", F.array().cast("array<int>")).schema)
+    return docs.mapInArrow(released(run), docs.withColumn("ids", F.array().cast("array<int>")).schema)
 
 
 def decode(rows: DataFrame, model: Pieces | str | None = None, column: str = "ids") -> DataFrame:
@@ -224,7 +224,7 @@ def decode(rows: DataFrame, model: Pieces | str | None = None, column: str = "id
         for b in batches:
             yield b.append_column("decoded", pa.array([pieces.decode(x or ()) for x in b.column(column).to_pylist()], pa.string()))
 
-    return rows.mapInArrow(run, rows.withColumn("decoded", F.lit("")).schema)
+    return rows.mapInArrow(released(run), rows.withColumn("decoded", F.lit("")).schema)
 
 
 def digests(docs: DataFrame, model: Pieces | str | None = None) -> DataFrame:
@@ -245,4 +245,4 @@ def digests(docs: DataFrame, model: Pieces | str | None = None) -> DataFrame:
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, written
+from .common import released, slices, small_batches, written
 from .kernel import shingles, words
 
 _CLASS = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 sentence marks, 5 other signs, 6 not ASCII, 7 line end
@@ -88,7 +88,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
                 x = features(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -164,7 +164,7 @@ def fit(table: DataFrame, labels: DataFrame, size: int = 384, ridge: float = 1e-
             yield pa.RecordBatch.from_pydict({"a": [a.tobytes()], "b": [b.tobytes()], "n": [n]})
 
     kind = "a binary, b binary, n long"
-    parts = rows.where(~F.col("fold")).mapInArrow(sums, kind).repartition(8).mapInArrow(merged, kind).toLocalIterator()
+    parts = rows.where(~F.col("fold")).mapInArrow(released(sums), kind).repartition(8).mapInArrow(released(merged), kind).toLocalIterator()
     a, b, n = np.zeros((size + 1, size + 1)), np.zeros(size + 1), 0
     for r in parts:
         a += np.frombuffer(r.a).reshape(a.shape)
@@ -179,7 +179,7 @@ def fit(table: DataFrame, labels: DataFrame, size: int = 384, ridge: float = 1e-
             k = np.clip((model.raw(_x(batch)) + 1) / 3 * bins, 0, bins - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(k), batch.column("y")], ["k", "y"])
 
-    counts = rows.where("fold").mapInArrow(binned, "k int, y double").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).orderBy("k").collect()
+    counts = rows.where("fold").mapInArrow(released(binned), "k int, y double").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).orderBy("k").collect()
     if counts:
         k = np.array([r.k for r in counts])
         model.knots = isotonic((k + 0.5) / bins * 3 - 1, np.array([r.n for r in counts], float), np.array([r.ones for r in counts]))
@@ -195,7 +195,7 @@ def score_table(table: DataFrame, model: QualityModel) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(_x(b)))], ["doc_id", "score"])
 
-    return table.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return table.mapInArrow(released(run), "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -212,4 +212,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **o
             for b in slices(batch, "text"):
                 yield b.filter(pa.array(model.score(features(b.column("text"))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

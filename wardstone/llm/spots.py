@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, small_batches
+from .common import partitions, released, slices, small_batches
 from .kernel import _POW, Words, mix, row_sets, shingles, word_hash, words
 
 #: Frequent function words of English, German, French and Spanish.
@@ -165,4 +165,4 @@ def edited_fingerprints(docs: DataFrame, anchors: list[str] | None = None, chain
         )
 
     rows = in_id_order(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), ["text"])
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

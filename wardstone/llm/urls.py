@@ -19,6 +19,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 ALLOW, BLOCK = "allow", "block"
 #: (verdict, host and path).
 RULES = [(ALLOW, "org/"), (BLOCK, "example.org/es/"), (BLOCK, "example.org/en/1"), (ALLOW, "com/fr/"), (BLOCK, "com/de/")]
@@ -69,7 +71,7 @@ def _with_tokens(rows: DataFrame) -> DataFrame:
             yield b.append_column("tokens", pa.array([url_tokens(u) for u in b.column("url").to_pylist()], pa.list_(pa.string())))
 
     fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(tokens, f"{fields}, tokens array<string>")
+    return rows.mapInArrow(released(tokens), f"{fields}, tokens array<string>")
 
 
 def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, max_tokens: int = 3, min_count: int = 10) -> list[dict]:
@@ -131,4 +133,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: D
             yield b.append_column("verdict", pa.array(verdicts, pa.string())).append_column("mined", pa.array([" ".join(sorted(r["tokens"])) if r else None for r in best], pa.string())).append_column("confidence", pa.array([r["confidence"] if r else None for r in best], pa.float64()))
 
     kind = dict(pages.dtypes)["page_id"]
-    return base.mapInArrow(judged, f"page_id {kind}, host string, path string, rule string, verdict string, mined string, confidence double")
+    return base.mapInArrow(released(judged), f"page_id {kind}, host string, path string, rule string, verdict string, mined string, confidence double")
