@@ -1,9 +1,10 @@
 import hashlib
+import random
 
 import pyarrow as pa
 import pytest
 
-from wardstone.llm.spots import ANCHORS, anchor_hashes, edited_fingerprints, jaccard, signature_sets
+from wardstone.llm.spots import ANCHORS, anchor_hashes, edited_fingerprints, jaccard, near_duplicates, signature_sets
 
 
 def test_edited_texts_and_order(frame, edge, prose):
@@ -44,3 +45,38 @@ def test_small_tables(frame, rows):
 def test_spots_follow_anchors():
     a, b = signature_sets(pa.array(["the quick fox of brown dogs and lazy cats", "THE, quick fox: of Brown dogs! and lazy cats."]), anchor_hashes(ANCHORS))
     assert a.tolist() == b.tolist() and len(a) == 3
+
+
+def test_near_duplicates_against_brute_force(frame, prose, edge):
+    rng = random.Random(3)
+    rows = [(i, prose(rng.randint(5, 200), i)) for i in range(60)]
+    for g in range(10):
+        words = prose(160, 900 + g).split()
+        for k in range(6):
+            w = list(words)
+            for _ in range(k * 2):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            rows.append((100 + 10 * g + k, " ".join(w)))
+    rows += [(300 + i, rows[70][1]) for i in range(5)] + [(400 + k, t) for k, (_, t) in enumerate(edge)]
+    sets = [set(s.tolist()) for s in signature_sets(pa.array([t for _, t in rows], pa.string()), anchor_hashes(ANCHORS))]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), 1 << 60), d)
+    expected = sorted((d, least[top(i)], links[i]) for i, (d, _) in enumerate(rows))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(frame(rows, clash=True), tile=16).collect())
+    assert got == expected and sum(links) > 100
+    assert near_duplicates(frame([])).count() == 0

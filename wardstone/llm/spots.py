@@ -7,8 +7,9 @@ where it has no words, so equal texts always have equal sets. Likeness is the Ja
 
 The fingerprint string is ``<number of signatures>:<hash of the whole set>:<the smallest hashes>``; two are equal exactly if the sets are.
 
-``near_pairs`` finds all pairs of unequal signature sets above a threshold: sets are partitioned by their size so that a set can
-only match within its own or the next larger partition, meet by the signatures of their prefixes (rarest first) and are compared with early stops.
+``near_duplicates`` finds all documents whose sets reach a threshold: sets are partitioned by their size so that a set can only match within its own or the
+next partition, meet there by the signatures of their prefixes (so many of the smallest that two sets above the threshold share one), and are compared
+with Jaccard similarities pruned by size, in tiles of connected candidates. No pair above the threshold is lost.
 
 Defined cases: a null text is the empty text. Repeated rows get equal fingerprints. Null doc_ids sort first. Extra columns are ignored. In the
 circle of next documents equal doc_ids are ordered by their texts, and a lone row is its own next document.
@@ -17,6 +18,7 @@ circle of next documents equal doc_ids are ordered by their texts, and a lone ro
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, released, slices, small_batches
+from .common import partitions, released, slices, small_batches, written
+from .components import components
 from .kernel import _POW, Words, mix, row_sets, shingles, word_hash, words
+from .ngram_join import _classes
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = """
@@ -166,3 +170,31 @@ def edited_fingerprints(docs: DataFrame, anchors: list[str] | None = None, chain
 
     rows = in_id_order(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), ["text"])
     return rows.mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, anchors: list[str] | None = None, chain: int = 2, tile: int = 512) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of those linked, directly or not), n_links (other documents whose sets reach the threshold), n_copies (of them with the same set). Rows without a doc_id are left out."""
+    held = anchor_hashes(ANCHORS if anchors is None else anchors)
+    small_batches(docs.sparkSession)
+    make = lambda texts: signature_sets(texts, held, chain)
+
+    def run(batches):
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
+                sets = make(b.column("text"))
+                prefix = [s[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1].view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([p.tolist() for p in prefix], pa.list_(pa.int64()))],
+                    ["doc_id", "n", "key", "prefix"],
+                )
+
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = written(texts.mapInArrow(released(run), "doc_id long, n long, key binary, prefix array<long>"), "spot-sets")
+    sets = written(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("prefix").alias("prefix")), "distinct-spots")
+    # sizes of a partition differ by less than the threshold allows, so matches lie in the same or the next one: a set shows up in both
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9)
+    shown = sets.select("id", F.explode("prefix").alias("spot"), size.alias("size")).withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1)))
+    meet = written(shown.groupBy("spot", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("spot", "size", "first"), "spot-meetings")
+    links = shown.join(meet.hint("shuffle_merge"), ["spot", "size"]).where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    classes = _classes(texts, sets, components(links), make, threshold, tile)
+    return rows.select("doc_id", "key").join(classes.hint("shuffle_merge"), "key").drop("key")
