@@ -35,8 +35,8 @@ EVENTS = """SELECT ts AS event_time, CASE event_type WHEN 'purchase' THEN 1 WHEN
 DETECTIONS = """SELECT event_time AS detected_at, CASE WHEN raw_id % 6 = 0 THEN 'acknowledged' ELSE 'new' END AS status, severity, CASE event_category WHEN 'authentication' THEN 'Failed sign-in' WHEN 'process' THEN 'Tool start' ELSE 'Alert' END AS rule_name, platform, source_type, host_name, user_name,
  source_ip, destination_ip, CASE event_category WHEN 'authentication' THEN ARRAY_1('Credential Access') WHEN 'process' THEN ARRAY_2('Execution', 'Command and Control') ELSE ARRAY_1('Command and Control') END AS mitre_tactics,
  CASE event_category WHEN 'authentication' THEN ARRAY_1('Brute Force') WHEN 'process' THEN ARRAY_2('Ingress Tool Transfer', 'Unix Shell') ELSE ARRAY_1('none') END AS mitre_techniques, 'd-' || raw_id AS detection_id FROM ev WHERE outcome = 'failure' OR event_category = 'process' OR event_kind = 'alert'"""
-INCIDENTS = """SELECT max(event_time) AS last_seen, min(event_time) AS created_at, 'i-' || host_name || '-' || event_category AS incident_id, max(severity) AS severity, CASE WHEN count(*) % 4 = 0 THEN 'closed' WHEN count(*) % 4 = 1 THEN 'acknowledged' ELSE 'new' END AS status,
- event_category AS incident_type, host_name AS primary_host, max(user_name) AS primary_user, count(*) AS input_count, count(DISTINCT source_type) AS source_family_count, CASE WHEN event_category = 'process' THEN ARRAY_2('T1059', 'T1105') ELSE ARRAY_1('T1110') END AS mitre_technique_ids FROM ev GROUP BY host_name, event_category"""
+INCIDENTS = """SELECT max(event_time) AS last_seen, min(event_time) AS created_at, 'i-' || host_name || '-' || platform AS incident_id, max(severity) AS severity, CASE WHEN count(*) % 4 = 0 THEN 'closed' WHEN count(*) % 4 = 1 THEN 'acknowledged' ELSE 'new' END AS status,
+ max(event_category) AS incident_type, host_name AS primary_host, max(user_name) AS primary_user, count(*) AS input_count, count(DISTINCT source_type) AS source_family_count, CASE WHEN platform = 'windows' THEN ARRAY_2('T1059', 'T1105') ELSE ARRAY_1('T1110') END AS mitre_technique_ids FROM ev GROUP BY host_name, platform"""
 
 
 def _arrays(text: str, spark: bool) -> str:
@@ -77,9 +77,9 @@ def report_incident_timeline(spark, sf_dir):
     return reports.evidence_timeline(rows, "host-3").select("input_id", "occurred_at", "rule_or_action")
 
 
-@query("WITH ev AS (" + EVENTS + "), inc AS (" + _arrays(INCIDENTS, False) + ") SELECT incident_id, severity, input_count FROM inc WHERE incident_id = 'i-host-2-process'")
+@query("WITH ev AS (" + EVENTS + "), inc AS (" + _arrays(INCIDENTS, False) + ") SELECT incident_id, severity, input_count FROM inc WHERE incident_id = 'i-host-2-linux'")
 def report_incident_detail(spark, sf_dir):
-    return reports.incident_detail(security(spark, sf_dir, "incidents"), "i-host-2-process").select("incident_id", "severity", "input_count")
+    return reports.incident_detail(security(spark, sf_dir, "incidents"), "i-host-2-linux").select("incident_id", "severity", "input_count")
 
 
 @query("WITH ev AS (" + EVENTS + ") SELECT platform, count(*) AS n FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND regexp_matches(host_name, '^host-[1-4]$') AND regexp_matches(vendor, 'Micro|OISF') GROUP BY platform")
