@@ -59,6 +59,9 @@ def test_immutable_writes(spark, tmp_path):
     assert store.read("t", df.schema).count() == 2
     with pytest.raises(incremental.Conflict):
         store.append_new("t", spark.createDataFrame([(1, "x")], "k int, v string"), ["k"], ["v"])
+    store.confirm("t", df, ["k"])
+    with pytest.raises(incremental.Conflict):
+        store.confirm("t", spark.createDataFrame([(9, "z")], "k int, v string"), ["k"])
     with pytest.raises(incremental.TooMany):
         incremental.at_most(df, 2)
 

@@ -51,6 +51,28 @@ def sequence_qualified(inputs: DataFrame, group: list[str], occurred: str, windo
     return done.drop(_MS, "_is", "_own", "_kth", *[f"_start{i}" for i in range(len(stages) - 1)])
 
 
+def sequence_progress(inputs: DataFrame, group: list[str], occurred: str, window_ms: int, stages: list[tuple[Column, int]]) -> DataFrame:
+    """For each group, how many leading stages its inputs have completed within the window that ends with its last input (all but the last stage can be partial state), and that input's time."""
+    out = _with_ms(inputs, occurred)
+    upto = Window.partitionBy(*group).orderBy(_MS).rangeBetween(Window.unboundedPreceding, 0)
+    before = upto.rangeBetween(Window.unboundedPreceding, -1)
+    start, done = F.col(_MS), []
+    for i, (is_stage, k) in enumerate(stages):
+        out = out.withColumn("_is", is_stage).withColumn("_own", F.when(F.col("_is"), start))
+        out = out.withColumn("_kth", F.lag("_own", k - 1).over(Window.partitionBy(*group, "_is").orderBy(_MS)) if k > 1 else F.col("_own"))
+        out = out.withColumn(f"_done{i}", F.max(F.when(F.col("_is"), F.col("_kth"))).over(upto)).withColumn(f"_start{i}", F.max(F.when(F.col("_is"), F.col("_kth"))).over(before))
+        start = F.col(f"_start{i}")
+        done.append(F.col(f"_done{i}").isNotNull() & (F.col(_MS) - F.col(f"_done{i}") <= window_ms))
+    n = F.lit(0)
+    for i in range(len(done)):
+        whole = done[0]
+        for d in done[1 : i + 1]:
+            whole = whole & d
+        n = n + whole.cast("int")
+    out = out.withColumn("stages_done", n)
+    return out.groupBy(*group).agg(F.max_by("stages_done", F.struct(F.col(_MS), F.col("stages_done"))).alias("stages_done"), F.max(occurred).alias("last_at"))
+
+
 def join_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, window_ms: int) -> DataFrame:
     """Pairs with equal keys within the window, inclusive at both ends."""
     return range_join(left, right, keys, left_time, right_time, window_ms)

@@ -78,6 +78,13 @@ def integrity_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.subtract(actual).withColumn("side", F.lit("expected")).union(actual.subtract(expected).withColumn("side", F.lit("actual")))
 
 
+def integrity_summary(events: DataFrame) -> DataFrame:
+    """Integrity events by rule and kind: how many, how many different inputs, a sample of two projections, first and last time."""
+    return events.groupBy("correlation_rule_id", "violation_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("input_kind", "input_id")).alias("inputs"), F.slice(F.array_sort(F.collect_set("projection_name")), 1, 2).alias("projections"), F.min("detected_at").alias("first_at"), F.max("detected_at").alias("last_at")
+    )
+
+
 def validate(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows that pass all checks, the others with ``failed_checks``). A null check fails."""
     failed = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, lifecycle, sigma, views
+from ..operators import correlate, incremental, lifecycle, sigma, views
 from ..sources.files import SYSMON_IDS, audit_events, event_log, journal, schema_differences
 from ..sources.telemetry import events, table
 from ..streaming.engine import DetectionEngine
@@ -142,3 +142,18 @@ def immutable_append(spark, sf_dir):
 @query(T + "SELECT host_name, count(*) AS evaluated, count(*) FILTER (event_action = 'error') AS matched, count(*) FILTER (attr IS NULL) AS failed, max(value) AS top FROM t GROUP BY host_name")
 def cycle_statistics(spark, sf_dir):
     return events(spark, sf_dir).groupBy("host_name").agg(F.count(F.lit(1)).alias("evaluated"), F.count_if(F.col("event_action") == "error").alias("matched"), F.count_if(F.col("attr").isNull()).alias("failed"), F.max("value").alias("top"))
+
+
+@query(T + "SELECT host_name AS correlation_rule_id, event_action AS violation_type, count(*) AS n, count(DISTINCT (severity, user_id)) AS inputs, list_slice(list_sort(list(DISTINCT 'p' || (attr % 5))), 1, 2) AS projections, min(occurred_at) AS first_at, max(occurred_at) AS last_at FROM t GROUP BY host_name, event_action")
+def integrity_summary(spark, sf_dir):
+    rows = events(spark, sf_dir).select(F.col("host_name").alias("correlation_rule_id"), F.col("event_action").alias("violation_type"), F.col("severity").alias("input_kind"), F.col("user_id").alias("input_id"), F.concat(F.lit("p"), F.col("attr") % 5).alias("projection_name"), F.col("occurred_at").alias("detected_at"))
+    return incremental.integrity_summary(rows)
+
+
+@query(T.rstrip() + """, l AS (SELECT user_id, max(epoch_ms(occurred_at)) AS last, max(occurred_at) AS last_at FROM t GROUP BY user_id),
+ c AS (SELECT l.user_id, last, last_at, (SELECT count(*) FROM t WHERE t.user_id = l.user_id AND event_action = 'error' AND last - epoch_ms(occurred_at) <= 172800000) AS errors,
+ (SELECT count(*) FROM t b WHERE b.user_id = l.user_id AND b.event_action = 'purchase' AND (SELECT count(*) FROM t a WHERE a.user_id = l.user_id AND a.event_action = 'error' AND epoch_ms(a.occurred_at) < epoch_ms(b.occurred_at) AND last - epoch_ms(a.occurred_at) <= 172800000) >= 2) AS done FROM l)
+SELECT user_id, CASE WHEN errors < 2 THEN 0 WHEN done = 0 THEN 1 ELSE 2 END AS stages_done, last_at FROM c""")
+def sequence_progress(spark, sf_dir):
+    stages = [(F.col("event_action") == "error", 2), (F.col("event_action") == "purchase", 1)]
+    return correlate.sequence_progress(events(spark, sf_dir), ["user_id"], "occurred_at", 172_800_000, stages)

@@ -32,6 +32,14 @@ class Store:
         self.append(name, incremental.new_rows(rows, self.read(name, rows.schema), keys, content))
 
 
+    def confirm(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+        """Read back: an error unless every key of rows is stored exactly once."""
+        stored = self.read(name, rows.schema).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        wrong = rows.select(*keys).distinct().join(stored, keys, "left").where(F.coalesce("_n", F.lit(0)) != 1)
+        if not wrong.isEmpty():
+            raise incremental.Conflict(f"{name}: a key is missing or stored twice")
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Append events by month, sorted for row-group skipping."""
     rows = events.withColumn("yyyymm", F.date_format("event_time", "yyyyMM"))
