@@ -1,12 +1,12 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is a minimum per node (summed map-side, so a hub is one row before its shuffle) and an equi-join back, whose hot partitions AQE
-splits. Steps are written to the shared folder; nothing is collected but a count and a hash sum per step.
+splits. Each pair of steps is one job, written to the shared folder; nothing is collected but a count and a hash sum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -21,14 +21,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least.hint("shuffle_merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("shuffle_merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        small = written(small, "components")
-        drop_written(large)
+        seen = Observation()
+        small = written(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "components")
         drop_written(e)
         e = small
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = (seen.get.get("n"), seen.get.get("h"))
         if now == state:
             break
         state = now

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, small_batches, written
+from .common import partitions, released, slices, small_batches, written
 from .components import components
 from .kernel import mix, shingle_sets
 
@@ -65,7 +65,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
 
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, key binary, tokens binary")
+    return rows.mapInArrow(released(run), "doc_id long, n long, key binary, tokens binary")
 
 
 def _tokens(column) -> np.ndarray:
@@ -115,7 +115,7 @@ def bucket_rows(sets: DataFrame, runs: int, depth: int, threshold: float) -> Dat
             owner, path = follow(tokens, np.repeat(np.arange(len(ids)), runs), np.tile(roots, len(ids)), depth, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[owner])], ["path", "id"])
 
-    return sets.select("id", "tokens").mapInArrow(run, "path long, id long").distinct()
+    return sets.select("id", "tokens").mapInArrow(released(run), "path long, id long").distinct()
 
 
 def split_rows(rows: DataFrame, sets: DataFrame, levels: int) -> DataFrame:
@@ -126,7 +126,7 @@ def split_rows(rows: DataFrame, sets: DataFrame, levels: int) -> DataFrame:
             path = descend(_tokens(b.column("tokens")), np.asarray(b.column("path")).view(np.uint64), levels)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("id")], ["path", "id"])
 
-    return rows.join(sets.select("id", "tokens"), "id").select("path", "id", "tokens").mapInArrow(run, "path long, id long")
+    return rows.join(sets.select("id", "tokens"), "id").select("path", "id", "tokens").mapInArrow(released(run), "path long, id long")
 
 
 def _grouped(batches, key: str):
@@ -189,25 +189,25 @@ def bucket_links(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     rows = groups.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("id")).join(sets.select("id", "tokens"), "id")
     n = partitions(groups.sparkSession)
-    return rows.select("gid", "id", "tokens").repartition(n, "gid").sortWithinPartitions("gid", "id").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("gid", "id", "tokens").repartition(n, "gid").sortWithinPartitions("gid", "id").mapInArrow(released(run), "a long, b long")
 
 
 def candidate_links(sets: DataFrame, threshold: float, recall: float, small: int) -> DataFrame:
     """(a, b): links that join every pair found alike, by the chosen paths."""
     depth = 4
     rows = written(bucket_rows(sets, runs_for(recall, depth), depth, threshold), "paths")
-    links = None
+    groups, hot = None, None
     for deeper in (True, True, False):
         sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "path-sizes")
-        groups = rows.join(sizes.where(F.col("size") <= small).select("path"), "path").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
-        found = written(bucket_links(groups, sets, threshold - 3 * math.sqrt(threshold * (1 - threshold) / TOKENS)), "bucket-links")
-        links = found if links is None else links.union(found)
+        own = rows.join(sizes.where(F.col("size") <= small).select("path"), "path").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
+        groups = own if groups is None else groups.union(own)
         large = rows.join(sizes.where(F.col("size") > small).select("path", "first"), "path")
         if deeper:
             rows = written(split_rows(large.select("path", "id"), sets, 2), "paths")
         else:
-            links = links.union(written(large.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "hot-links"))
-    return links
+            hot = large.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    least = threshold - 3 * math.sqrt(threshold * (1 - threshold) / TOKENS)
+    return bucket_links(groups.distinct(), sets, least).union(hot)
 
 
 def tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -242,8 +242,8 @@ def tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thre
     return i[ok], j[ok]
 
 
-def verified(docs: DataFrame, members: DataFrame, words: int, threshold: float, tile: int) -> DataFrame:
-    """(a, b, links) of the exact comparison within components. members: id, root, copies, n. Rows with b: a spanning link; rows without: links of set a in one tile, as a number of documents."""
+def verified(docs: DataFrame, members: DataFrame, make_sets, threshold: float, tile: int) -> DataFrame:
+    """(a, b, links) of the exact comparison within components. members: id, root, copies, n; make_sets turns an Arrow array of texts into their sets. Rows with b: a spanning link; rows without: links of set a in one tile, as a number of documents."""
     spark = docs.sparkSession
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     # a tile holds two blocks: at most about 2 * tile sets and 16 MB of hashes each, but for a single larger set
@@ -255,10 +255,10 @@ def verified(docs: DataFrame, members: DataFrame, words: int, threshold: float,
     def sets(batches):
         for batch in batches:
             for b in slices(batch, "text"):
-                got = pa.array([s.tobytes() for s in shingle_sets(b.column("text"), words)], pa.binary())
+                got = pa.array([s.tobytes() for s in make_sets(b.column("text"))], pa.binary())
                 yield b.drop_columns(["text"]).append_column("set", got)
 
-    rows = both.select("id", "root", "copies", "blocks", "block", "text").mapInArrow(sets, "id long, root long, copies long, blocks int, block int, set binary")
+    rows = both.select("id", "root", "copies", "blocks", "block", "text").mapInArrow(released(sets), "id long, root long, copies long, blocks int, block int, set binary")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     rows = rows.withColumn("t", F.explode(tiles)).select("id", "root", "copies", "block", F.col("t.i").alias("i"), F.col("t.j").alias("j"), F.xxhash64("root", "t.i", "t.j").alias("gid"), "set")
 
@@ -291,7 +291,7 @@ def verified(docs: DataFrame, members: DataFrame, words: int, threshold: float,
             if a:
                 yield pa.RecordBatch.from_arrays([*[pa.array(itertools.chain.from_iterable(x), pa.int64()) for x in (a, b, links)]], ["a", "b", "links"])
 
-    return rows.repartition(partitions(spark), "gid").sortWithinPartitions("gid", "id").mapInArrow(run, "a long, b long, links long")
+    return rows.repartition(partitions(spark), "gid").sortWithinPartitions("gid", "id").mapInArrow(released(run), "a long, b long, links long")
 
 
 def _same_tile(*keys: np.ndarray):
@@ -306,15 +306,19 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5, r
     """doc_id, class_id (smallest doc_id of those linked, directly or not), n_links (other documents with similarity of at least the threshold), n_copies (of them with the same set)."""
     rows = written(set_rows(docs, words), "shingle-sets")
     sets = written(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("tokens").alias("tokens")), "distinct-sets")
-    roots = written(components(candidate_links(sets, threshold, recall, small)), "candidate-classes")
+    roots = components(candidate_links(sets, threshold, recall, small))
+    classes = _classes(docs, sets, roots, lambda texts: shingle_sets(texts, words), threshold, tile)
+    return rows.select("doc_id", "key").join(classes.hint("shuffle_merge"), "key").drop("key")
+
+
+def _classes(docs: DataFrame, sets: DataFrame, roots: DataFrame, make_sets, threshold: float, tile: int) -> DataFrame:
+    """key, class_id, n_links, n_copies of each distinct set, from the candidates' components."""
     members = written(roots.withColumnRenamed("node", "id").join(sets.select("id", "copies", "n"), "id"), "members")
-    found = written(verified(docs, members, words, threshold, tile), "verified")
+    found = written(verified(docs, members, make_sets, threshold, tile), "verified")
     classes = components(found.where("b is not null").select("a", "b"))
     links = found.where("links is not null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     of_set = sets.select("key", "id", "copies").join(links, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")
-    of_set = written(of_set.select("key", F.coalesce("root", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("copies") - 1).alias("n_copies")), "set-classes")
-    linked = rows.select("doc_id", "key").join(of_set.hint("shuffle_merge"), "key").drop("key")
-    return linked
+    return written(of_set.select("key", F.coalesce("root", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("copies") - 1).alias("n_copies")), "set-classes")
 
 
 def all_documents(docs: DataFrame, **options) -> DataFrame:
