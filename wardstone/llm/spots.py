@@ -11,7 +11,7 @@ The fingerprint string is ``<number of signatures>:<hash of the whole set>:<the
 next partition, meet there by the signatures of their prefixes (so many of the smallest that two sets above the threshold share one), and are compared
 with Jaccard similarities pruned by size, in tiles of connected candidates. No pair above the threshold is lost.
 
-Defined cases: a null text is the empty text. Repeated rows get equal fingerprints. Null doc_ids sort first. Extra columns are ignored. In the
+Defined cases: a null text is the empty text. Repeated rows get equal fingerprints. Null doc_ids sort first, by a hash of their texts. Extra columns are ignored. In the
 circle of next documents equal doc_ids are ordered by their texts, and a lone row is its own next document.
 """
 
@@ -121,14 +121,17 @@ def in_id_order(docs: DataFrame, columns: list[str]) -> DataFrame:
         passed = F.size(F.filter(tiers, lambda t: t[0] <= F.col("doc_id")))
         inner = F.when(passed > 0, (passed - 1) * step + F.size(F.filter(F.element_at(tiers, F.greatest(passed, F.lit(1))), lambda x: x <= F.col("doc_id")))).otherwise(0)
         both = base.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(inner).cast("int"))
-        starts = F.col("doc_id").isNull() if row.none else (F.col("doc_id") == row.first)
+        starts = F.col("doc_id") == row.first
+        if row.none:  # of the rows without an id, the first by hash
+            least = base.where("doc_id IS NULL").agg(F.min(F.xxhash64(*columns)).alias("h")).first().h
+            starts = F.col("doc_id").isNull() & (F.xxhash64(*columns) == least)
         edge = F.element_at(F.array(*[F.lit(x) for x in edges]), F.greatest(F.col("bucket"), F.lit(1)))
         starts = F.coalesce(starts, F.lit(False)) | F.coalesce((F.col("bucket") > 0) & (edge == F.col("doc_id")), F.lit(False))
         last = len(edges)
     before = F.when(F.col("bucket") == 0, F.lit(last)).otherwise(F.col("bucket") - 1)
     held = F.when(starts, F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest")), F.struct(before.cast("int").alias("bucket"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))))
     both = both.withColumn("held", F.explode(held)).select(F.col("held.bucket").alias("bucket"), F.col("held.guest").alias("guest"), "doc_id", *columns)
-    return both.repartitionByRange(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("guest"), F.col("doc_id").asc_nulls_first(), *columns)
+    return both.repartitionByRange(n, "bucket").sortWithinPartitions(F.col("bucket"), F.col("guest"), F.col("doc_id").asc_nulls_first(), F.when(F.col("doc_id").isNull(), F.xxhash64(*columns)), *columns)
 
 
 def edited_fingerprints(docs: DataFrame, anchors: list[str] | None = None, chain: int = 2) -> DataFrame:

@@ -21,6 +21,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -45,6 +46,8 @@ def digest(payload: bytes) -> str:
 
 
 def _open(path: str):
+    """(file system, path in it) of a local path or a URI, also as Spark writes them."""
+    path = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
