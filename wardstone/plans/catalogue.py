@@ -246,12 +246,12 @@ def corr_join_three(spark, sf_dir):
     return three.where(range_join.span_ok([F.col("a_at"), F.col("b_at"), F.col("c_at")], 4 * HOUR)).select("a_id", "b_id", "c_id")
 
 
-@query(T.rstrip() + """, s AS (SELECT user_id, list(DISTINCT attr) AS attrs FROM t WHERE event_action = 'error' GROUP BY user_id), u AS (SELECT host_name, list(DISTINCT attr) AS attrs FROM t WHERE event_action = 'signup' AND attr < 20 GROUP BY host_name)
+@query(T.rstrip() + """, s AS (SELECT user_id, list(DISTINCT attr) AS attrs FROM t WHERE event_action = 'error' GROUP BY user_id), u AS (SELECT host_name, list(DISTINCT attr) AS attrs FROM t WHERE event_action = 'signup' GROUP BY host_name)
  SELECT user_id, host_name, list_sort(list_intersect(s.attrs, u.attrs)) AS shared FROM s JOIN u ON list_has_any(s.attrs, u.attrs)""")
 def corr_join_intersects(spark, sf_dir):
     e = events(spark, sf_dir)
     s = e.where("event_action = 'error'").groupBy("user_id").agg(F.collect_set("attr").alias("a"))
-    u = e.where("event_action = 'signup' AND attr < 20").groupBy("host_name").agg(F.collect_set("attr").alias("b"))
+    u = e.where("event_action = 'signup'").groupBy("host_name").agg(F.collect_set("attr").alias("b"))
     return range_join.overlap_join(s, u, "a", "b", "user_id", "host_name")
 
 
