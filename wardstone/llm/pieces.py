@@ -97,7 +97,7 @@ class Pieces:
 
     def _suffixes(self, state: str, c: str) -> tuple[str, list[tuple]]:
         """The longest start of a piece that ends the text read so far, after character c, and the entries of the pieces that end there, longest first."""
-        if len(self.moves) + self.tried >= 4 * self.most:
+        if len(self.moves) + self.tried >= self.most:
             self.moves.clear()
             self.entries.clear()
             self.tried = 0
@@ -178,6 +178,10 @@ class Pieces:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ids, ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
+    def rest(self) -> None:
+        """Between tasks only what is known of pieces stays, not the words: the worker may go on to do something else."""
+        self.known, self.aged = {}, {}
+
     def decode(self, ids) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -210,6 +214,7 @@ def encode(docs: DataFrame, model: Pieces | str | None = None, column: str = "te
             for b in slices(batch, column, 12 << 20):
                 ids, ends = pieces.encode_batch(b.column(column).to_pylist())
                 yield b.append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
+        pieces.rest()
 
     return docs.mapInArrow(released(run), docs.withColumn("ids", F.array().cast("array<int>")).schema)
 
@@ -243,6 +248,7 @@ def digests(docs: DataFrame, model: Pieces | str | None = None) -> DataFrame:
                     [b.column("doc_id"), pa.array(np.diff(ends)), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in own], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()), pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts)], pa.bool_())],
                     ["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "exact"],
                 )
+        pieces.rest()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean")
