@@ -38,6 +38,21 @@ def test_against_brute_force(frame, prose, edge, length):
     assert got == brute(rows, length)
 
 
+def test_doubled_line_before_a_shared_passage(frame):
+    """The least piece may stand twice in one stretch and once in its only partner, which matches at the second place."""
+    rng = random.Random(17)
+    words = "north maple birch cloud amber cedar field alder quiet river harbor stone".split()
+    some = lambda n: " ".join(rng.choice(words) + str(rng.randrange(100)) for _ in range(n))
+    rows = []
+    for k in range(120):
+        line, passage = some(6)[: rng.randint(16, 35)] + "\n", some(rng.randint(4, 12))
+        rows += [(2 * k, some(9) + line + line + passage + some(5)), (2 * k + 1, some(9) + line + passage + some(5))]
+        if k % 2:
+            rows[-2:] = [(2 * k, rows[-1][1]), (2 * k + 1, rows[-2][1])]
+    got = sorted(map(tuple, deduplicated(frame(rows).repartition(4)).collect()), key=repr)
+    assert got == brute(rows, 50)
+
+
 def test_kept_text_and_empty(frame):
     t = "0123456789" * 8
     rows = [(1, t + "abc"), (2, "xyz" + t)]

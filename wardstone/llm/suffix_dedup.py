@@ -374,18 +374,17 @@ def _joinable(keys: np.ndarray, strings: list[bytes], length: int) -> np.ndarray
     string = np.repeat(np.arange(len(strings)), sizes)
     inside = np.arange(len(string)) - start[string] <= sizes[string] - _PIECE
     at = np.flatnonzero(inside & (h[: len(string)] == keys[string]))
-    first = np.append(True, np.diff(string[at]) > 0)
+    own = string[at]
     ok = np.zeros(len(strings), bool)
-    ok[string[at[~first]]] = True
-    at = at[first]
-    offset = at - start
+    ok[own[1:][own[1:] == own[:-1]]] = True
+    offset = at - start[own]  # of every occurrence: another stretch may share a window with any of them
     side = (length - _PIECE) // 2
-    for step, has in ((-side, offset >= side), (side, offset + side + _PIECE <= sizes)):
+    for step, has in ((-side, offset >= side), (side, offset + side + _PIECE <= sizes[own])):
         i = np.flatnonzero(has)
         far = at[i] + step
-        k = mix(h[far] ^ mix(h[far - (1 if step > 0 else -1)], 71) ^ mix(keys[i], 73), 79)
+        k = mix(h[far] ^ mix(h[far - (1 if step > 0 else -1)], 71) ^ mix(keys[own[i]], 73), 79)
         _, back, count = np.unique(k, return_inverse=True, return_counts=True)
-        ok[i[count[back] > 1]] = True
+        ok[own[i[count[back] > 1]]] = True
     return ok
 
 
