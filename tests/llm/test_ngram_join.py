@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from wardstone.llm.kernel import shingle_sets
-from wardstone.llm.ngram_join import TOKENS, all_documents, embed, follow, one_of_each, runs_for, tile_links
+from wardstone.llm.ngram_join import TOKENS, all_documents, candidate_links, embed, follow, one_of_each, runs_for, tile_links
 
 
 def brute(rows):
@@ -84,6 +84,19 @@ def test_paths_reach_the_target_recall(share):
     assert met / n >= 0.93 and tokens.shape == (2, TOKENS)
 
 
+def test_pairs_in_a_crowd_reach_the_target_recall(spark):
+    """Pairs of a similarity of 0.81 among 800 half-alike sets, whose buckets are split."""
+    rng = np.random.default_rng(5)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    crowd, rows = some(253), []
+    for k in range(400):
+        own = some(87)
+        rows += [(2 * k + i, embed(np.sort(np.concatenate([crowd, own, some(40)]))).tobytes()) for i in range(2)]
+    sets = spark.createDataFrame(rows, "id long, tokens binary")
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in candidate_links(sets, 0.8, 0.99, small=16).collect()}
+    assert sum((2 * k, 2 * k + 1) in links for k in range(400)) >= 0.985 * 400
+
+
 def test_tiles_equal_pairwise_comparison():
     rng = np.random.default_rng(4)
     common = rng.integers(0, 2**64, 60, dtype=np.uint64)

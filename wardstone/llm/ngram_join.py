@@ -5,7 +5,7 @@ tokens. In each run a set starts at the root path and, level by level, follows e
 (path, token) falls under 1 / (threshold * 128): the same choices for all sets, so two sets meet in a bucket if a path of shared tokens is
 chosen. A pair at the threshold keeps one shared path on average, whatever the depth; runs are repeated until the chance that it survives
 in one of them reaches the target recall. Buckets of up to ``small`` sets are compared by brute force on the tokens. Larger ones are split two
-levels further, twice, each set following its least child only: a pair there shares several buckets, and their number must not grow.
+levels further, twice, by all chosen children too; the runs are those that the deepest level needs, so the target holds in crowds as well.
 Sets that still share a large bucket then agree on 8 sampled tokens and are all linked to its smallest.
 
 Links found so far only say which sets may be alike. Their connected components are then compared exactly, every pair of a component
@@ -89,20 +89,27 @@ def follow(tokens: np.ndarray, owner: np.ndarray, path: np.ndarray, levels: int,
     return owner, path
 
 
-def descend(tokens: np.ndarray, path: np.ndarray, levels: int) -> np.ndarray:
-    """Each row's path, levels longer, by the one child whose hash is the least among the row's tokens: two rows stay together with the chance of their similarity."""
-    salt = mix(tokens.astype(np.uint64) | (np.arange(TOKENS, dtype=np.uint64) << np.uint64(16)), 21)
-    for _ in range(levels):
-        path = mix(mix(salt ^ path[:, None], 29).min(axis=1), 31)
-    return path
+def least_share(threshold: float) -> float:
+    """The share of tokens that a pair must agree on to be linked: three standard deviations under the threshold."""
+    return threshold - 3 * math.sqrt(threshold * (1 - threshold) / TOKENS)
 
 
-def runs_for(recall: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has shared a bucket with this chance: a critical Poisson branching process that survives depth levels."""
-    alive = 1.0
-    for _ in range(depth):
-        alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+def runs_for(recall: float, depth: int, threshold: float = 0.8) -> int:
+    """Runs after which a pair at the threshold has shared a bucket, depth levels deep, and passed the check of tokens with this chance: a branching process for each number of tokens that the pair may agree on."""
+    p = 1 / (threshold * TOKENS)
+    agreed = [(k, math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k)) for k in range(TOKENS + 1) if k >= least_share(threshold) * TOKENS]
+    missed = []
+    for k, share in agreed:
+        alive = 1.0
+        for _ in range(depth):
+            alive = 1 - (1 - p * alive) ** k
+        missed.append((share, 1 - alive))
+    most = sum(share for _, share in agreed)
+    recall = min(recall, most - (1 - most))  # some pairs fail the check of tokens whatever the runs
+    runs = 1
+    while sum(share * (1 - miss**runs) for share, miss in missed) < recall:
+        runs += 1
+    return runs
 
 
 def bucket_rows(sets: DataFrame, runs: int, depth: int, threshold: float) -> DataFrame:
@@ -118,13 +125,14 @@ def bucket_rows(sets: DataFrame, runs: int, depth: int, threshold: float) -> Dat
     return sets.select("id", "tokens").mapInArrow(released(run), "path long, id long").distinct()
 
 
-def split_rows(rows: DataFrame, sets: DataFrame, levels: int) -> DataFrame:
-    """(path, id) with each path followed further, one child a level, so that rows don't grow in number."""
+def split_rows(rows: DataFrame, sets: DataFrame, levels: int, threshold: float) -> DataFrame:
+    """(path, id) with each path followed further, by all chosen children: a pair at the threshold keeps as many shared paths as it had, on average."""
 
     def run(batches):
         for b in batches:
-            path = descend(_tokens(b.column("tokens")), np.asarray(b.column("path")).view(np.uint64), levels)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("id")], ["path", "id"])
+            ids = np.asarray(b.column("id"))
+            owner, path = follow(_tokens(b.column("tokens")), np.arange(len(ids)), np.asarray(b.column("path")).view(np.uint64), levels, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[owner])], ["path", "id"])
 
     return rows.join(sets.select("id", "tokens"), "id").select("path", "id", "tokens").mapInArrow(released(run), "path long, id long")
 
@@ -194,20 +202,19 @@ def bucket_links(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def candidate_links(sets: DataFrame, threshold: float, recall: float, small: int) -> DataFrame:
     """(a, b): links that join every pair found alike, by the chosen paths."""
-    depth = 4
-    rows = written(bucket_rows(sets, runs_for(recall, depth), depth, threshold), "paths")
+    depth, splits = 4, (2, 2, 0)
+    rows = written(bucket_rows(sets, runs_for(recall, depth + sum(splits), threshold), depth, threshold), "paths")
     groups, hot = None, None
-    for deeper in (True, True, False):
+    for deeper in splits:
         sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "path-sizes")
         own = rows.join(sizes.where(F.col("size") <= small).select("path"), "path").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
         groups = own if groups is None else groups.union(own)
         large = rows.join(sizes.where(F.col("size") > small).select("path", "first"), "path")
         if deeper:
-            rows = written(split_rows(large.select("path", "id"), sets, 2), "paths")
+            rows = written(split_rows(large.select("path", "id"), sets, deeper, threshold), "paths")
         else:
-            hot = large.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    least = threshold - 3 * math.sqrt(threshold * (1 - threshold) / TOKENS)
-    return bucket_links(groups.distinct(), sets, least).union(hot)
+            hot = large.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    return bucket_links(groups.distinct(), sets, least_share(threshold)).union(hot)
 
 
 def tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
