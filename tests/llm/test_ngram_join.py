@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from wardstone.llm.kernel import shingle_sets
-from wardstone.llm.ngram_join import TOKENS, all_documents, candidate_links, embed, follow, one_of_each, runs_for, tile_links
+from wardstone.llm.ngram_join import TOKENS, all_documents, candidate_links, embed, follow, one_of_each, runs_for, sketch, tile_links
 
 
 def brute(rows):
@@ -67,6 +67,8 @@ def test_one_of_each(frame, prose):
     docs = frame(rows, clash=True)
     out = one_of_each(docs)
     assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 2, 5, 6]
+    twice = one_of_each(frame([*rows, (2, prose(40, 2)), (1, prose(40, 1)), (6, ""), (6, "")], clash=True))
+    assert sorted(r.doc_id or 0 for r in twice.collect()) == [0, 1, 2, 5, 6]
     assert one_of_each(frame([])).count() == 0 and all_documents(frame([])).count() == 0
 
 
@@ -91,12 +93,44 @@ def test_pairs_in_a_crowd_reach_the_target_recall(spark):
     crowd, rows = some(253), []
     for k in range(400):
         own = some(87)
-        rows += [(2 * k + i, embed(np.sort(np.concatenate([crowd, own, some(40)]))).tobytes()) for i in range(2)]
-    sets = spark.createDataFrame(rows, "id long, tokens binary")
-    links = {(min(r.a, r.b), max(r.a, r.b)) for r in candidate_links(sets, 0.8, 0.99, small=16).collect()}
+        tokens = [embed(np.sort(np.concatenate([crowd, own, some(40)]))) for i in range(2)]
+        rows += [(2 * k + i, t.tobytes(), sketch(t)) for i, t in enumerate(tokens)]
+    sets = spark.createDataFrame(rows, "id long, tokens binary, bits long")
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in candidate_links(sets, 0.8, 0.99, 16, []).collect()}
     assert sum((2 * k, 2 * k + 1) in links for k in range(400)) >= 0.985 * 400
 
 
+def test_crowd_of_near_copies_is_one_component(spark):
+    """Large buckets whose sets all look alike are linked at once, and a pair at the threshold inside one is in one component."""
+    rng = np.random.default_rng(6)
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    base, rows = some(300), []
+    for k in range(300):
+        t = embed(np.sort(np.concatenate([base[rng.random(300) < 0.93], some(15)])))
+        rows.append((k, t.tobytes(), sketch(t)))
+    links = candidate_links(spark.createDataFrame(rows, "id long, tokens binary, bits long"), 0.8, 0.99, 16, []).collect()
+    root = list(range(300))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in links:
+        root[max(top(r.a), top(r.b))] = min(top(r.a), top(r.b))
+    assert len({top(k) for k in range(300)}) == 1
+
+
+@pytest.mark.parametrize("others", [0, 20])
+def test_ties_count_alike_in_small_and_large_tiles(others):
+    """55 shared of 100 at 0.55: the comparison is between integers."""
+    pool = np.arange(1, 101, dtype=np.uint64)
+    sets = [pool[:77], pool[22:]] + [np.arange(1000 * k, 1000 * k + 77, dtype=np.uint64) for k in range(1, others + 1)]
+    every = np.ones(len(sets), bool)
+    i, j = tile_links(sets, every, every, 0.55)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 1)]
+
+
 def test_tiles_equal_pairwise_comparison():
     rng = np.random.default_rng(4)
     common = rng.integers(0, 2**64, 60, dtype=np.uint64)

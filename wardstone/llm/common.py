@@ -18,10 +18,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, whose executor is the driver, may do without: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = tempfile.mkdtemp(prefix="wardstone-")
@@ -33,12 +35,15 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors, forgets the partitioning."""
+def written(df: DataFrame, name: str, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors, forgets the partitioning. scratch collects tables that the caller drops."""
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if scratch is not None:
+        scratch.append(out)
+    return out
 
 
 def drop_written(df: DataFrame) -> None:

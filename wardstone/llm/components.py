@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import drop_written, written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(node, root): every node of an edge and the smallest node of its component. Loops and nulls are ignored."""
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """(node, root): every node of an edge and the smallest node of its component. Loops and nulls are ignored. The table behind the result goes to scratch."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e = written(e, "components")
     state = None
@@ -33,4 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         state = now
     else:
         raise RuntimeError(f"components did not settle in {most} steps")
+    if scratch is not None:
+        scratch.append(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

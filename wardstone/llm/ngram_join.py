@@ -4,9 +4,10 @@ Texts are sets of five-word shingles. Equal sets become one (the smallest doc_id
 tokens. In each run a set starts at the root path and, level by level, follows every child whose token it has and whose hash of
 (path, token) falls under 1 / (threshold * 128): the same choices for all sets, so two sets meet in a bucket if a path of shared tokens is
 chosen. A pair at the threshold keeps one shared path on average, whatever the depth; runs are repeated until the chance that it survives
-in one of them reaches the target recall. Buckets of up to ``small`` sets are compared by brute force on the tokens. Larger ones are split two
-levels further, twice, by all chosen children too; the runs are those that the deepest level needs, so the target holds in crowds as well.
-Sets that still share a large bucket then agree on 8 sampled tokens and are all linked to its smallest.
+in one of them reaches the target recall. Buckets of up to ``small`` sets are compared by brute force on the tokens. A larger bucket whose sets all
+look like its smallest, by 64 one-bit tokens, is a crowd of near copies: all are linked to the smallest, so every pair of the bucket is in one component.
+The other large buckets are split two levels further, twice, by all chosen children too; the runs are those that the deepest level needs, so the target
+holds in crowds as well. Sets that still share a large bucket then agree on 8 sampled tokens and are all linked to its smallest.
 
 Links found so far only say which sets may be alike. Their connected components are then compared exactly, every pair of a component
 whose sizes allow the threshold, in tiles of bounded size, each pair in exactly one tile. Tiles give each set's number of links and a
@@ -23,17 +24,19 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, released, slices, small_batches, written
+from .common import drop_written, partitions, released, slices, small_batches, written
 from .components import components
 from .kernel import mix, shingle_sets
 
 TOKENS = 128
+FAR = 20  # of 64 bits; sets of similarity 0.7 differ in 10 on average, in more than 20 once in some thousand; sets of 0.3 in 22
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 2**31, TOKENS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, TOKENS, dtype=np.uint32)
@@ -49,8 +52,13 @@ def embed(own: np.ndarray) -> np.ndarray:
         return (mix(low.astype(np.uint64), 3) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def sketch(tokens: np.ndarray) -> int:
+    """One bit of each of the first 64 tokens: two sets of similarity j differ in about (1 - j) / 2 of them."""
+    return int(np.packbits((tokens[:64] & 1).astype(np.uint8)).view(np.int64)[0])
+
+
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (shingles), key (hash of the set), tokens (its embedding), for rows with shingles and a doc_id."""
+    """doc_id, n (shingles), key (hash of the set), tokens (its embedding), bits (a sketch of it), for rows with shingles and a doc_id."""
 
     def run(batches):
         for batch in batches:
@@ -58,14 +66,15 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(b.column("text"), words)
                 at = [i for i, s in enumerate(sets) if len(s)]
                 if at:
+                    tokens = [embed(sets[i]) for i in at]
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(pa.array(at)), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in at]), pa.array([embed(sets[i]).tobytes() for i in at])],
-                        ["doc_id", "n", "key", "tokens"],
+                        [b.column("doc_id").take(pa.array(at)), pa.array([len(sets[i]) for i in at], pa.int64()), pa.array([hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in at]), pa.array([t.tobytes() for t in tokens]), pa.array([sketch(t) for t in tokens], pa.int64())],
+                        ["doc_id", "n", "key", "tokens", "bits"],
                     )
 
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(released(run), "doc_id long, n long, key binary, tokens binary")
+    return rows.mapInArrow(released(run), "doc_id long, n long, key binary, tokens binary, bits long")
 
 
 def _tokens(column) -> np.ndarray:
@@ -200,27 +209,38 @@ def bucket_links(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.select("gid", "id", "tokens").repartition(n, "gid").sortWithinPartitions("gid", "id").mapInArrow(released(run), "a long, b long")
 
 
-def candidate_links(sets: DataFrame, threshold: float, recall: float, small: int) -> DataFrame:
+def candidate_links(sets: DataFrame, threshold: float, recall: float, small: int, scratch: list[DataFrame]) -> DataFrame:
     """(a, b): links that join every pair found alike, by the chosen paths."""
     depth, splits = 4, (2, 2, 0)
-    rows = written(bucket_rows(sets, runs_for(recall, depth + sum(splits), threshold), depth, threshold), "paths")
-    groups, hot = None, None
+    rows = written(bucket_rows(sets, runs_for(recall, depth + sum(splits), threshold), depth, threshold), "paths", scratch)
+    groups, crowded = None, None
     for deeper in splits:
-        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "path-sizes")
+        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "path-sizes", scratch)
         own = rows.join(sizes.where(F.col("size") <= small).select("path"), "path").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
         groups = own if groups is None else groups.union(own)
-        large = rows.join(sizes.where(F.col("size") > small).select("path", "first"), "path")
+        hubs = sizes.where(F.col("size") > small).select("path", "first").join(sets.select(F.col("id").alias("first"), F.col("bits").alias("hub")), "first")
+        large = rows.join(hubs, "path").join(sets.select("id", "bits"), "id").select("path", "id", "first", F.bit_count(F.col("bits").bitwiseXOR(F.col("hub"))).alias("apart"))
         if deeper:
-            rows = written(split_rows(large.select("path", "id"), sets, deeper, threshold), "paths")
-        else:
-            hot = large.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    return bucket_links(groups.distinct(), sets, least_share(threshold)).union(hot)
+            large = written(large, "large-buckets", scratch)
+            alike = large.groupBy("path").agg(F.max("apart").alias("apart")).where(F.col("apart") <= FAR).select("path")
+            rows = written(split_rows(large.join(alike, "path", "left_anti").select("path", "id"), sets, deeper, threshold), "paths", scratch)
+            large = large.join(alike, "path", "left_semi")
+        linked = large.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+        crowded = linked if crowded is None else crowded.union(linked)
+    return bucket_links(groups.distinct(), sets, least_share(threshold)).union(crowded.distinct())
+
+
+def exact(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction, so that comparisons are between integers: 0.55 is 11 / 20."""
+    f = Fraction(str(threshold)).limit_denominator(1 << 20)
+    return f.numerator, f.denominator
 
 
 def tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of all pairs of a left and a right set, i before j, with Jaccard similarity of at least the threshold."""
+    num, den = exact(threshold)
     n = np.array([len(s) for s in sets], np.int64)
-    allowed = np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n)
+    allowed = den * np.minimum(n[:, None], n) >= num * np.maximum(n[:, None], n)
     allowed &= left[:, None] & right[None, :] | right[:, None] & left[None, :]
     allowed = np.triu(allowed, 1)
     i, j = np.nonzero(allowed)
@@ -228,7 +248,7 @@ def tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thre
         return i, j
     if len(sets) <= 12:
         both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
-        ok = both >= threshold * (n[i] + n[j] - both)
+        ok = den * both >= num * (n[i] + n[j] - both)
         return i[ok], j[ok]
     owner = np.repeat(np.arange(len(sets)), n)
     _, col = np.unique(np.concatenate(sets), return_inverse=True)
@@ -244,8 +264,8 @@ def tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thre
         m = np.zeros((len(sets), min(width, total - at)), np.float32)
         m[owner[a:z], col[a:z] - at] = 1
         both += m @ m.T
-    shared = both[i, j]
-    ok = shared >= threshold * (n[i] + n[j] - shared) - 1e-6
+    shared = both[i, j].astype(np.int64)
+    ok = den * shared >= num * (n[i] + n[j] - shared)
     return i[ok], j[ok]
 
 
@@ -312,20 +332,24 @@ def _same_tile(*keys: np.ndarray):
 def similar_documents(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.99, small: int = 64, tile: int = 512) -> DataFrame:
     """doc_id, class_id (smallest doc_id of those linked, directly or not), n_links (other documents with similarity of at least the threshold), n_copies (of them with the same set)."""
     rows = written(set_rows(docs, words), "shingle-sets")
-    sets = written(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("tokens").alias("tokens")), "distinct-sets")
-    roots = components(candidate_links(sets, threshold, recall, small))
-    classes = _classes(docs, sets, roots, lambda texts: shingle_sets(texts, words), threshold, tile)
+    scratch: list[DataFrame] = []
+    sets = written(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("tokens").alias("tokens"), F.min("bits").alias("bits")), "distinct-sets", scratch)
+    roots = components(candidate_links(sets, threshold, recall, small, scratch), scratch=scratch)
+    classes = _classes(docs, sets, roots, lambda texts: shingle_sets(texts, words), threshold, tile, scratch)
     return rows.select("doc_id", "key").join(classes.hint("shuffle_merge"), "key").drop("key")
 
 
-def _classes(docs: DataFrame, sets: DataFrame, roots: DataFrame, make_sets, threshold: float, tile: int) -> DataFrame:
-    """key, class_id, n_links, n_copies of each distinct set, from the candidates' components."""
-    members = written(roots.withColumnRenamed("node", "id").join(sets.select("id", "copies", "n"), "id"), "members")
-    found = written(verified(docs, members, make_sets, threshold, tile), "verified")
-    classes = components(found.where("b is not null").select("a", "b"))
+def _classes(docs: DataFrame, sets: DataFrame, roots: DataFrame, make_sets, threshold: float, tile: int, scratch: list[DataFrame]) -> DataFrame:
+    """key, class_id, n_links, n_copies of each distinct set, from the candidates' components. Drops the tables in scratch."""
+    members = written(roots.withColumnRenamed("node", "id").join(sets.select("id", "copies", "n"), "id"), "members", scratch)
+    found = written(verified(docs, members, make_sets, threshold, tile), "verified", scratch)
+    classes = components(found.where("b is not null").select("a", "b"), scratch=scratch)
     links = found.where("links is not null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     of_set = sets.select("key", "id", "copies").join(links, "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")
-    return written(of_set.select("key", F.coalesce("root", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("copies") - 1).alias("n_copies")), "set-classes")
+    out = written(of_set.select("key", F.coalesce("root", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("copies") - 1).alias("n_copies")), "set-classes")
+    for t in scratch:
+        drop_written(t)
+    return out
 
 
 def all_documents(docs: DataFrame, **options) -> DataFrame:
@@ -338,6 +362,11 @@ def all_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is its class's smallest; of repeated doc_ids one row; rows without doc_id stay."""
-    gone = all_documents(docs, **options).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, whose doc_id is its class's smallest; rows without doc_id stay. Rows repeated whole stay once; a doc_id that stands on different texts goes with any of them."""
+    found = written(all_documents(docs, **options).where(F.col("doc_id").isNotNull()), "classes")
+    gone = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates()).select(*docs.columns)

@@ -193,11 +193,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, anchors: list[str]
 
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = written(texts.mapInArrow(released(run), "doc_id long, n long, key binary, prefix array<long>"), "spot-sets")
-    sets = written(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("prefix").alias("prefix")), "distinct-spots")
+    scratch: list[DataFrame] = []
+    sets = written(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("prefix").alias("prefix")), "distinct-spots", scratch)
     # sizes of a partition differ by less than the threshold allows, so matches lie in the same or the next one: a set shows up in both
     size = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9)
     shown = sets.select("id", F.explode("prefix").alias("spot"), size.alias("size")).withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1)))
-    meet = written(shown.groupBy("spot", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("spot", "size", "first"), "spot-meetings")
+    meet = written(shown.groupBy("spot", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("spot", "size", "first"), "spot-meetings", scratch)
     links = shown.join(meet.hint("shuffle_merge"), ["spot", "size"]).where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    classes = _classes(texts, sets, components(links), make, threshold, tile)
+    classes = _classes(texts, sets, components(links, scratch=scratch), make, threshold, tile, scratch)
     return rows.select("doc_id", "key").join(classes.hint("shuffle_merge"), "key").drop("key")
