@@ -5,7 +5,7 @@ tokens. In each run a set starts at the root path and, level by level, follows e
 (path, token) falls under 1 / (threshold * 128): the same choices for all sets, so two sets meet in a bucket if a path of shared tokens is
 chosen. A pair at the threshold keeps one shared path on average, whatever the depth; runs are repeated until the chance that it survives
 in one of them reaches the target recall. Buckets of up to ``small`` sets are compared by brute force on the tokens. A larger bucket whose sets all
-look like its smallest, by 64 one-bit tokens, is a crowd of near copies: all are linked to the smallest, so every pair of the bucket is in one component.
+look like one of 8 hubs that hang together, by 64 one-bit tokens, is a crowd of near copies: all are linked to their hubs, so every pair is in one component.
 The other large buckets are split two levels further, twice, by all chosen children too; the runs are those that the deepest level needs, so the target
 holds in crowds as well. Sets that still share a large bucket then agree on 8 sampled tokens and are all linked to its smallest.
 
@@ -36,7 +36,7 @@ from .components import components
 from .kernel import mix, shingle_sets
 
 TOKENS = 128
-FAR = 20  # of 64 bits; sets of similarity 0.7 differ in 10 on average, in more than 20 once in some thousand; sets of 0.3 in 22
+FAR = 23  # of 64 bits: sets of similarity 0.67 differ in 11 on average, in more than 23 once in some ten thousand; of 64 sets of similarity 0.4, some do
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 2**31, TOKENS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, TOKENS, dtype=np.uint32)
@@ -122,7 +122,7 @@ def runs_for(recall: float, depth: int, threshold: float = 0.8) -> int:
 
 
 def bucket_rows(sets: DataFrame, runs: int, depth: int, threshold: float) -> DataFrame:
-    """(path, id) of all runs."""
+    """(path, id) of all runs, each once: a set's paths differ by their run or by a token."""
 
     def run(batches):
         roots = mix(np.arange(runs, dtype=np.uint64), 41)
@@ -131,7 +131,7 @@ def bucket_rows(sets: DataFrame, runs: int, depth: int, threshold: float) -> Dat
             owner, path = follow(tokens, np.repeat(np.arange(len(ids)), runs), np.tile(roots, len(ids)), depth, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(ids[owner])], ["path", "id"])
 
-    return sets.select("id", "tokens").mapInArrow(released(run), "path long, id long").distinct()
+    return sets.select("id", "tokens").mapInArrow(released(run), "path long, id long")
 
 
 def split_rows(rows: DataFrame, sets: DataFrame, levels: int, threshold: float) -> DataFrame:
@@ -209,23 +209,33 @@ def bucket_links(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.select("gid", "id", "tokens").repartition(n, "gid").sortWithinPartitions("gid", "id").mapInArrow(released(run), "a long, b long")
 
 
+def crowds(large: DataFrame, hubs: int = 8) -> DataFrame:
+    """path, id, hub, crowd of large buckets (path, id, bits): the first of a bucket's hubs that a set looks like; crowd: every set looks like one and the hubs hang together, so that all the bucket's sets are linked through hubs."""
+    salted = [F.xxhash64("id", F.lit(k)) for k in range(hubs)]
+    picked = large.groupBy("path").agg(*[f(c, h).alias(f"{c}{k}") for k, h in enumerate(salted) for f, c in ((F.min_by, "id"), (F.min_by, "bits"))])
+    picked = picked.select("path", F.array(*[F.struct(F.col(f"id{k}").alias("id"), F.col(f"bits{k}").alias("bits")) for k in range(hubs)]).alias("hubs"))
+    seen = large.join(picked, "path").withColumn("at", F.array_position(F.transform("hubs", lambda h: F.bit_count(h["bits"].bitwiseXOR(F.col("bits"))) <= FAR), True))
+    seen = seen.select("path", "id", F.when(F.col("at") > 0, F.element_at("hubs", F.greatest(F.col("at"), F.lit(1)).cast("int"))["id"]).alias("hub"), (F.col("at") == 1).alias("main"))
+    # a hub but the main one that looks like none before it stands apart
+    whole = seen.groupBy("path").agg(F.min(F.col("hub").isNotNull() & (F.col("main") | (F.col("hub") != F.col("id")))).alias("crowd"))
+    return seen.drop("main").join(whole, "path")
+
+
 def candidate_links(sets: DataFrame, threshold: float, recall: float, small: int, scratch: list[DataFrame]) -> DataFrame:
     """(a, b): links that join every pair found alike, by the chosen paths."""
     depth, splits = 4, (2, 2, 0)
     rows = written(bucket_rows(sets, runs_for(recall, depth + sum(splits), threshold), depth, threshold), "paths", scratch)
     groups, crowded = None, None
     for deeper in splits:
-        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "path-sizes", scratch)
+        sizes = written(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1"), "path-sizes", scratch)
         own = rows.join(sizes.where(F.col("size") <= small).select("path"), "path").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids")
         groups = own if groups is None else groups.union(own)
-        hubs = sizes.where(F.col("size") > small).select("path", "first").join(sets.select(F.col("id").alias("first"), F.col("bits").alias("hub")), "first")
-        large = rows.join(hubs, "path").join(sets.select("id", "bits"), "id").select("path", "id", "first", F.bit_count(F.col("bits").bitwiseXOR(F.col("hub"))).alias("apart"))
+        large = rows.join(sizes.where(F.col("size") > small).select("path", "hub"), "path")
         if deeper:
-            large = written(large, "large-buckets", scratch)
-            alike = large.groupBy("path").agg(F.max("apart").alias("apart")).where(F.col("apart") <= FAR).select("path")
-            rows = written(split_rows(large.join(alike, "path", "left_anti").select("path", "id"), sets, deeper, threshold), "paths", scratch)
-            large = large.join(alike, "path", "left_semi")
-        linked = large.where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+            seen = written(crowds(written(large.select("path", "id").join(sets.select("id", "bits"), "id"), "large-buckets", scratch)), "crowds", scratch)
+            rows = written(split_rows(seen.where("not crowd").select("path", "id"), sets, deeper, threshold), "paths", scratch)
+            large = seen.where("crowd")
+        linked = large.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
         crowded = linked if crowded is None else crowded.union(linked)
     return bucket_links(groups.distinct(), sets, least_share(threshold)).union(crowded.distinct())
 
