@@ -34,7 +34,7 @@ def test_shipped_rules_match_their_cases(spark):
     assert all(r.matches(CASES[r.id][0]) and not r.matches(CASES[r.id][0] | CASES[r.id][1]) for r in rules)
 
 
-@pytest.mark.parametrize("change", [{"Text|contains": "a*"}, {"Nope": "a"}, {"Image|re": "a"}, {"Image|contains|all": "a"}, {"Image": []}, {"Image": None}, {"User|exists": "yes"}])
+@pytest.mark.parametrize("change", [{"Text|contains": "a*"}, {"Nope": "a"}, {"Image|re": "a"}, {"Image|contains|all": "a"}, {"Image": []}, {"Image": None}, {"User|exists": "yes"}, {"Image|contains": ""}, {"Image|startswith": 1}, {"Image|endswith": ["a", ""]}])
 def test_rules_fail_closed(change):
     doc = {"title": "t", "id": "i", "level": "low", "logsource": {"product": "linux"}, "detection": {"s": change, "condition": "s"}}
     with pytest.raises(sigma.RuleError):
@@ -53,7 +53,7 @@ def test_compiled_column_equals_interpreter(spark):
     rows = [(i, *[rng.choice(values) for _ in range(3)]) for i in range(300)]
     df = spark.createDataFrame(rows, "i int, a string, b string, c string")
     fields = {"A": "a", "B": "b", "C": "c"}
-    detections = [{"x": {f"{rng.choice('ABC')}|{op}" if op != "exact" else rng.choice("ABC"): rng.choice(["alpha", ["BETA", "1"], 10]) if op != "exists" else rng.choice([True, False])}, "y": {"B": ["beta", ""]}, "condition": rng.choice(["x", "not x", "x and not y", "1 of them", "all of them or not (x or y)"])} for op in sigma.OPERATORS for _ in range(6)]
+    detections = [{"x": {f"{rng.choice('ABC')}|{op}" if op != "exact" else rng.choice("ABC"): rng.choice([True, False]) if op == "exists" else rng.choice(["alpha", ["BETA", "1"], 10 if op == "exact" else "a"])}, "y": {"B": ["beta", ""]}, "condition": rng.choice(["x", "not x", "x and not y", "1 of them", "all of them or not (x or y)"])} for op in sigma.OPERATORS for _ in range(6)]
     cols = []
     for n, d in enumerate(detections):
         rule = sigma.compile_rule({"title": "t", "id": str(n), "level": "low", "logsource": {"p": "q"}, "detection": d}, fields, {"p": {"q": ("a", "a")}})

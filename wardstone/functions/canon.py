@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 import unicodedata
 
 import pandas as pd
@@ -59,6 +60,11 @@ def canonical_principal(user: Column, platform: Column, unicode_rules: bool = Fa
     return F.when(u.isNotNull() & p.isNotNull() & ~F.coalesce(bad, F.lit(False)), F.struct(p.alias("platform"), space.alias("namespace"), realm.alias("realm"), account.alias("account")))
 
 
+def principal_json(platform: Column, namespace: Column, realm: Column, account: Column) -> Column:
+    """A principal as JSON, in the order of its fields; null without an account."""
+    return F.when(account.isNotNull() & platform.isNotNull(), F.to_json(F.struct(platform.alias("platform"), namespace.alias("namespace"), realm.alias("realm"), account.alias("account"))))
+
+
 def display_principal(principal: Column) -> Column:
     """``REALM\\account``, ``account@realm`` or the bare account."""
     return F.when(principal["namespace"] == "downlevel", F.concat(principal["realm"], F.lit("\\"), principal["account"])).when(principal["namespace"] == "upn", F.concat_ws("@", principal["account"], principal["realm"])).otherwise(principal["account"])
@@ -71,22 +77,38 @@ def canonical_ipv4(c: Column) -> Column:
     return F.when(t.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), t)
 
 
-def _address(v):
+def literal_ip(v) -> str | None:
+    """canonical_ip of a constant."""
     try:
-        a = ipaddress.ip_address(v.strip()) if v and "%" not in v else None
+        a = ipaddress.ip_address(str(v).strip()) if v is not None and "%" not in str(v) else None
     except ValueError:
         return None
-    return str(a.ipv4_mapped or a) if a and a.version == 6 else a and str(a)
+    return a and str(getattr(a, "ipv4_mapped", None) or a)
 
 
 @F.pandas_udf(T.StringType())
 def _canonical_ip(values: pd.Series) -> pd.Series:
-    return values.map(_address)
+    return values.map(literal_ip)
 
 
 def canonical_ip(c: Column) -> Column:
-    """Canonical IPv4 or compressed IPv6; v4-mapped addresses become IPv4, zones and junk null. IPv4 never leaves the JVM's path for rows without ':'."""
-    return F.coalesce(canonical_ipv4(c), F.when(F.contains(c, F.lit(":")), _canonical_ip(c)))
+    """Canonical IPv4 or compressed IPv6; v4-mapped addresses become IPv4, zones and junk null."""
+    return F.coalesce(canonical_ipv4(c), _canonical_ip(F.when(F.contains(c, F.lit(":")), c)))
+
+
+def literal_principal(v, windows: bool) -> tuple[str, str, str] | None:
+    """(namespace, realm, account) of a constant user name."""
+    u = unicodedata.normalize("NFC", str(v).strip())
+    if not u or re.search(_CONTROL, u):
+        return None
+    if not windows:
+        return "local", "", u
+    u = u.casefold()
+    for mark, space in (("\\", "downlevel"), ("@", "upn")):
+        a, found, b = u.partition(mark)
+        if found and a and b and not re.search(r"[\\@]", a + b):
+            return (space, a, b) if space == "downlevel" else (space, b, a)
+    return None if re.search(r"[\\@]", u) else ("bare", "", u)
 
 
 def ownable(ip: Column) -> Column:

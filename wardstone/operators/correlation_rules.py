@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import canon
 from ..functions.attack import SEVERITY
 from ..functions.text import duration_seconds
 
@@ -41,20 +42,34 @@ class Selector:
     source: str
     where: tuple[tuple[str, str, tuple], ...]
 
-    def column(self, canonical: dict[str, Column] | None = None) -> Column:
-        """Whether an input is of this source, valid, and meets all predicates. Hosts, users and addresses compare in canonical form."""
+    def holds(self, canonical: dict[str, Column] | None = None) -> Column:
+        """Whether an input is of this source and meets all predicates. Hosts, users and addresses of both sides compare in canonical form."""
         col = lambda f: (canonical or {}).get(f, F.col(f))
 
-        def test(f, op, values):
+        def same(f: str, c: Column, v) -> Column:
+            if f == "host_name":
+                return c == canon.canonical_host(F.lit(str(v)))
+            if f in ("source_ip", "destination_ip"):
+                return c == F.lit(canon.literal_ip(v))
+            if f == "user_name":
+                platform = F.lower(F.trim("platform"))
+                who = lambda w: canon.principal_json(platform, *map(F.lit, canon.literal_principal(v, w) or (None, None, None)))
+                return c == F.when(platform == "windows", who(True)).otherwise(who(False))
+            if f == "platform":
+                return F.lower(F.trim(c)) == str(v).strip().lower()
+            return c.try_cast("bigint") == v if isinstance(v, int) else c.cast("string") == v
+
+        def test(f, op, values) -> Column:
             c = col(f)
             if op == "exists":
-                return c.isNotNull() & (F.trim(c.cast("string")) != "")
-            if f == "platform":
-                return F.lower(c).isin([str(v).lower() for v in values])
-            return c.cast("string").isin([str(v) for v in values])
+                return F.trim(F.col(f).cast("string")) != ""
+            return reduce(lambda a, b: a | b, [F.coalesce(same(f, c, v), F.lit(False)) for v in values])
+
+        return F.coalesce(reduce(lambda a, b: a & b, [F.col("input_kind") == self.source, *[test(*w) for w in self.where]]), F.lit(False))
 
-        parts = [F.col("input_kind") == self.source, F.col("invalid_reason").isNull(), *[test(*w) for w in self.where]]
-        return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
+    def column(self, canonical: dict[str, Column] | None = None) -> Column:
+        """holds, of valid inputs."""
+        return F.col("invalid_reason").isNull() & self.holds(canonical)
 
 
 @dataclass(frozen=True)
@@ -149,6 +164,8 @@ def compile_correlation(doc: dict) -> CorrelationRule:
             _keys(s, {"selector", "min_count"})
             _need(s["selector"] in selectors, "unknown selector of a stage")
         stages = tuple((s["selector"], _int(s["min_count"], 1, MAX["stage"], "min_count")) for s in c["stages"])
+        _need(len({s for s, _ in stages}) == len(stages), "a selector is the stage of one step only")
+        _need(sum(k for _, k in stages) <= MAX["threshold"], f"a sequence has at most {MAX['threshold']} inputs")
         _need(any(selectors[s].source == "detection" for s, _ in stages), "a sequence needs a detection stage")
         used = {s for s, _ in stages}
     else:

@@ -1,215 +1,162 @@
-"""Incidents: correlation rules evaluated over typed inputs, with episodes, lateness and ownership.
+"""Incidents: correlation rules evaluated over typed inputs, with a decision for every candidate.
 
-``evaluate(rule, inputs)`` gives one decision per candidate and the links of incidents to their inputs; ``incident_table`` recomputes incidents from links.
-Groups are dealt by hash and read in the order (group, occurred, kind, id); within a group one pass keeps only the inputs of the last window and the open episodes. An
-input that would make a set among more than MAX_SETS combinations fails visibly, as ``too_many_combinations``, rather than being dropped.
+``evaluate(rule, inputs)`` gives one decision per candidate and the members that it adds; ``links`` and ``incident_table`` recompute incidents from them.
+Inputs that are invalid, fit no selector or lack a part of the group are decided by columns. The others are dealt by group and, within a group, by segment:
+a pause longer than the window starts a new one, since no set and no episode crosses it. A segment is read in the order (occurred, kind, id) and holds the inputs
+of one window and the open episodes.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import combinations, product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canon
 from . import collapse, correlate
 from .correlation_rules import CorrelationRule
+from .episodes import Episode, GroupState, Input
 from .range_join import range_join, span_ok
 
-MAX_SETS = 100_000
 FIELDS = ("rule_id", "rule_version", "rule_name", "severity", "platform", "vendor", "product", "source_type", "host_name", "user_name", "user_id", "source_ip", "destination_ip", "protocol", "signature", "signature_id", "event_code", "event_category", "event_action", "event_kind", "service_name", "outcome", "initiated", "validation_id")
-DECISION = "input_kind string, input_id string, group_json string, action string, lateness string, reason string, episode_start_ms long, episode_end_ms long, anchor_kind string, anchor_id string, members array<struct<kind:string,id:string,role:string>>"
+_MEMBERS = "array<struct<kind:string,id:string,role:string>>"
+_FIELDS = ("input_kind string", "input_id string", "group_json string", "action string", "lateness string", "reason string", "incident_id string", "episode_start_ms long", "episode_end_ms long", "late_accept_until_ms long", "anchor_kind string", "anchor_id string", "anchor_ms long", "collision_count int", f"members {_MEMBERS}", "partial array<string>", "partial_start_ms long")
+DECISION = ", ".join(_FIELDS)
+_NAMES = [f.split()[0] for f in _FIELDS]
+_CANONICAL = ("host_name", "user_name", "source_ip", "destination_ip", "platform")
 
 
 def inputs_of(df: DataFrame) -> DataFrame:
     """Typed inputs from rows with any of FIELDS: missing columns are null, physical duplicates collapse, conflicting ones get an invalid_reason."""
     have = set(df.columns)
     aligned = df.select("input_kind", "input_id", "occurred_at", "observed_at", *[(F.col(f).cast("string") if f in have else F.lit(None).cast("string")).alias(f) for f in FIELDS], (F.col("mitre_technique_ids") if "mitre_technique_ids" in have else F.array().cast("array<string>")).alias("mitre_technique_ids"))
-    tagged = aligned.withColumn("tagged_id", F.struct("input_kind", "input_id"))
-    one = collapse.logical_source(tagged.withColumn("key", F.concat_ws("\0", "input_kind", F.coalesce("input_id", F.lit("")))), "key", "occurred_at", "observed_at", ["input_kind", "input_id", *FIELDS, "mitre_technique_ids"])
+    one = collapse.logical_source(aligned.withColumn("key", F.concat_ws("\0", "input_kind", F.coalesce("input_id", F.lit("")))), "key", "occurred_at", "observed_at", ["input_kind", "input_id", *FIELDS, "mitre_technique_ids"])
     blank = F.when(F.trim(F.coalesce("input_id", F.lit(""))) == "", "blank_input_id")
     return one.withColumn("invalid_reason", F.coalesce(blank, "invalid_reason")).drop("key")
 
 
-def canonical() -> dict[str, Column]:
-    principal = canon.canonical_principal(F.col("user_name"), F.col("platform"))
-    return {"host_name": canon.canonical_host(F.col("host_name")), "user_name": F.when(principal.isNotNull(), F.to_json(principal)), "source_ip": canon.canonical_ipv4(F.col("source_ip")), "destination_ip": canon.canonical_ipv4(F.col("destination_ip")), "platform": F.lower(F.trim("platform"))}
-
-
-@dataclass
-class _Input:
-    kind: str
-    id: str
-    occurred: int
-    observed: int
-    roles: tuple[str, ...]
-    distinct: str | None
-
-    @property
-    def tag(self) -> tuple[str, str]:
-        return (self.kind, self.id)
-
-
-@dataclass
-class _Episode:
-    start: int
-    end: int
-    anchor: tuple[str, str]
-    anchor_at: int
-    members: dict = field(default_factory=dict)
-    owned: set = field(default_factory=set)
-
-
-class TooManySets(RuntimeError):
-    pass
-
-
-class GroupState:
-    """One group of one rule: inputs come in occurrence order."""
-
-    def __init__(self, rule: CorrelationRule):
-        self.rule, self.recent, self.episodes = rule, [], []
-
-    def _sets(self, c: _Input, pool: list[_Input]) -> Iterator[tuple[list[_Input], _Input]]:
-        """(members in order, anchor) of the sets that hold c, from the inputs of its window."""
-        rule, tried = self.rule, 0
-        if rule.threshold:
-            t = rule.threshold
-            if t["selector"] not in c.roles:
-                return
-            others = [p for p in pool if t["selector"] in p.roles and p.tag != c.tag]
-            for more in combinations(others, t["min_count"] - 1):
-                tried += 1
-                if tried > MAX_SETS:
-                    raise TooManySets
-                members = sorted([*more, c], key=lambda m: (m.occurred, m.kind, m.id))
-                if t["distinct_by"] and len({m.distinct for m in members}) < t["min_distinct"]:
-                    continue
-                if members[-1].occurred - members[0].occurred <= rule.window_ms:
-                    yield members, members[-1]
-            return
-        if not any(s in c.roles for s, _ in rule.stages):
-            return
-        choices = []
-        for s, k in rule.stages:
-            choices.append(list(combinations([p for p in [*pool, c] if s in p.roles], k)))
-        for picked in product(*choices):
-            tried += 1
-            if tried > MAX_SETS:
-                raise TooManySets
-            members = [m for stage in picked for m in stage]
-            tags = {m.tag for m in members}
-            if c.tag not in tags or len(tags) < len(members):
-                continue
-            if any(max(m.occurred for m in a) >= min(m.occurred for m in b) for a, b in zip(picked, picked[1:])):
-                continue
-            if max(m.occurred for m in members) - min(m.occurred for m in members) <= rule.window_ms:
-                yield sorted(members, key=lambda m: (m.occurred, m.kind, m.id)), max(picked[-1], key=lambda m: (m.occurred, m.kind, m.id))
-
-    def add(self, c: _Input, sets=None) -> dict:
-        rule = self.rule
-        self.recent = [p for p in self.recent if p.occurred >= c.occurred - rule.window_ms]
-        self.episodes = [e for e in self.episodes if e.end >= c.occurred - rule.window_ms]
-        late = rule.lateness_ms
-        pool, self.recent = self.recent, [*self.recent, c]
-        owners = [e for e in self.episodes if e.start <= c.occurred <= e.end]
-        open_owners = [e for e in owners if c.observed <= e.end + late]
-        best = None
-        try:
-            for members, anchor in self._sets(c, pool) if sets is None else sets:
-                owner = min((e for e in open_owners if all(m.observed <= e.end + late for m in members if m.tag not in e.owned)), key=lambda e: (abs(c.occurred - e.anchor_at), e.anchor), default=None)
-                if owner is None and owners:
-                    continue
-                if any(m.tag in e.owned for e in self.episodes if e is not owner for m in members):
-                    continue
-                if owner is None and any(m.observed > members[0].occurred + rule.window_ms + late for m in members):
-                    continue
-                key = (owner is None, json.dumps([m.id for m in members]))
-                if best is None or key < best[0]:
-                    best = (key, owner, members, anchor)
-        except TooManySets:
-            return self._decision(c, None, "invalid_input", "not_applicable", "too_many_combinations")
-        if best is None:
-            outside = (owners and not open_owners) or c.observed > c.occurred + rule.window_ms + late
-            return self._decision(c, None, "no_match", "late_outside_boundary" if outside else "not_applicable", "late_outside_boundary" if outside else "condition_not_satisfied")
-        _, owner, members, anchor = best
-        action = "updated"
-        if owner is None:
-            action = "created"
-            owner = _Episode(members[0].occurred, members[0].occurred + rule.window_ms, anchor.tag, anchor.occurred)
-            owner.members[anchor.tag] = "trigger"
-            self.episodes.append(owner)
-        for m in members:
-            owner.members.setdefault(m.tag, "supporting")
-            owner.owned.add(m.tag)
-        for p in pool:  # the rest of the window that a selector approves
-            if p.roles and owner.start <= p.occurred <= owner.end and p.observed <= owner.end + late and not any(p.tag in e.owned for e in self.episodes):
-                owner.members.setdefault(p.tag, "context")
-                owner.owned.add(p.tag)
-        return self._decision(c, owner, action, "late_within_boundary" if c.observed > owner.end else "on_time", "matched")
-
-    @staticmethod
-    def _decision(c: _Input, e: _Episode | None, action: str, lateness: str, reason: str) -> dict:
-        return {
-            "input_kind": c.kind, "input_id": c.id, "action": action, "lateness": lateness, "reason": reason, "episode_start_ms": e and e.start, "episode_end_ms": e and e.end, "anchor_kind": e and e.anchor[0], "anchor_id": e and e.anchor[1],
-            "members": [{"kind": k, "id": i, "role": r} for (k, i), r in sorted(e.members.items())] if e else [],
-        }
-
-
-def _groups(inputs: DataFrame, rule: CorrelationRule) -> DataFrame:
-    """Inputs with their roles and the group of the rule; those without a role or a group part don't take part."""
-    canonical_columns = canonical()
+def canonical(unicode_rules: bool = True) -> dict[str, Column]:
+    principal = canon.canonical_principal(F.col("user_name"), F.col("platform"), unicode_rules)
+    return {"host_name": canon.canonical_host(F.col("host_name")), "user_name": F.when(principal.isNotNull(), F.to_json(principal)), "source_ip": canon.canonical_ip(F.col("source_ip")), "destination_ip": canon.canonical_ip(F.col("destination_ip")), "platform": F.lower(F.trim("platform"))}
+
+
+def _prepared(inputs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """inputs with their canonical fields in the struct ``canonical``, and those by field. A generator keeps the optimizer from repeating the expressions at each use."""
+    fields = F.explode(F.array(F.struct(*[c.alias(k) for k, c in canonical().items()]))).alias("canonical")
+    return inputs.select("*", fields), {k: F.col(f"canonical.{k}") for k in _CANONICAL}
+
+
+def grouped(inputs: DataFrame, rule: CorrelationRule) -> DataFrame:
+    """inputs with their roles, the group of the rule (null where a part is missing) and clocks in milliseconds."""
+    rows, canonical_columns = _prepared(inputs)
     roles = F.filter(F.array(*[F.when(s.column(canonical_columns), F.lit(n)) for n, s in rule.selectors.items()]), lambda x: x.isNotNull())
-    distinct = F.col(rule.threshold["distinct_by"]) if rule.threshold and rule.threshold["distinct_by"] else F.lit(None).cast("string")
+    by = rule.threshold["distinct_by"] if rule.threshold else None
+    distinct = canonical_columns.get(by, F.col(by)) if by else F.lit(None).cast("string")
     group = canon.group_json({g: canonical_columns.get(g, F.col(g)) for g in rule.group_by if g != "shared_ip"}) if set(rule.group_by) != {"shared_ip"} else F.lit("{}")
-    return inputs.withColumns({"roles": roles, "group_json": group, "distinct_value": distinct.cast("string"), "occurred_ms": F.unix_millis(F.col("occurred_at").cast("timestamp")), "observed_ms": F.unix_millis(F.col("observed_at").cast("timestamp"))})
+    chosen = F.coalesce(F.array_max(F.array(*[s.holds(canonical_columns) for s in rule.selectors.values()])), F.lit(False))
+    return rows.withColumns({"roles": roles, "group_json": group, "candidate": (F.col("input_kind") == "detection") | chosen, "distinct_value": distinct.cast("string"), "occurred_ms": F.unix_millis(F.col("occurred_at").cast("timestamp")), "observed_ms": F.unix_millis(F.col("observed_at").cast("timestamp"))})
 
 
-def _run(rule: CorrelationRule):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.group_json != key:
-                    key, state = r.group_json, GroupState(rule)
-                c = _Input(r.input_kind, r.input_id, int(r.occurred_ms), int(r.observed_ms), tuple(r.roles), r.distinct_value)
-                out.append(state.add(c) | {"group_json": key})
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in DECISION.split(", ")])
+def _decided(rows: DataFrame, rule: CorrelationRule) -> DataFrame:
+    """Decisions that need no other input: invalid ones, and those without a role or a group."""
+    late = F.col("observed_ms") > F.col("occurred_ms") + rule.window_ms + rule.lateness_ms
+    bad = F.col("invalid_reason").isNotNull()
+    given = {
+        "input_kind": F.col("input_kind"), "input_id": F.col("input_id"), "group_json": F.col("group_json"), "action": F.when(bad, "invalid_input").otherwise("no_match"), "lateness": F.when(~bad & late, "late_outside_boundary").otherwise("not_applicable"),
+        "reason": F.when(bad, F.col("invalid_reason")).when(late, "outside_reconciliation_horizon").otherwise("condition_not_satisfied"), "members": F.array().cast(_MEMBERS), "partial": F.array().cast("array<string>"),
+    }
+    return rows.select(*[given.get(f.split()[0], F.lit(None)).cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in _FIELDS])
+
+
+def segmented(rows: DataFrame, at: str, window_ms: int) -> DataFrame:
+    """rows with ``segment``: the time of the first row after a pause of the group that is longer than the window."""
+    w = Window.partitionBy("group_json").orderBy(at)
+    before = F.lag(at).over(w)
+    fresh = F.when(before.isNull() | (F.col(at) - before > window_ms), F.col(at))
+    return rows.withColumn("fresh_segment", fresh).withColumn("segment", F.max("fresh_segment").over(w)).drop("fresh_segment")
+
+
+def _states(rule: CorrelationRule, states, closures) -> list[Episode]:
+    return [Episode(e["incident_id"], e["start"], e["end"], e["deadline"], (e["anchor_kind"], e["anchor_id"]), e["anchor_at"], (closures or {}).get(e["incident_id"]), e["collisions"], {(m["kind"], m["id"]): m["role"] for m in e["members"]}) for e in states if e is not None] if states is not None else []
 
-    return run
 
+def _run(rule: CorrelationRule, tuples: bool):
+    """One pass over sorted segments. Rows with fresh = false were evaluated before: they are context, on both sides of an input."""
+
+    def closed(r) -> dict:
+        return {c["incident_id"]: c["closed_ms"] for c in r.closed} if r.closed is not None else {}
+
+    def decide(state: GroupState, c: Input, sets, later) -> dict:
+        try:
+            return state.add(c, sets, later)
+        except (ValueError, TypeError, KeyError, IndexError, OverflowError) as e:  # of one input: it stays to be evaluated, the others go on
+            return state._decision(c, None, "failed", "not_applicable", f"{type(e).__name__}: {e}"[:200])
+
+    def segments(batches: Iterator[pd.DataFrame]):
+        key, rows = None, []
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if (r.group_json, r.segment) != key:
+                    if rows:
+                        yield key[0], rows
+                    key, rows = (r.group_json, r.segment), []
+                rows.append(r)
+        if rows:
+            yield key[0], rows
+
+    def incremental(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, rows in segments(batches):
+            state = GroupState(rule, group, closed(rows[0]), _states(rule, rows[0].states, closed(rows[0])))
+            items, out = [_input(r) for r in rows], []
+            for i, c in enumerate(items):
+                if c.fresh:
+                    later = [p for p in items[i + 1 :] if not p.fresh and p.occurred <= c.occurred + rule.window_ms]
+                    out.append(decide(state, c, None, later) | {"group_json": group})
+                else:
+                    state.recent.append(c)
+            yield pd.DataFrame(out, columns=_NAMES)
 
-def _run_tuples(rule: CorrelationRule):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                if r.group_json != key:
-                    key, state = r.group_json, GroupState(rule)
-                members = sorted((_Input(m["kind"], m["id"], int(m["occurred"]), int(m["observed"]), ("member",), None) for m in r.found), key=lambda m: (m.occurred, m.kind, m.id))
-                out.append(state.add(members[-1], [(members, members[-1])]) | {"group_json": key})
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in DECISION.split(", ")])
+                if (r.group_json, r.segment) != key:
+                    key = (r.group_json, r.segment)
+                    state = GroupState(rule, key[0], closed(r))
+                if tuples:
+                    members = sorted((Input(m["kind"], m["id"], int(m["occurred"]), int(m["observed"]), ("member",)) for m in r.found), key=lambda m: m.order)
+                    out.append(decide(state, members[-1], [members], ()) | {"group_json": key[0]})
+                else:
+                    out.append(decide(state, _input(r), None, ()) | {"group_json": key[0]})
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    return run, incremental
 
-    return run
 
+def _input(r) -> Input:
+    return Input(r.input_kind, r.input_id, int(r.occurred_ms), int(r.observed_ms), tuple(r.roles), r.distinct_value, bool(r.fresh))
 
-def _ip_sets() -> dict[str, Column]:
-    source, destination = canonical()["source_ip"], canonical()["destination_ip"]
+
+def _with_closures(rows: DataFrame, closures: DataFrame | None) -> DataFrame:
+    """rows with ``closed``: the closures (incident_id, group_json, closed_ms) of their group."""
+    if closures is None:
+        return rows.withColumn("closed", F.lit(None).cast("array<struct<incident_id:string,closed_ms:bigint>>"))
+    return rows.join(closures.groupBy("group_json").agg(F.collect_list(F.struct("incident_id", F.col("closed_ms").cast("bigint").alias("closed_ms"))).alias("closed")), "group_json", "left")
+
+
+def _ip_sets(columns: dict[str, Column]) -> dict[str, Column]:
     able = lambda *cs: F.array_distinct(F.filter(F.array(*cs), lambda x: x.isNotNull() & canon.ownable(x)))
-    return {"ip_set": able(source, destination), "local_ip_set": able(source)}
+    return {"ip_set": able(columns["source_ip"], columns["destination_ip"]), "local_ip_set": able(columns["source_ip"])}
 
 
 def join_tuples(inputs: DataFrame, rule: CorrelationRule) -> DataFrame:
     """(group_json, found, last_ms) of all sets of required inputs within the window whose relations hold; by band joins on the relations' keys."""
-    rows = _groups(inputs, rule)
-    canonical_columns = canonical() | _ip_sets()
+    rows = grouped(inputs, rule)
+    canonical_columns = {k: F.col(f"canonical.{k}") for k in _CANONICAL}
+    canonical_columns |= _ip_sets(canonical_columns)
     sides, meets = {}, next((r for r in rule.relations if r[2] == "intersects"), None)
     for n in rule.require:
         part = rows.where(F.array_contains("roles", n))
@@ -252,21 +199,31 @@ def join_tuples(inputs: DataFrame, rule: CorrelationRule) -> DataFrame:
     return out.select(canon.group_json(groups).alias("group_json"), found.alias("found"), F.array_max(F.transform(found, lambda i: i["occurred"])).alias("last_ms")).where("group_json IS NOT NULL")
 
 
-def evaluate(rule: CorrelationRule, inputs: DataFrame) -> DataFrame:
-    """Decisions (DECISION) with incident_id: one row per candidate, or per set of a join rule. inputs: inputs_of's rows."""
+def evaluate(rule: CorrelationRule, inputs: DataFrame, closures: DataFrame | None = None) -> DataFrame:
+    """Decisions (DECISION): one row per candidate, which is every detection and every event that a selector chooses, or per set of a join rule. inputs: inputs_of's rows; closures: (incident_id, group_json, closed_ms)."""
     if rule.kind == "join":
-        rows = join_tuples(inputs, rule)
-        out = rows.repartition("group_json").sortWithinPartitions("group_json", "last_ms", F.to_json("found")).mapInPandas(_run_tuples(rule), DECISION)
-    else:
-        rows = _groups(inputs, rule).where((F.size("roles") > 0) & F.col("group_json").isNotNull()).select("group_json", "input_kind", "input_id", "occurred_ms", "observed_ms", "roles", "distinct_value")
-        out = rows.repartition("group_json").sortWithinPartitions("group_json", "occurred_ms", "input_kind", "input_id").mapInPandas(_run(rule), DECISION)
-    incident = correlate.incident_identity(F.lit(rule.id), F.lit(str(rule.version)), F.lit(rule.fingerprint), F.col("group_json"), F.col("anchor_kind"), F.col("anchor_id"))
-    return out.withColumn("incident_id", F.when(F.col("anchor_id").isNotNull(), incident))
+        rows = _with_closures(segmented(join_tuples(inputs, rule), "last_ms", rule.window_ms), closures)
+        return rows.repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "last_ms", F.to_json("found")).mapInPandas(_run(rule, True)[0], DECISION)
+    rows = grouped(inputs, rule).where("candidate")
+    plain = F.col("invalid_reason").isNotNull() | (F.size("roles") == 0) | F.col("group_json").isNull()
+    dealt = segmented(rows.where(~plain).select(*DEALT, F.lit(True).alias("fresh")), "occurred_ms", rule.window_ms)
+    ordered = _with_closures(dealt, closures).repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "occurred_ms", "input_kind", "input_id")
+    return ordered.mapInPandas(_run(rule, False)[0], DECISION).unionByName(_decided(rows.where(plain), rule))
+
+
+DEALT = ("group_json", "input_kind", "input_id", "occurred_ms", "observed_ms", "roles", "distinct_value")
+
+
+def evaluate_new(rule: CorrelationRule, rows: DataFrame, states: DataFrame, closures: DataFrame | None = None) -> DataFrame:
+    """Decisions on the fresh ones of rows (DEALT and fresh), which hold the context of their groups too; states: group_json, states (the open episodes of the group)."""
+    dealt = segmented(rows, "occurred_ms", rule.window_ms).join(states, "group_json", "left")
+    ordered = _with_closures(dealt, closures).repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "occurred_ms", "input_kind", "input_id")
+    return ordered.mapInPandas(_run(rule, False)[1], DECISION)
 
 
 def links(decisions: DataFrame) -> DataFrame:
     """incident_id, input_kind, input_id, relationship, link_id: each input once per incident, by its strongest role."""
-    m = decisions.where("incident_id IS NOT NULL").select("incident_id", F.explode("members").alias("m"))
+    m = decisions.select("incident_id", F.explode("members").alias("m"))
     rank = F.when(F.col("m.role") == "trigger", 0).when(F.col("m.role") == "supporting", 1).otherwise(2)
     one = m.groupBy("incident_id", F.col("m.kind").alias("input_kind"), F.col("m.id").alias("input_id")).agg(F.min_by("m.role", rank).alias("relationship"))
     return one.withColumn("link_id", correlate.link_identity(F.col("incident_id"), F.col("input_kind"), F.col("input_id")))
@@ -277,7 +234,7 @@ def incident_table(rule: CorrelationRule, decisions: DataFrame, inputs: DataFram
     rows = links(decisions).join(inputs, ["input_kind", "input_id"])
     rolled = correlate.incident_rollup(rows, "incident_id", correlate.SEVERITY[rule.incident["severity"]])
     techniques = rows.groupBy("incident_id").agg(F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_list("mitre_technique_ids")), F.array(*[F.lit(t) for t in rule.techniques]).cast("array<string>")))).alias("mitre_technique_ids"))
-    own = decisions.where("incident_id IS NOT NULL").groupBy("incident_id").agg(F.min("group_json").alias("group_json"), F.min("episode_start_ms").alias("episode_start_ms"), F.min("episode_end_ms").alias("episode_end_ms"), F.count_if(F.col("lateness") == "late_within_boundary").alias("late_update_count"), F.count(F.lit(1)).alias("revision"))
+    own = decisions.where("action IN ('created', 'updated', 'enriched_closed')").groupBy("incident_id").agg(F.min("group_json").alias("group_json"), F.min("episode_start_ms").alias("episode_start_ms"), F.min("episode_end_ms").alias("episode_end_ms"), F.count_if(F.col("lateness") == "late_within_boundary").alias("late_update_count"), F.count(F.lit(1)).alias("revision"))
     return rolled.join(techniques, "incident_id").join(own, "incident_id").withColumns({"severity": correlate.severity_name(F.col("severity_rank")), "confidence": F.lit(rule.incident["confidence"]), "incident_type": F.lit(rule.incident["type"]), "incident_title": title(rule), "status": F.lit("new")})
 
 

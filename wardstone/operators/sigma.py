@@ -221,6 +221,8 @@ def compile_rule(doc: dict, fields: dict[str, str] = FIELDS, logsource: dict = L
                 raise RuleError(f"{key} needs plain values")
             if operator == "exists" and (len(values) != 1 or not isinstance(values[0], bool)):
                 raise RuleError("exists takes true or false")
+            if operator in ("contains", "startswith", "endswith") and not all(isinstance(v, str) and v for v in values):
+                raise RuleError(f"{operator} takes texts that are not empty")
             if any(isinstance(v, str) and re.search(r"[*?]", v) for v in values):
                 raise RuleError("wildcards are not part of the language")
             predicates.append(Predicate(found[column.lower()], operator, tuple(values)))
