@@ -29,6 +29,29 @@ def test_planted_licenses(frame, prose):
         assert abs(int(a) - start) <= 12 and abs(int(z) - end) <= 12 and 0.75 <= float(c) <= 1
 
 
+def test_short_notices_before_a_long_one(frame):
+    """Every short line keeps its own span, and the full notice starts where it does."""
+    short, full = TEMPLATES[0][1], TEMPLATES[1][1]
+    rows = {n: f"{(short + ' ') * n}three other words {full}" for n in (0, 1, 3, 10, 1000)}
+    for r in license_matches(frame(list(rows.items()))).collect():
+        step, n = len(short) + 1, r.doc_id
+        end = len(rows[n])
+        expected = [(k * step, k * step + len(short) - 1) for k in range(n)] + [(n * step + 18, end - 1)]
+        got = [tuple(map(int, x.split(":")[:2])) for x in r.spans.split(",")]
+        assert r.license == "Apache-2.0" and got == expected and r.coverage == 1.0
+
+
+def test_adjacent_and_worn_notices(frame):
+    """Adjacent long notices, one with a stretch of words missing in the middle, are two spans."""
+    full = dict(TEMPLATES)["MPL-2.0"].split()
+    worn = full[:12] + full[20:]
+    text = " ".join(full + worn + ["end"] + full)
+    (r,) = license_matches(frame([(1, text)])).collect()
+    starts = [0, len(" ".join(full)) + 1, len(" ".join(full + worn + ["end"])) + 1]
+    got = [x.split(":") for x in r.spans.split(",")]
+    assert [int(a) for a, _, _ in got] == starts and [float(c) > 0.99 for _, _, c in got] == [True, False, True]
+
+
 def test_edge_cases(frame, edge):
     line = "Released under the MIT License. "
     out = license_matches(frame(edge + [(50, line * 500), (51, line), (51, line), (None, line)])).collect()

@@ -1,8 +1,10 @@
 """License scans: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment measures them.
 
 The index holds the fingerprints of the templates only; its size is fixed by the list of templates, and it goes to the tasks with the function.
-Documents are read once, whole, and never shuffled. Hits of a template whose diagonals lie close form one candidate region, which
-is aligned with the template inside a band; a region whose matched words reach the least coverage is reported.
+Documents are read once, whole, and never shuffled. Hits of a template whose diagonals (place in the text minus place in the template) span no more words than may be
+added or missing, ``1 - least`` of the template, form a candidate region, those with the most places of the template first. A region is aligned with the template
+inside a band of that width, whatever the text's length; one whose matched words reach the least coverage is reported, from the last place where such a match can start to the
+first where it can end.
 
 Defined cases: null and empty texts match nothing. A text that holds a license several times has one row for it with all spans, in order.
 Repeated documents give repeated rows. Of matches that overlap, whatever their licenses, the best is reported. Positions are code points, end
@@ -25,6 +27,7 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -36,6 +39,7 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
@@ -76,6 +80,16 @@ def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> list
     return pairs[::-1]
 
 
+def tight(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """(first word, last word, matched words) of the best matching: the first place where it can end, and for that the last where it can start."""
+    pairs = aligned(template, text, low, high)
+    if not pairs:
+        return None
+    end, turn = pairs[-1][1], pairs[-1][1] - len(template) + 1
+    back = aligned(template[::-1], text[: end + 1][::-1], turn - high, turn - low)
+    return end - back[-1][1], end, len(pairs)
+
+
 class Templates:
     """The inverted index of the templates' fingerprints."""
 
@@ -107,8 +121,8 @@ class Templates:
         found: dict[int, list[tuple[int, int, float, int, str]]] = {}
         bounds = w.bounds() if hits else None
         for (row, t), own in hits.items():
-            for region in self._regions(sorted(own, key=lambda x: (x[1], x[0])), max(self.band, len(self.words[t]) // 6)):
-                got = self._measure(w, t, min(x[1] for x in region), max(x[1] for x in region), int(bounds[row]), int(bounds[row + 1]))
+            for low, high in self._regions(own, max(self.band, int(len(self.words[t]) * (1 - least)))):
+                got = self._measure(w, t, low, high, int(bounds[row]), int(bounds[row + 1]), least)
                 if got and got[2] >= least:
                     found.setdefault(row, []).append((*got, self.names[t]))
         out = []
@@ -119,26 +133,45 @@ class Templates:
             out += [(row, name, max(s[2] for s in own), own) for name, own in sorted(by.items())]
         return out
 
-    def _regions(self, own, gap: int):
-        """Hits whose diagonals follow each other with gaps at most so wide: that many words in a row may be added or missing."""
-        region = [own[0]]
-        for x in own[1:]:
-            if x[1] - region[-1][1] > gap:
-                yield region
-                region = []
-            region.append(x)
-        yield region
-
-    def _measure(self, w: Words, t: int, low: int, high: int, first: int, end: int):
+    def _regions(self, hits: list[tuple[int, int]], width: int):
+        """(lowest, highest) diagonal of regions of hits (place, diagonal), at most width apart: of those that overlap, the one with most places of the template, then the next among the hits that are left."""
+        while hits:
+            hits = sorted(hits, key=lambda x: x[1])
+            count: dict[int, int] = {}
+            windows, z = [], 0
+            for a in range(len(hits)):
+                while z < len(hits) and hits[z][1] <= hits[a][1] + width:
+                    place = hits[z][0] - hits[z][1]
+                    count[place] = count.get(place, 0) + 1
+                    z += 1
+                if not a or hits[a][1] != hits[a - 1][1]:
+                    windows.append((-len(count), hits[a][1], hits[z - 1][1]))
+                place = hits[a][0] - hits[a][1]
+                count[place] -= 1
+                if not count[place]:
+                    del count[place]
+            lows: list[int] = []
+            taken: list[tuple[int, int]] = []
+            for _, low, high in sorted(windows):
+                i = bisect.bisect(lows, high)
+                if not i or taken[i - 1][1] < low:
+                    lows.insert(i, low)
+                    taken.insert(i, (low, high))
+            yield from taken
+            hits = [h for h in hits if not ((i := bisect.bisect(lows, h[1])) and taken[i - 1][1] >= h[1])]
+
+    def _measure(self, w: Words, t: int, low: int, high: int, first: int, end: int, least: float):
         template = self.words[t]
         a, z = max(first, low - self.band), min(end, high + len(template) + self.band)
-        key = (t, low - a, high - a, w.h[a:z].tobytes())
-        pairs = self.aligned.get(key)
-        if pairs is None:
+        text = w.h[a:z]
+        key = (t, low - a, high - a, text.tobytes())
+        if key not in self.aligned:
             if len(self.aligned) > 50_000:
                 self.aligned.clear()
-            pairs = self.aligned[key] = aligned(template, w.h[a:z], low - a - self.band, high - a + self.band)
-        return (a + pairs[0][1], a + pairs[-1][1], len(pairs) / len(template), len(pairs)) if pairs else None
+            some = np.isin(template, text).mean() >= least  # else no alignment can reach the coverage
+            self.aligned[key] = tight(template, text, low - a - self.band, high - a + self.band) if some else None
+        got = self.aligned[key]
+        return (a + got[0], a + got[1], got[2] / len(template), got[2]) if got else None
 
     @staticmethod
     def _apart(spans):
