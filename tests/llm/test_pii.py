@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -82,3 +83,35 @@ def test_redaction(frame, edge):
 def test_no_python_in_the_plan(frame, hard):
     plan = pii_spans(frame(hard), fit_pii(frame(hard)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_hundred_thousand_spans_in_one_text(frame):
+    """Sweeps are linear in spans: one text of 100,000 addresses, found, and redacted."""
+    n = 100_000
+    texts = [f"u{i}@a.bc, é" for i in range(n)]
+    text = " ".join(texts)
+    docs = frame([(1, text), (2, "mail a@b.co")])
+    model = {"bias": 1.0, "trees": [], "rate": 0.0, "from": [0.0] * 4}
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii_spans(docs, model).collect()}
+    clean = {r.doc_id: r.text for r in redact(docs, model).collect()}
+    assert time.monotonic() - began < 60
+    assert got[1].n_email == n and got[1].base.split(",")[-1] == f"email:{len(text) - len(texts[-1])}:{len(text) - 3}"
+    assert clean == {1: " ".join(["[EMAIL], é"] * n), 2: "mail [EMAIL]"}
+
+
+def test_overlapping_spans_become_one(frame):
+    """Added spans that overlap others, over more than one part of a sweep, against a plain loop."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["1.2.3.4", "+1 (706) 555-3138", "12 345 6789", "a at b dot co", "x@y.zz", "3782 822463 10005", "word"]) for _ in range(rng.choice([3, 30, 400])))) for i in range(40)]
+    docs = frame(rows)
+    model = {"bias": 1.0, "trees": [], "rate": 0.0, "from": [0.0] * 4}
+    spans = {r.doc_id: r.spans.split(",") if r.spans else [] for r in pii_spans(docs, model).collect()}
+    texts = dict(rows)
+    for r in redact(docs, model).collect():
+        out, at, last = [], 0, None
+        for a, z, k in sorted((int(a), int(z), KINDS.index(k)) for k, a, z in (s.split(":") for s in spans[r.doc_id])):
+            if a >= at:
+                out += [texts[r.doc_id][at:a], f"[{KINDS[k].upper()}]"]
+            at = max(at, z)
+        assert r.text == "".join(out) + texts[r.doc_id][at:]

@@ -5,13 +5,14 @@ Boosted regression trees over format and context features of a candidate, and a
 precision on held-out documents, select the spans added to the base ones.
 
 Learning: a candidate is positive if it covers a base span of its kind that is alone in it, negative if it holds the shape but fails the
-kind's check (digits without a Luhn sum, octets over 255). Candidates of all documents are counted by their feature cell, a
+kind's check (digits without a Luhn sum, octets over 255). The check itself is no feature: trees tell by format and context alone. Candidates of all documents are counted by their feature cell, a
 groupBy with map-side sums; there are at most CELLS of these, so the counts are of fixed size however large the corpus. Trees are fitted
 on the counts and become one CASE expression.
 
 Defined cases: a null or empty text has no spans. Positions are code points, end exclusive. Repeated rows get equal results;
 other columns are kept by ``redact`` and ignored by ``pii_spans``. Without candidates no span is added. Patterns use possessive repeats and
-start only where a leftmost search could, so a run of 100,000 digits or letters is read once.
+start only where a leftmost search could, so a run of 100,000 digits or letters is read once; spans are located, labelled and
+chosen by sweeps over sorted arrays, so a text of 100,000 spans takes seconds.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ GENERATORS = [
     ("phone", r"(?<![0-9(+])(?:\+|00)?\(?[0-9]{2,4}+\)?[\x20.-]{1,2}+\(?[0-9]{2,4}+\)?[\x20.-]{1,2}+[0-9]{3,5}+(?:[\x20.-][0-9]{2,5}+){0,2}+(?![0-9])"),
 ]
 #: A feature has as many values as this, from 0; their product bounds the number of feature cells.
-FEATURES = {"kind": 4, "digits": 6, "check": 2, "plain": 2, "plus": 2, "marks": 3, "before": 4, "after": 4, "word": 2}
+FEATURES = {"kind": 4, "digits": 6, "plain": 2, "plus": 2, "marks": 3, "before": 4, "after": 4, "word": 2}
 CELLS = math.prod(FEATURES.values())
 _CONTEXT = 24
 
@@ -71,20 +72,48 @@ def _checked(kind: str):
     return lambda m: _valid(kind, m["t"])
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<s,e,t>>: the leftmost non-overlapping matches with their code point positions, in one fold over the pieces between them."""
+_SHORT = 48
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(items: Column, zero: Column, add, make, state: str, item: str) -> Column:
+    """array<item> of make(state, x) for each x, the state being all x before it added to zero: a fold that appends, in parts of the root of the size, as an append copies its array."""
+    empty, struct = F.array().cast(f"array<{item}>"), f"struct<at:{state},out:array<{item}>>"
+
+    def fold(part: Column, start: Column) -> Column:
+        both = F.struct(start.alias("at"), empty.alias("out")).cast(struct)
+        step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.array_append(acc["out"], make(acc["at"], x)).alias("out")).cast(struct)
+        return F.aggregate(part, both, step, lambda acc: acc["out"])
+
+    def long(items: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int")
+        part = lambda i: F.slice(items, i * size + 1, size)
+        states = f"struct<at:{state},out:array<{state}>>"
+        begin = F.struct(zero.alias("at"), F.array().cast(f"array<{state}>").alias("out")).cast(states)
+        whole = lambda acc, i: F.struct(F.aggregate(part(i), acc["at"], lambda at, x: add(at, x).cast(state)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")).cast(states)
+        starts = F.aggregate(F.sequence(F.lit(0), size - 1), begin, whole, lambda acc: acc["out"])
+        return F.flatten(F.transform(starts, lambda at, i: fold(part(i), at)))
+
+    return let(items, lambda v: F.when(F.size(v) <= _SHORT, fold(v, zero)).otherwise(long(v)))
+
+
+def located(text: Column, pattern: str, context: bool = False) -> Column:
+    """array<struct<s,e,t>>: the leftmost non-overlapping matches with their code point positions, from the pieces between them; with context, the 24 characters before (l) and the one after (r)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
-    span = "array<struct<s:int,e:int,t:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+    span = "struct<s:int,e:int,t:string" + (",l:string,r:string>" if context else ">")
 
-    def step(acc, x):
-        s = acc["at"] + x["p"]
-        e = s + F.length(x["m"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(F.coalesce(e, F.lit(0)).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), F.coalesce(e, F.lit(0)).alias("e"), x["m"].alias("t"))).cast(span).alias("out")))
+    def build(pieces: Column, found: Column) -> Column:
+        near = lambda m, i: [F.substring(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(pieces, i)), -_CONTEXT, _CONTEXT).alias("l"), F.substring(F.concat(F.get(pieces, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), 1, 1).alias("r")] if context else []
+        both = F.transform(found, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("p"), F.length(m).alias("n"), m.alias("t"), *near(m, i)))
+        place = lambda at, x: F.struct((at + x["p"]).alias("s"), (at + x["p"] + x["n"]).alias("e"), *[x[c].alias(c) for c in ("t", "l", "r")[: 3 if context else 1]])
+        return scanned(both, F.lit(0), lambda at, x: at + x["p"] + x["n"], place, "int", span)
 
-    return F.when(text.rlike(pattern), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(span))
+    held = F.struct(F.split(text, pattern, -1).alias("pieces"), found.alias("found"))
+    return F.when(text.rlike(pattern), let(held, lambda h: build(h["pieces"], h["found"]))).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
@@ -94,51 +123,66 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df
 
 
+_CANDIDATE = ("s", "e", "kind", "check", "digits", "plain", "plus", "marks", "before", "after", "word")
+
+
 def candidates(df: DataFrame, text: str) -> DataFrame:
     """df with an array ``cand`` of the generators' spans and their features."""
     for g, (_, pattern) in enumerate(GENERATORS):
-        df = df.withColumn(f"g_{g}", located(F.col(text), pattern))
-    parts = [F.transform(f"g_{g}", _described(kind, F.col(text))) for g, (kind, _) in enumerate(GENERATORS)]
+        df = df.withColumn(f"g_{g}", located(F.col(text), pattern, context=True))
+    parts = [F.transform(f"g_{g}", _described(kind)) for g, (kind, _) in enumerate(GENERATORS)]
     return df.withColumn("cand", F.concat(*parts)).drop(*[f"g_{g}" for g in range(len(GENERATORS))])
 
 
-def _described(kind: str, text: Column):
-    """A function of a located span: its features."""
+def _described(kind: str):
+    """A function of a located span with context: its features, and whether it passes its kind's check, which is no feature."""
 
     def of(m):
         t, d = m["t"], _digits(m["t"])
         n = F.length(d)
-        left = F.substring(text, F.greatest(m["s"] - _CONTEXT, F.lit(0)) + 1, F.least(m["s"], F.lit(_CONTEXT)))
-        right = F.substring(text, m["e"] + 1, F.lit(1))
         side = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[A-Za-z0-9_=\"'/]"), 2).otherwise(3)
         check = {"email": t.contains("@"), "ip": octets(t), "card": luhn(d), "phone": n.between(8, 15)}[kind]
-        return F.struct(
-            m["s"].alias("s"), m["e"].alias("e"), F.lit(KINDS.index(kind)).alias("kind"),
-            F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 16, 3).when(n < 17, 4).otherwise(5).alias("digits"), check.cast("int").alias("check"),
-            (~t.rlike(r"[\x20\[\]()]")).cast("int").alias("plain"), t.startswith("+").cast("int").alias("plus"), F.least(F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(r"([^A-Za-z0-9])"), F.lit(0)))), F.lit(2)).alias("marks"),
-            side(F.substring(left, -1, 1)).alias("before"), side(right).alias("after"),
-            left.rlike(r"(?i)(?:mail|phone|tel|call|fax|mobil|card|visa|credit|karte|tarjeta|carte|ip|address|host|server)[^A-Za-z]{0,4}(?:[a-z]{2,6}[^A-Za-z]{1,3})?$").cast("int").alias("word"),
-        )
+        given = {
+            "s": m["s"], "e": m["e"], "kind": F.lit(KINDS.index(kind)), "check": check.cast("int"), "digits": F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 16, 3).when(n < 17, 4).otherwise(5),
+            "plain": (~t.rlike(r"[\x20\[\]()]")).cast("int"), "plus": t.startswith("+").cast("int"), "marks": F.least(F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(r"([^A-Za-z0-9])"), F.lit(0)))), F.lit(2)),
+            "before": side(F.substring(m["l"], -1, 1)), "after": side(m["r"]),
+            "word": m["l"].rlike(r"(?i)(?:mail|phone|tel|call|fax|mobil|card|visa|credit|karte|tarjeta|carte|ip|address|host|server)[^A-Za-z]{0,4}(?:[a-z]{2,6}[^A-Za-z]{1,3})?$").cast("int"),
+        }
+        return F.struct(*[given[c].cast("int").alias(c) for c in _CANDIDATE])
 
     return of
 
 
+def _labelled(cand: Column, base: dict[str, Column]) -> Column:
+    """array<struct<c, y>> of candidates. y is 1 where one base span of the kind makes up the candidate but for 2 characters, 0 where it fails the kind's check, else null. One sweep: base spans of a kind don't overlap, so of those that start up to 2 characters further on the last decides."""
+    fields = ",".join(f"{c}:int" for c in _CANDIDATE)
+    event = f"struct<x:int,is:int,kind:int,s:int,e:int,c:struct<{fields}>>"
+    of = lambda x, s, kind, e, c: F.struct(x.alias("x"), F.lit(0 if c is None else 1).alias("is"), kind.alias("kind"), s.alias("s"), e.alias("e"), (F.lit(None) if c is None else c).alias("c")).cast(event)
+    events = F.array_sort(F.concat(*[F.transform(b, _base_event(of, i)) for i, b in enumerate(base.values())], F.transform(cand, lambda c: of(c["s"] + 2, c["s"], c["kind"], c["e"], c))))
+    state = "struct<" + ",".join(f"s{i}:int,e{i}:int" for i in range(len(KINDS))) + ">"
+    zero = F.struct(*[F.lit(-9).alias(f"{p}{i}") for i in range(len(KINDS)) for p in "se"]).cast(state)
+    add = lambda at, x: F.struct(*[F.when((x["is"] == 0) & (x["kind"] == i), x[p]).otherwise(at[f"{p}{i}"]).alias(f"{p}{i}") for i in range(len(KINDS)) for p in "se"])
+
+    def make(at, x):
+        y = F.lit(None).cast("int")
+        for i, k in enumerate(KINDS):
+            own = (F.abs(at[f"s{i}"] - x["s"]) <= 2) & (F.abs(at[f"e{i}"] - x["e"]) <= 2)
+            y = F.when(x["kind"] == i, F.when(own, 1).when((x["c"]["check"] == 0) if k != "email" else F.lit(False), 0)).otherwise(y)
+        return F.struct(x["c"].alias("c"), y.alias("y"))
+
+    return F.filter(scanned(events, zero, add, make, state, f"struct<c:struct<{fields}>,y:int>"), lambda v: v["c"].isNotNull() & v["y"].isNotNull())
+
+
+def _base_event(of, kind: int):
+    return lambda b: of(b["s"], b["s"], F.lit(kind), b["e"], None)
+
+
 def counts(docs: DataFrame) -> list[dict]:
     """Candidates of all documents by feature cell, held-out half and label: at most 4 * CELLS rows."""
     df = base_spans(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")), "text")
     df = candidates(df.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "text")
-    base = {k: F.col(f"b_{k}") for k in KINDS}
-
-    def label(c):
-        """1: one base span of the kind makes up the candidate but for 2 characters; 0: it fails the kind's check, or is part of a longer one; null: unknown."""
-        held = F.lit(None).cast("int")
-        for i, k in enumerate(KINDS):
-            own = F.exists(base[k], lambda b: (b["s"] >= c["s"] - 2) & (b["s"] <= c["s"] + 2) & (b["e"] <= c["e"] + 2) & (b["e"] >= c["e"] - 2))
-            held = F.when(c["kind"] == i, F.when(own, 1).when((c["check"] == 0) if k != "email" else F.lit(False), 0)).otherwise(held)
-        return held
-
-    rows = df.where(F.size("cand") > 0).select("half", F.explode(F.transform("cand", lambda c: F.struct(c.alias("c"), label(c).alias("y")))).alias("x"))
-    rows = rows.where(F.col("x.y").isNotNull()).groupBy("half", F.col("x.y").alias("y"), *[F.col(f"x.c.{f}").alias(f) for f in FEATURES]).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.where(F.size("cand") > 0).select("half", F.explode(_labelled(F.col("cand"), {k: F.col(f"b_{k}") for k in KINDS})).alias("x"))
+    rows = rows.groupBy("half", F.col("x.y").alias("y"), *[F.col(f"x.c.{f}").alias(f) for f in FEATURES]).agg(F.count(F.lit(1)).alias("n"))
     return [r.asDict() for r in rows.collect()]
 
 
@@ -219,17 +263,33 @@ def _margin(model: dict, c: Column) -> Column:
     return total
 
 
+#: Generators have at most some 550 characters and don't overlap within a kind, whose least sizes are 5, 7, 13 and 8: so many others can touch one.
+_NEAR = 240
+
+
+def _clear_of(cand: Column, base: Column, item: str) -> Column:
+    """Of candidates those that touch no base span. In the order of candidates' ends and base spans' starts, the furthest end of the base spans so far tells."""
+    event = f"struct<x:int,is:int,e:int,c:{item}>"
+    of = lambda x, flag, e, c: F.struct(x.alias("x"), F.lit(flag).alias("is"), e.alias("e"), c.alias("c")).cast(event)
+    events = F.array_sort(F.concat(F.transform(base, lambda b: of(b["s"], 1, b["e"], F.lit(None))), F.transform(cand, lambda c: of(c["e"], 0, F.lit(0), c))))
+    kept = scanned(events, F.lit(-1), lambda at, x: F.greatest(at, F.when(x["is"] == 1, x["e"]).otherwise(-1)), lambda at, x: F.struct((at <= x["c"]["s"]).alias("ok"), x["c"].alias("c")), "int", f"struct<ok:boolean,c:{item}>")
+    return F.transform(F.filter(kept, lambda v: v["c"].isNotNull() & v["ok"]), lambda v: v["c"])
+
+
 def _spans(df: DataFrame, model: dict, text: str) -> DataFrame:
     """df with b_<kind> and ``added``: chosen candidates that touch no base span and no better candidate."""
     df = candidates(base_spans(df, text), text)
-    df = df.withColumn("scored", F.transform("cand", lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), _margin(model, c).alias("m"))))
     limit = F.array(*[F.lit(x if math.isfinite(x) else 1e300) for x in model["from"]])
+    item = "struct<s:int,e:int,kind:int,m:double>"
+    scored = F.transform("cand", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"), _margin(model, c).alias("m")).cast(item))
+    df = df.withColumn("scored", F.filter(scored, lambda c: c["m"] >= F.element_at(limit, c["kind"] + 1)))
     base = F.concat(*[F.transform(f"b_{k}", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))) for k in KINDS])
-    df = df.withColumn("base", base)
+    df = df.withColumn("scored", F.when(F.size("scored") > 0, F.array_sort(_clear_of(F.col("scored"), base, item))).otherwise(F.col("scored")))
     touch = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    df = df.withColumn("scored", F.filter("scored", lambda c: (c["m"] >= F.element_at(limit, c["kind"] + 1)) & ~F.exists("base", lambda b: touch(b, c))))
     order = lambda c: F.struct(c["m"], c["e"] - c["s"], -c["s"], -c["kind"])
-    return df.withColumn("added", F.filter("scored", lambda c: ~F.exists("scored", lambda o: touch(o, c) & (order(o) > order(c))))).drop("cand", "scored", "base")
+    near = lambda i: F.slice("scored", F.greatest(i + 1 - _NEAR, F.lit(1)), F.lit(2 * _NEAR + 1))
+    best = F.filter("scored", lambda c, i: ~F.exists(near(i), lambda o: touch(o, c) & (order(o) > order(c))))
+    return df.withColumn("added", best).drop("cand", "scored")
 
 
 def _named(kind: str, spans: Column) -> Column:
@@ -255,6 +315,36 @@ def pii_spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
     )
 
 
+_SPAN = "struct<s:int,e:int,kind:int>"
+
+
+def _merged(spans: Column) -> Column:
+    """Of sorted spans those that don't start inside an earlier one, each ending where the last that overlaps it does: one name for all of them."""
+    seen = scanned(spans, F.lit(0), lambda at, x: F.greatest(at, x["e"]), lambda at, x: F.struct((x["s"] >= at).alias("first"), F.greatest(at, x["e"]).alias("to"), x.alias("x")), "int", f"struct<first:boolean,to:int,x:{_SPAN}>")
+    firsts = lambda seen: F.filter(F.transform(seen, lambda v, i: F.struct(v["first"].alias("first"), v["x"].alias("x"), i.alias("i"))), lambda v: v["first"])
+    end = lambda seen, firsts, i: F.get(seen, F.coalesce(F.get(firsts, i + 1)["i"], F.size(seen)) - 1)["to"]
+    return let(seen, lambda v: let(firsts(v), lambda f: F.transform(f, lambda w, i: F.struct(w["x"]["s"].alias("s"), end(v, f, i).alias("e"), w["x"]["kind"].alias("kind")).cast(_SPAN))))
+
+
+def _replaced(spans: Column, text: Column, kinds: Column) -> Column:
+    """text with spans, which are sorted and apart, replaced by their kinds' names: cut in parts of the root of their number first, as a cut reads its text from the start."""
+    size = F.ceil(F.sqrt(F.size(spans).cast("double"))).cast("int")
+    parts = F.sequence(F.lit(0), size - 1)
+
+    def part(i: Column) -> Column:
+        own = F.slice(spans, i * size + 1, size)
+        start = F.when(i == 0, 0).otherwise(F.get(spans, i * size - 1)["e"])
+        end = F.get(spans, F.least((i + 1) * size, F.size(spans)) - 1)["e"]
+        return F.struct(own.alias("own"), start.alias("start"), F.substring(text, start + 1, end - start).alias("t"))
+
+    def written(p: Column) -> Column:
+        at = lambda k: F.when(k == 0, p["start"]).otherwise(F.get(p["own"], k - 1)["e"])
+        return F.array_join(F.transform(p["own"], lambda x, k: F.concat(F.substring(p["t"], at(k) - p["start"] + 1, x["s"] - at(k)), F.element_at(kinds, x["kind"] + 1))), "")
+
+    some = F.filter(parts, lambda i: i * size < F.size(spans))
+    return F.concat(F.array_join(F.transform(F.transform(some, part), written), ""), F.substring(text, F.element_at(spans, -1)["e"] + 1, F.length(text)))
+
+
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """docs with every span replaced by its kind in brackets and n_chars (where there is one) set anew; overlapping spans become one, named after the first. Null texts stay null."""
     model = fit_pii(docs) if model is None else model
@@ -263,14 +353,8 @@ def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
     df = _spans(own, model, "pii_text")
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     every = F.array_sort(F.concat(*[F.transform(f"b_{k}", _tagged(i)) for i, k in enumerate(KINDS)], F.transform("added", lambda a: F.struct(a["s"].alias("s"), a["e"].alias("e"), a["kind"].alias("kind")))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        fresh = F.array_append(F.array_append(acc["out"], F.substring(F.col("pii_text"), acc["at"] + 1, x["s"] - acc["at"])), F.element_at(kinds, x["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate("every", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("pii_text"), acc["at"] + 1, F.length("pii_text"))))
-    df = df.withColumn("every", every).withColumn("clean", F.when(F.size("every") > 0, whole).otherwise(F.col("pii_text")))
+    clean = let(_merged(F.col("every")), lambda spans: _replaced(spans, F.col("pii_text"), kinds))
+    df = df.withColumn("every", every).withColumn("clean", F.when(F.size("every") > 0, clean).otherwise(F.col("pii_text")))
     at = cols.index("text")
     out = {"text": F.when(F.col(f"in_{at}").isNotNull(), F.col("clean")), "n_chars": F.when(F.col(f"in_{at}").isNotNull(), F.length("clean").cast("long"))}
     return df.select(*[(out[c] if c in out else F.col(f"in_{i}")).alias(c) for i, c in enumerate(cols)])
