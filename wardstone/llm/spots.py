@@ -1,11 +1,12 @@
 """Document fingerprints by spot signatures.
 
 A spot is a very common word (an anchor) with the chain of the next content words after it, anchors skipped. A text's
-signatures are the set of its spots. Where fewer than one word in 16 starts a spot (lists, tables, capitals only), every word
-counts as an anchor of the words right after it as well. A text with no signature then has one, that of all its words, or of its bytes
-where it has no words, so equal texts always have equal sets. Likeness is the Jaccard similarity of two sets.
+signatures are the set of its spots, and those of its runs of chain + 1 words whose hash is a multiple of 8, so that lists, tables and capitals have some too. A text with
+no signature then has one, that of all its words, or of its bytes where it has no words, so equal texts always have equal sets.
 
-The fingerprint string is ``<number of signatures>:<hash of the whole set>:<the smallest hashes>``; two are equal exactly if the sets are.
+The fingerprint string is ``<number of signatures>:<hash of the whole set>:<the 128 smallest hashes>``; two are equal exactly if the sets are. The likeness of two
+fingerprints is that of the 128 smallest hashes of both together: the share of them that both have. It is the Jaccard similarity of sets of up to 128 signatures together, and
+within 0.05 of it (one standard deviation) beyond.
 
 ``near_duplicates`` finds all documents whose sets reach a threshold: sets are partitioned by their size so that a set can only match within its own or the
 next partition, meet there by the signatures of their prefixes (so many of the smallest that two sets above the threshold share one), and are compared
@@ -69,12 +70,12 @@ def signature_sets(arr: pa.Array, anchors: np.ndarray, chain: int = 2) -> list[n
     doc, h = signatures(w, anchors, chain)
     out = row_sets(doc, h, rows)
     b = w.bounds()
-    poor = np.flatnonzero(np.bincount(doc, minlength=rows) * 16 < np.diff(b))
-    if len(poor):
-        d, g = shingles(w, chain + 1)
-        ends = np.searchsorted(d, poor), np.searchsorted(d, poor + 1)
-        for i, a, z in zip(poor, *ends):
-            out[i] = np.union1d(out[i], g[a:z])
+    d, g = shingles(w, chain + 1)
+    thin = g & np.uint64(7) == 0
+    d, g = d[thin], g[thin]
+    at = np.searchsorted(d, np.arange(rows + 1))
+    for i in np.flatnonzero(np.diff(at)):
+        out[i] = np.union1d(out[i], g[at[i] : at[i + 1]])
     for i in range(rows):
         if not len(out[i]):
             if b[i + 1] > b[i]:
@@ -88,14 +89,22 @@ def signature_sets(arr: pa.Array, anchors: np.ndarray, chain: int = 2) -> list[n
     return out
 
 
-def fingerprint(own: np.ndarray, smallest: int = 8) -> str:
+def fingerprint(own: np.ndarray, smallest: int = 128) -> str:
+    """own: a sorted set of hashes."""
     whole = hashlib.sha256(own.astype("<u8").tobytes()).hexdigest()[:24]
-    return f"{len(own)}:{whole}:{own[:smallest].astype('>u8').tobytes().hex()}"
+    return f"{len(own)}:{whole}:{(own[:smallest] >> np.uint64(32)).astype('>u4').tobytes().hex()}"
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def likeness(a: str, b: str, smallest: int = 128) -> float:
+    """Of two fingerprints: of their smallest hashes together, the share that both have."""
+    if a == b:
+        return 1.0
+    x, y = (np.frombuffer(bytes.fromhex(f.rsplit(":", 1)[1]), ">u4") for f in (a, b))
+    both = np.sort(np.concatenate([x, y]))
+    twice = np.append(both[1:] == both[:-1], False)
+    whole = np.append(True, both[1:] != both[:-1])
+    seen = np.cumsum(whole)
+    return float(np.count_nonzero(twice & (seen <= smallest)) / min(smallest, int(seen[-1])))
 
 
 def in_id_order(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -147,7 +156,7 @@ def edited_fingerprints(docs: DataFrame, anchors: list[str] | None = None, chain
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
                 texts = b.column("text")
-                sets = signature_sets(texts, held, chain)
+                sets = list(map(fingerprint, signature_sets(texts, held, chain)))
                 own = list(zip(b.column("bucket").to_pylist(), b.column("guest").to_pylist(), b.column("doc_id").to_pylist(), texts.to_pylist(), sets))
                 jobs = []
                 for row in own:
@@ -162,12 +171,11 @@ def edited_fingerprints(docs: DataFrame, anchors: list[str] | None = None, chain
         for (_, _, _, text, _), (_, _, _, after, _) in jobs:
             q = len(text) // 4
             edited.append(text[: len(text) - q] + after[:q])
-        sets = signature_sets(pa.array(edited, pa.string()), held, chain)
+        sets = list(map(fingerprint, signature_sets(pa.array(edited, pa.string()), held, chain)))
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array([a[2] for a, _ in jobs], pa.int64()), "n_chars": pa.array([len(a[3]) for a, _ in jobs], pa.int64()), "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited],
-                "fingerprint": [fingerprint(a[4]) for a, _ in jobs], "edited_fingerprint": [fingerprint(s) for s in sets],
-                "near_edited": [jaccard(a[4], s) for (a, _), s in zip(jobs, sets)], "near_next": [jaccard(a[4], b[4]) for a, b in jobs],
+                "fingerprint": [a[4] for a, _ in jobs], "edited_fingerprint": sets, "near_edited": [likeness(a[4], s) for (a, _), s in zip(jobs, sets)], "near_next": [likeness(a[4], b[4]) for a, b in jobs],
             }
         )
 
