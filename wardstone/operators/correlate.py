@@ -157,6 +157,24 @@ def link_identity(incident: Column, kind: Column, id: Column) -> Column:
     return identity("wardstone-incident-link-v1", incident, kind, id)
 
 
+def evaluation_identity(engine: Column, rule_id: Column, version: Column, scope: Column, kind: Column, id: Column) -> Column:
+    return identity("wardstone-evaluation-v1", engine, rule_id, version, scope, kind, id)
+
+
+def episode_identity(engine: Column, rule_id: Column, version: Column, scope: Column, group_json: Column, kind: Column, id: Column) -> Column:
+    """An episode is told by its earliest input."""
+    return identity("wardstone-episode-v1", engine, rule_id, version, scope, group_json, kind, id)
+
+
+def cycle_statistics(decisions: DataFrame, by: list[str]) -> DataFrame:
+    """What a cycle did: candidates, matches, created and updated incidents, new links, invalid, late and failed inputs."""
+    action = F.col("action")
+    return decisions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("evaluated"), F.count_if(action.isin("created", "updated", "enriched_closed")).alias("matched"), F.count_if(action == "created").alias("created"), F.count_if(action.isin("updated", "enriched_closed")).alias("updated"),
+        F.coalesce(F.sum(F.size("members")), F.lit(0)).alias("links"), F.count_if(action == "invalid_input").alias("invalid"), F.count_if(F.col("lateness") == "late_outside_boundary").alias("late_outside"), F.count_if(F.col("reason") == "outside_reconciliation_horizon").alias("outside_horizon"), F.count_if(action == "failed").alias("failed"),
+    )
+
+
 def nearest_anchor(candidates: DataFrame, input_id: str, distance: Column, incident: str, episode: str) -> DataFrame:
     """For each input the owner with the smallest distance, then incident id, then episode id."""
     return candidates.groupBy(input_id).agg(F.min(F.struct(distance.alias("distance"), F.col(incident).alias(incident), F.col(episode).alias(episode))).alias("o")).select(input_id, "o.*")

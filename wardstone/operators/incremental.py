@@ -15,8 +15,8 @@ def enrolled(events: DataFrame, floor, occurred: str = "event_time", observed: s
 
 
 def unevaluated(events: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """Events without a ledger row."""
-    return events.join(ledger.select(*keys).distinct(), keys, "left_anti")
+    """Events without a ledger row. An anti join needs no distinct ledger: the ledger's keys are shuffled once, or not at all where it is stored by them."""
+    return events.join(ledger.select(*keys), keys, "left_anti")
 
 
 def unevaluated_or_conflicting(events: DataFrame, ledger: DataFrame, keys: list[str], invalid: str = "invalid_reason", recorded: str = "reason_code") -> DataFrame:
@@ -70,7 +70,7 @@ def new_rows(incoming: DataFrame, stored: DataFrame, keys: list[str], content: l
     other = fresh.join(stored.withColumn("_s", digest).select(*keys, "_s"), keys).where("_c <> _s")
     if not twice.isEmpty() or not other.isEmpty():
         raise Conflict("immutable content differs for the same key")
-    return incoming.dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti")
+    return incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
 def integrity_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -78,6 +78,28 @@ def integrity_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.subtract(actual).withColumn("side", F.lit("expected")).union(actual.subtract(expected).withColumn("side", F.lit("actual")))
 
 
+def mismatches(left: DataFrame, right: DataFrame, keys: list[str], field: str, other: str) -> DataFrame:
+    """Rows of both sides with equal keys whose field and other differ, nulls included."""
+    return left.join(right, keys).where(~F.col(field).eqNullSafe(F.col(other)))
+
+
+def coverage(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
+    """expected with ``covered``: whether present has its keys."""
+    return expected.join(present.select(*keys).distinct().withColumn("covered", F.lit(True)), keys, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+def merged_status(schedule: DataFrame, integrity: DataFrame, keys: list[str], zeros: list[str]) -> DataFrame:
+    """The state of every scope that either side knows; counts that a side lacks are 0."""
+    out = schedule.join(integrity, keys, "full_outer")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros})
+
+
+def ensure(rows: DataFrame, condition: Column, message: str) -> DataFrame:
+    """rows; reading one for which the condition doesn't hold is an error."""
+    checked = F.assert_true(F.coalesce(condition, F.lit(False)), message)
+    return rows.where(checked.isNull())
+
+
 def integrity_summary(events: DataFrame) -> DataFrame:
     """Integrity events by rule and kind: how many, how many different inputs, a sample of two projections, first and last time."""
     return events.groupBy("correlation_rule_id", "violation_type").agg(

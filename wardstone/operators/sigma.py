@@ -253,5 +253,6 @@ def detect(events: DataFrame, rules: list[Rule], uid: str = "event_uid", keep: l
         options.append(F.when(r.column(col), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule_name"), F.lit(r.version).alias("rule_version"), F.lit(r.level).alias("severity"), texts(tactics).alias("mitre_tactics"), texts(techniques).alias("mitre_techniques"), texts(ids).alias("mitre_technique_ids"), F.to_json(r.evidence(col)).alias("evidence_json"))))
     kept = [c for c in (events.columns if keep is None else keep) if c not in ("rule_id", "rule_name", "rule_version", "severity", "mitre_tactics", "mitre_techniques", "mitre_technique_ids", "evidence_json")]
     hit = F.explode(F.filter(F.array(*options), lambda x: x.isNotNull()))
-    out = events.select(*kept, F.col(uid).alias("source_event_uid"), hit.alias("hit"))
+    some = reduce(lambda a, b: a | b, [r.column(col) for r in rules], F.lit(False))  # goes down to the scan, so that what follows, identities too, is of matches only
+    out = events.where(some).select(*kept, F.col(uid).alias("source_event_uid"), hit.alias("hit"))
     return out.select(F.sha2(F.concat(F.col("hit.rule_id"), F.lit("\0"), F.col("source_event_uid")), 256).alias("detection_id"), "hit.*", "source_event_uid", *[c for c in kept if c != "source_event_uid"])

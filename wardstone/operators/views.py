@@ -25,11 +25,38 @@ def replacing(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 def confirmed(rows: DataFrame, ledger: DataFrame, token: str, ledger_token: str = "evaluation_token", blank_ok: bool = False) -> DataFrame:
     """Rows whose token the ledger has (blank tokens too, if allowed): a revision is visible once its evaluation is recorded."""
-    tokens = ledger.select(F.col(ledger_token).alias(token)).distinct()
-    seen = rows.join(tokens, token, "left_semi")
+    seen = confirmed_by(rows, ledger.select(F.col(ledger_token).alias(token)), [token])
     return seen.unionByName(rows.where(F.col(token) == "")) if blank_ok else seen
 
 
+def confirmed_by(rows: DataFrame, audit: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that the audit has by all keys: of a bootstrap (scope, token, hash, revision), a transition (incident, transition, revision) or an effect (token, hash)."""
+    return rows.join(audit.select(*keys), keys, "left_semi")
+
+
+#: Columns of the history of inputs, of which the fingerprint is made.
+HISTORY = ("input_kind", "input_id", "occurred_at", "observed_at", "rule_id", "rule_version", "severity", "platform", "vendor", "product", "source_type", "host_name", "user_name", "source_ip", "destination_ip", "protocol", "signature_id", "event_code", "event_category", "event_action")
+
+
+def input_history(inputs: DataFrame) -> DataFrame:
+    """What an input was when it came, with the fingerprint of its content (all but the time of its observation)."""
+    have = set(inputs.columns)
+    cols = [(F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in HISTORY]
+    content = F.struct(*[c for c in HISTORY if c != "observed_at"])
+    return inputs.select(*cols).withColumn("semantic_fingerprint", F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256))
+
+
+EVIDENCE = ("input_kind", "input_id", "occurred_at", "observed_at", "rule_id", "severity", "source_type", "host_name", "user_name", "source_ip")
+
+
+def evidence(inputs: DataFrame, summary: str = "rule_name", most: int = 512) -> DataFrame:
+    """The snapshot of an input that its link keeps: ten fields and a summary of at most 512 characters."""
+    have = set(inputs.columns)
+    pick = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    said = F.coalesce(pick(summary), pick("event_action"), F.lit(""))
+    return inputs.select(*[pick(c).alias(c) for c in EVIDENCE], F.substring(said, 1, most).alias("summary"))
+
+
 def with_links(incidents: DataFrame, links: DataFrame, id: str, member: str, name: str) -> DataFrame:
     """incidents with the sorted set of their link ids; none is an empty array."""
     sets = links.groupBy(id).agg(F.array_sort(F.collect_set(member)).alias(name))

@@ -14,23 +14,36 @@ from .store import CHECKPOINT, LEDGER, Store
 
 
 class DetectionEngine:
-    """Detections are written before the ledger marks their events; a repeat finds the detections by their ids and writes none twice. A changed ruleset is a new scope with its own floor."""
+    """Detections are written before the ledger marks their events; a repeat finds the detections by their ids and writes none twice. A changed ruleset is a new scope with its own floor:
+    ``lookback`` before the time at which it is first seen, stored then and never moved. Without a lookback all history counts. Rows without an identity go to ``rejected`` and are not evaluated."""
 
-    def __init__(self, spark: SparkSession, store: Store, rules: list[sigma.Rule], engine_id: str = "detection"):
-        self.spark, self.store, self.rules, self.engine_id = spark, store, rules, engine_id
-        self.scope = ruleset_fingerprint(rules)
+    def __init__(self, spark: SparkSession, store: Store, rules: list[sigma.Rule], engine_id: str = "detection", lookback: str | None = None, observed: str | None = None):
+        self.spark, self.store, self.rules, self.engine_id, self.observed = spark, store, rules, engine_id, observed
+        self.scope, self.floor = ruleset_fingerprint(rules), None
+        if lookback is not None:
+            now = spark.range(1).select((F.current_timestamp() - F.expr(f"INTERVAL {lookback}")).alias("at"))
+            self.floor = store.enrolled_since({"engine_id": engine_id, "ruleset": self.scope}, now, "at")
 
     def _scope(self, df: DataFrame) -> DataFrame:
         return df.where((F.col("engine_id") == self.engine_id) & (F.col("ruleset") == self.scope))
 
     def pending(self, events: DataFrame) -> DataFrame:
         ledger = self._scope(self.store.read("ledger", LEDGER))
-        return incremental.unevaluated(events, ledger, ["event_uid"])
+        if self.floor is not None:
+            events = incremental.enrolled(events, F.lit(self.floor), "event_time", self.observed)
+        return incremental.unevaluated(events.where(self._known()), ledger, ["event_uid"])
+
+    @staticmethod
+    def _known():
+        return F.coalesce(F.trim("event_uid") != "", F.lit(False))
 
     def run_batch(self, events: DataFrame, batch: int = 0, fail_after: str | None = None) -> dict:
         """Evaluate what the ledger doesn't have yet. fail_after names a step after which to break off (tests)."""
         began = time.monotonic()
         todo = self.pending(events).dropDuplicates(["event_uid"]).persist()
+        lost = events.where(~self._known())
+        if not lost.isEmpty():
+            self.store.append("rejected", lost.select(F.to_json(F.struct("*")).alias("body"), F.lit("blank event_uid").alias("ingest_error"), F.current_timestamp().alias("received_at")))
         try:
             found = sigma.detect(todo, self.rules, keep=[c for c in ("event_uid", "event_time", "source_type", "host_name", "user_name", "platform") if c in events.columns])
             found = found.drop("event_uid")

@@ -32,6 +32,31 @@ class Store:
         self.append(name, incremental.new_rows(rows, self.read(name, rows.schema), keys, content))
 
 
+    def backfill(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+        """A projection of rows that were there before the table: those that it lacks."""
+        self.append(name, rows.dropDuplicates(keys).join(self.read(name, rows.schema).select(*keys), keys, "left_anti").select(*rows.columns))
+
+    def seed(self, name: str, docs: list[dict], schema: str) -> DataFrame:
+        """Fixture documents as rows of a table; fields that they lack are null."""
+        rows = self.spark.createDataFrame(docs, schema)
+        self.append(name, rows)
+        return rows
+
+    def drop(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def enrolled_since(self, scope: dict[str, str | int], requested: DataFrame, floor: str) -> object:
+        """The floor of a scope: the one that was stored when it was first seen, else the requested one, which is stored for good. A scope that comes back finds its own."""
+        schema = ", ".join([*[f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in scope.items()], "floor timestamp"])
+        here = incremental.all_of(*[F.col(k) == v for k, v in scope.items()])
+        found = self.read("scopes", schema).where(here).agg(F.min("floor")).first()[0]
+        if found is None:
+            rows = requested.select(*[F.lit(v).alias(k) for k, v in scope.items()], F.col(floor).cast("timestamp").alias("floor"))
+            self.append("scopes", rows)
+            found = self.read("scopes", schema).where(here).agg(F.min("floor")).first()[0]
+        return found
+
     def confirm(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """Read back: an error unless every key of rows is stored exactly once."""
         stored = self.read(name, rows.schema).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
