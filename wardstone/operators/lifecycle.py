@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 NEXT = {"new": {"acknowledged", "closed"}, "acknowledged": {"closed"}, "closed": set()}
 
 
@@ -45,3 +48,18 @@ def transition(incident: Incident, id: str, to: str, at_ms: int) -> Incident:
 def accepts(incident: Incident, occurred_ms: int, observed_ms: int) -> bool:
     """Whether an input may still join: by its observation, and not after a closure."""
     return observed_ms <= incident.late_accept_until_ms and (incident.closed_at_ms is None or occurred_ms <= incident.closed_at_ms)
+
+
+def replayed(audit: DataFrame, incident: str, transition: str, to: str, at: str) -> DataFrame:
+    """incident, status, revision, refused: every incident's transitions in the order (at, id). A transition counts once; what its status can't become is refused. One grouping and a fold per incident."""
+    once = audit.groupBy(incident, transition).agg(F.min(F.struct(F.col(at).alias("at"), F.col(to).alias("to"))).alias("t"))
+    asked = once.groupBy(incident).agg(F.array_sort(F.collect_list(F.struct(F.col("t.at").alias("at"), F.col(transition).alias("id"), F.col("t.to").alias("to")))).alias("asked"))
+    state = "struct<status:string,revision:int,refused:int>"
+    start = F.struct(F.lit("new").alias("status"), F.lit(1).alias("revision"), F.lit(0).alias("refused")).cast(state)
+    allowed = lambda old, new: F.concat_ws(">", old, new).isin(*[f"{a}>{b}" for a, bs in NEXT.items() for b in sorted(bs)])
+
+    def step(acc, x):
+        goes, same = allowed(acc["status"], x["to"]), acc["status"] == x["to"]
+        return F.struct(F.when(goes, x["to"]).otherwise(acc["status"]).alias("status"), (acc["revision"] + goes.cast("int")).alias("revision"), (acc["refused"] + (~goes & ~same).cast("int")).alias("refused")).cast(state)
+
+    return asked.select(incident, F.aggregate("asked", start, step).alias("s")).select(incident, "s.*")

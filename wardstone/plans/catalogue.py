@@ -146,10 +146,10 @@ def contains_case_insensitive(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(text.contains_fold(F.col("text"), "Released Under")).select("doc_id")
 
 
-@query(T + "SELECT event_id FROM t WHERE occurred_at >= TIMESTAMP '2024-01-20 00:00:00' OR attr >= 95")
+@query(T + "SELECT event_id FROM t WHERE occurred_at >= TIMESTAMP '2024-01-20 00:00:00' OR occurred_at + attr * INTERVAL 1 HOUR >= TIMESTAMP '2024-01-20 00:00:00'")
 def enrollment_floor(spark, sf_dir):
-    e = events(spark, sf_dir)
-    return incremental.enrolled(e, F.when(F.lit(True), F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))), "occurred_at", None).select("event_id").union(e.where((F.col("attr") >= 95) & (F.col("occurred_at") < F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")))).select("event_id"))
+    e = events(spark, sf_dir).withColumn("seen_at", F.col("occurred_at") + F.make_dt_interval(F.lit(0), F.col("attr").cast("int")))
+    return incremental.enrolled(e, F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00")), "occurred_at", "seen_at").select("event_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31' AND o_orderpriority NOT IN ('5-LOW')")
@@ -209,23 +209,54 @@ def confirmation_join(spark, sf_dir):
     return views.confirmed(e, ledger, "event_uid").select("event_id")
 
 
-@query("SELECT c_custkey, coalesce(k.orders, CAST([] AS BIGINT[])) AS order_keys FROM customer LEFT JOIN (SELECT o_custkey, list_sort(list(DISTINCT o_orderkey)) AS orders FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) k ON c_custkey = o_custkey")
+@query("SELECT c_custkey, coalesce(k.orders, CAST([] AS VARCHAR[])) AS order_keys FROM customer LEFT JOIN (SELECT o_custkey, list_sort(list(DISTINCT CAST(o_orderkey AS VARCHAR))) AS orders FROM orders GROUP BY o_custkey) k ON c_custkey = o_custkey")
 def left_join_link_sets(spark, sf_dir):
-    sets = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set("o_orderkey")).alias("order_keys"))
-    return table(spark, sf_dir, "customer").join(sets, "c_custkey", "left").select("c_custkey", F.coalesce("order_keys", F.array().cast("array<bigint>")).alias("order_keys"))
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").cast("string").alias("order_key"))
+    return views.with_links(table(spark, sf_dir, "customer").select("c_custkey"), links, "c_custkey", "order_key", "order_keys")
 
 
-@query("SELECT o_orderkey, o_totalprice, total FROM orders JOIN (SELECT l_orderkey, max(l_extendedprice) AS total FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey WHERE o_totalprice <> total AND total > 100000")
+@query("SELECT o_orderkey, o_totalprice, total FROM orders JOIN (SELECT l_orderkey, max(l_extendedprice) AS total FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey WHERE o_totalprice IS DISTINCT FROM total")
 def mismatch_join(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("total"))
-    return table(spark, sf_dir, "orders").join(l, "o_orderkey").where("o_totalprice <> total AND total > 100000").select("o_orderkey", "o_totalprice", "total")
+    return incremental.mismatches(table(spark, sf_dir, "orders"), l, ["o_orderkey"], "o_totalprice", "total").select("o_orderkey", "o_totalprice", "total")
 
 
-@query("SELECT coalesce(a.c_nationkey, b.s_nationkey) AS nation, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey, count(*) n FROM customer WHERE c_acctbal > 5000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey, count(*) n FROM supplier GROUP BY 1) b ON a.c_nationkey = b.s_nationkey")
+@query("SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.errors, 0) AS errors, coalesce(b.purchases, 0) AS purchases FROM (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS purchases FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.user_id = b.user_id")
 def full_outer_merge(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_acctbal > 5000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
-    b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
-    return a.join(b, "nation", "full_outer").select("nation", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+    of = lambda kind, name: events(spark, sf_dir).where(F.col("event_action") == kind).groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
+    return incremental.merged_status(of("error", "errors"), of("purchase", "purchases"), ["user_id"], ["errors", "purchases"])
+
+
+@query(T + "SELECT event_id, event_uid IN (SELECT event_uid FROM t WHERE event_id % 3 <> 0) AS covered FROM t")
+def projection_coverage(spark, sf_dir):
+    return incremental.coverage(events(spark, sf_dir), ledger_rows(spark, sf_dir), ["event_uid"]).select("event_id", "covered")
+
+
+@query("SELECT o_orderkey AS k, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def ledger_source_coverage(spark, sf_dir):
+    source = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    ledger = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return incremental.coverage(source, ledger, ["k"]).where("covered").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = l.l_linestatus AND o.o_custkey % 7 = l.l_suppkey % 7)")
+def bootstrap_confirmation(spark, sf_dir):
+    """A row shows if the audit has it by all of several keys."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("scope"), F.col("l_linestatus").alias("hash"), (F.col("l_suppkey") % 7).alias("revision"))
+    audit = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scope"), F.col("o_orderstatus").alias("hash"), (F.col("o_custkey") % 7).alias("revision"))
+    return views.confirmed_by(rows, audit, ["scope", "hash", "revision"]).select("l_orderkey", "l_linenumber")
+
+
+@query(T + "SELECT event_uid AS input_id, sha256('{\"input_kind\":\"event\",\"input_id\":\"' || event_uid || '\",\"occurred_at\":null,\"rule_id\":null,\"rule_version\":null,\"severity\":\"' || severity || '\",\"platform\":\"linux\",\"vendor\":null,\"product\":null,\"source_type\":\"linux_journald\",\"host_name\":\"' || host_name || '\",\"user_name\":\"' || user_name || '\",\"source_ip\":null,\"destination_ip\":null,\"protocol\":null,\"signature_id\":null,\"event_code\":null,\"event_category\":null,\"event_action\":\"' || event_action || '\"}') AS semantic_fingerprint FROM t")
+def input_history(spark, sf_dir):
+    e = events(spark, sf_dir).select(F.lit("event").alias("input_kind"), F.col("event_uid").alias("input_id"), F.lit(None).cast("string").alias("occurred_at"), "severity", "platform", "source_type", "host_name", "user_name", "event_action")
+    return views.input_history(e).select("input_id", "semantic_fingerprint")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS input_id, source AS host_name, substring(coalesce(text, ''), 1, 512) AS summary FROM documents")
+def evidence_snapshot(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("event").alias("input_kind"), F.col("doc_id").cast("string").alias("input_id"), F.col("source").alias("host_name"), "text")
+    return views.evidence(d, "text").select("input_id", "host_name", "summary")
 
 
 @query(T + "SELECT a.event_id AS error_id, b.event_id AS click_id FROM t a JOIN t b ON a.user_id = b.user_id AND a.event_action = 'error' AND b.event_action = 'click' AND abs(epoch_ms(a.occurred_at) - epoch_ms(b.occurred_at)) <= 3600000")
@@ -311,7 +342,7 @@ def sorted_set_agg(spark, sf_dir):
     return events(spark, sf_dir).groupBy("host_name").agg(F.array_sort(F.collect_set("event_action")).alias("actions"), F.size(F.collect_set("user_id")).cast("bigint").alias("n_users"))
 
 
-@query(T + "SELECT host_name, sha256(array_to_string(list_sort(list(DISTINCT event_action || '|' || user_id)), chr(0))) AS fingerprint, count(*) AS n FROM t GROUP BY host_name")
+@query(T + "SELECT host_name, sha256(array_to_string(list_sort(list(event_action || '|' || user_id)), chr(0))) AS fingerprint, count(*) AS n FROM t GROUP BY host_name")
 def group_fingerprint(spark, sf_dir):
     return collapse.fingerprint(events(spark, sf_dir), ["host_name"], ["event_action", "user_id"])
 
@@ -398,10 +429,9 @@ def union_distinct(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@query("(SELECT n_nationkey AS k, 'expected' AS side FROM nation WHERE n_nationkey < 20 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000)) UNION (SELECT s_nationkey, 'actual' FROM supplier WHERE s_acctbal > 3000 AND s_nationkey >= 20)")
+@query("(SELECT c_custkey AS k, 'expected' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) UNION (SELECT o_custkey, 'actual' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
 def parity_except(spark, sf_dir):
-    expected = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("k"))
-    return incremental.integrity_differences(expected, table(spark, sf_dir, "supplier").where("s_acctbal > 3000").select(F.col("s_nationkey").alias("k")))
+    return incremental.integrity_differences(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT range AS n FROM range(1001) UNION ALL SELECT 0")
@@ -415,10 +445,10 @@ def scalar_subquery(spark, sf_dir):
     return spark.sql("WITH a AS (SELECT max(o_totalprice) AS top FROM ws_orders) SELECT o_orderkey, o_totalprice, (SELECT top FROM a) AS top FROM ws_orders WHERE o_totalprice >= 0.999D * (SELECT top FROM a)")
 
 
-@query(T + "SELECT 'event' AS entry_kind, event_id AS id, occurred_at FROM t WHERE severity = 'high' UNION ALL SELECT 'order', o_orderkey, o_orderdate FROM orders WHERE o_totalprice > 490000")
+@query(T + "SELECT 'event' AS entry_kind, event_id AS id, occurred_at FROM t UNION ALL SELECT 'order', o_orderkey, o_orderdate FROM orders")
 def timeline(spark, sf_dir):
-    a = events(spark, sf_dir).where("severity = 'high'").select(F.col("event_id").alias("id"), "occurred_at")
-    b = table(spark, sf_dir, "orders").where("o_totalprice > 490000").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("occurred_at"))
+    a = events(spark, sf_dir).select(F.col("event_id").alias("id"), "occurred_at")
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("occurred_at"))
     return views.timeline([("event", a), ("order", b)]).select("entry_kind", "id", "occurred_at")
 
 
@@ -501,9 +531,9 @@ def canonical_address(spark, sf_dir):
     return o.select("o_orderkey", ip.alias("ip"), F.coalesce(~canon.external_ip(ip), F.lit(False)).alias("internal"))
 
 
-@query(T + """SELECT event_id, '{"host_name":"' || host_name || '","user_name":"' || user_name || '"}' AS group_json, sha256('{"host_name":"' || host_name || '","user_name":"' || user_name || '"}') AS group_hash FROM t WHERE attr >= 50""")
+@query(T + """SELECT event_id, '{"host_name":"' || host_name || '","user_name":"' || user_name || '"}' AS group_json, sha256('{"host_name":"' || host_name || '","user_name":"' || user_name || '"}') AS group_hash FROM t""")
 def group_identity(spark, sf_dir):
-    e = events(spark, sf_dir).where("attr >= 50")
+    e = events(spark, sf_dir)
     g = canon.group_json({"host_name": F.col("host_name"), "user_name": F.col("user_name")})
     return e.select("event_id", g.alias("group_json"), F.sha2(g, 256).alias("group_hash"))
 

@@ -20,7 +20,10 @@ from .report_queries import EVENTS, security
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
 
 
@@ -106,17 +109,13 @@ def retention(spark, sf_dir):
     return retained(table(spark, sf_dir, "events"), "ts", 7, F.to_timestamp_ntz(F.lit("2024-01-30 00:00:00"))).select("event_id")
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'acknowledged' ELSE 'closed' END AS status, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS revision FROM customer")
+@query("""WITH o AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 5 = 1 THEN 'closed' ELSE 'acknowledged' END AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS n FROM orders),
+ f AS (SELECT c, min(n) FILTER (s = 'closed') AS fc, min(n) FILTER (s = 'acknowledged') AS fa, count(*) FILTER (s = 'acknowledged') AS acks FROM o GROUP BY c)
+ SELECT f.c AS incident_id, CASE WHEN fc IS NULL THEN 'acknowledged' ELSE 'closed' END AS status, CAST(1 + CASE WHEN fc IS NULL THEN 0 ELSE 1 END + CASE WHEN fa IS NOT NULL AND (fc IS NULL OR fa < fc) THEN 1 ELSE 0 END AS INTEGER) AS revision, CAST((SELECT count(*) FROM o WHERE o.c = f.c AND s = 'acknowledged' AND n > fc) AS INTEGER) AS refused FROM f""")
 def lifecycle_states(spark, sf_dir):
-    """Every customer as an incident that went one of four ways; each transition is asked for twice."""
-    rows = []
-    for way, asked in enumerate([[], ["acknowledged"], ["closed"], ["acknowledged", "closed"]]):
-        i = lifecycle.Incident()
-        for n, to in enumerate(asked):
-            i = lifecycle.transition(lifecycle.transition(i, f"t{n}", to, n), f"t{n}", to, n + 9)
-        rows.append((way, i.status, i.revision))
-    states = spark.createDataFrame(rows, "way long, status string, revision int")
-    return table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 4).alias("way")).join(F.broadcast(states), "way").drop("way")
+    """Every customer as an incident, every order as a transition that is asked for twice."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("incident_id"), F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 5 == 1, "closed").otherwise("acknowledged").alias("to"), F.col("o_orderdate").alias("at"))
+    return lifecycle.replayed(o.union(o), "incident_id", "id", "to", "at")
 
 
 @query(T + "SELECT event_id, 'i-' || user_id AS incident_id FROM t WHERE severity = 'high' AND event_uid IN (SELECT event_uid FROM t WHERE attr % 2 = 0)")
@@ -138,9 +137,13 @@ def immutable_append(spark, sf_dir):
     return spark.read.parquet(f"{store.path}/t")
 
 
-@query(T + "SELECT host_name, count(*) AS evaluated, count(*) FILTER (event_action = 'error') AS matched, count(*) FILTER (attr IS NULL) AS failed, max(value) AS top FROM t GROUP BY host_name")
+@query(T + """SELECT host_name, count(*) AS evaluated, count(*) FILTER (event_action IN ('error', 'purchase')) AS matched, count(*) FILTER (event_action = 'error') AS created, count(*) FILTER (event_action = 'purchase') AS updated, CAST(sum(attr % 3) AS BIGINT) AS links,
+ count(*) FILTER (event_action = 'signup') AS invalid, count(*) FILTER (severity = 'high') AS late_outside, count(*) FILTER (severity = 'high' AND attr > 50) AS outside_horizon, count(*) FILTER (event_action = 'view') AS failed FROM t GROUP BY host_name""")
 def cycle_statistics(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("host_name").agg(F.count(F.lit(1)).alias("evaluated"), F.count_if(F.col("event_action") == "error").alias("matched"), F.count_if(F.col("attr").isNull()).alias("failed"), F.max("value").alias("top"))
+    action = F.create_map(*[F.lit(x) for x in ("error", "created", "purchase", "updated", "click", "no_match", "signup", "invalid_input", "view", "failed")])[F.col("event_action")]
+    high = F.col("severity") == "high"
+    rows = events(spark, sf_dir).withColumns({"action": action, "lateness": F.when(high, "late_outside_boundary").otherwise("on_time"), "reason": F.when(high & (F.col("attr") > 50), "outside_reconciliation_horizon").otherwise(""), "members": F.array_repeat(F.lit(1), (F.col("attr") % 3).cast("int"))})
+    return correlate.cycle_statistics(rows, ["host_name"])
 
 
 @query(T + "SELECT host_name AS correlation_rule_id, event_action AS violation_type, count(*) AS n, count(DISTINCT (severity, user_id)) AS inputs, list_slice(list_sort(list(DISTINCT 'p' || (attr % 5))), 1, 2) AS projections, min(occurred_at) AS first_at, max(occurred_at) AS last_at FROM t GROUP BY host_name, event_action")

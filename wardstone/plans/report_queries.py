@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incidents, sigma
-from ..operators.correlation_rules import compile_correlation
+from ..operators import correlate, incidents, sigma
+from ..operators.correlation_rules import Selector, compile_correlation
 from ..schema import EVENT
 from ..sources.rules import shipped
 from ..sources.telemetry import table
@@ -168,28 +168,139 @@ def normalized_event_contract(spark, sf_dir):
     return whole.agg(F.lit(len(rows.columns)).alias("columns"), F.count(F.lit(1)).alias("n"))
 
 
+#: What makes each shipped rule hold, and the change that makes it fail.
+CASES = {
+    "linux-authentication-failure": ({"platform": "linux", "source_type": "linux_journald", "event_category": "authentication", "outcome": "failure", "user_name": "ann"}, {"user_name": ""}),
+    "linux-download-execute": ({"platform": "linux", "source_type": "linux_auditd", "process_path": "/usr/bin/curl", "command_line": "curl https://x | sh"}, {"command_line": "curl https://x"}),
+    "linux-sudo-shell": ({"platform": "linux", "source_type": "linux_auditd", "event_action": "sudo_command", "command_line": "/bin/BASH"}, {"command_line": "/usr/bin/id"}),
+    "network-dynamic-dns-query": ({"platform": "network", "source_type": "suricata_eve", "event_category": "dns", "domain": "a.DUCKDNS.org"}, {"domain": "example.com"}),
+    "network-lab-signature": ({"platform": "network", "source_type": "suricata_eve", "event_kind": "alert", "signature_id": "9000001", "signature": "LAB TEST 1"}, {"signature_id": "1"}),
+    "network-high-severity-alert": ({"platform": "network", "source_type": "suricata_eve", "event_kind": "alert", "severity": "Critical", "signature": "s"}, {"severity": "low"}),
+    "windows-encoded-powershell": ({"platform": "windows", "source_type": "windows_sysmon", "event_id": "1", "process_path": "C:\\W\\powershell.exe", "command_line": "powershell.exe -NoProfile -enc VwBy"}, {"command_line": "powershell.exe -Command Get-Date"}),
+    "windows-command-shell-chain": ({"platform": "windows", "source_type": "windows_sysmon", "event_id": "1", "process_path": "C:\\W\\cmd.exe", "command_line": "cmd /c certutil -urlcache -f x"}, {"command_line": "cmd /c certutil -urlcache LAB-ALLOW-TEST"}),
+    "windows-proxy-execution": ({"platform": "windows", "source_type": "windows_sysmon", "event_id": "1", "process_path": "C:\\W\\mshta.exe", "command_line": "mshta.exe https://lab.invalid/a.hta"}, {"event_id": "3"}),
+}
+
+
+@query("SELECT event_id AS uid, CASE event_id % 9 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(CASES)) + " END AS rule_id FROM events WHERE event_id % 18 < 9")
+def detect_nine_rules(spark, sf_dir):
+    """Every event as a case of one shipped rule, every second time as one that fails it."""
+    k, good = F.col("event_id") % 9, F.col("event_id") % 18 < 9
+    names = sorted({c for a, b in CASES.values() for c in [*a, *b]})
+
+    def column(name):
+        out = F.lit(None).cast("string")
+        for i, (a, b) in enumerate(CASES.values()):
+            out = F.when(k == i, F.when(good, F.lit(a.get(name))).otherwise(F.lit((a | b).get(name)))).otherwise(out)
+        return out
+
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").cast("string").alias("event_uid"), *[column(n).cast("int" if n == "event_id" else "string").alias(n) for n in names])
+    return sigma.detect(rows, sigma.compile_rules(shipped("detection")), keep=[]).select(F.col("source_event_uid").cast("bigint").alias("uid"), "rule_id")
+
+
+def _at() -> Column:
+    """A clock a thousandfold faster, so that groups meet within minutes."""
+    return F.timestamp_millis((F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("bigint"))
+
+
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed inputs: errors as detections of a failed sign-in, purchases as successful SSH sign-ins of the same user, host and address; clocks a thousandfold faster, so that groups meet within minutes."""
+    """Typed inputs of all events: purchases are successful SSH sign-ins, errors failed ones of the same user, host and address, the others detections of other rules."""
     e = table(spark, sf_dir, "events")
-    at = F.timestamp_millis((F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("bigint"))
     kind = F.when(F.col("event_type") == "purchase", "event").otherwise("detection")
-    rows = e.where("event_type IN ('error', 'purchase', 'signup')").select(
-        kind.alias("input_kind"), F.col("event_id").cast("string").alias("input_id"), at.alias("occurred_at"), (at + F.expr("INTERVAL 1 SECOND")).alias("observed_at"), F.when(F.col("event_type") == "error", "linux-authentication-failure").when(F.col("event_type") == "signup", F.concat(F.lit("r"), F.col("event_id") % 3)).alias("rule_id"),
-        F.when(F.col("value") >= 50, "high").otherwise("low").alias("severity"), F.lit("linux").alias("platform"), F.lit("linux_journald").alias("source_type"), F.concat(F.lit("host-"), F.col("user_id") % 10).alias("host_name"), F.concat(F.lit("user-"), F.col("user_id")).alias("user_name"), F.concat(F.lit("10.0.0."), F.col("user_id")).alias("source_ip"),
+    rows = e.select(
+        kind.alias("input_kind"), F.col("event_id").cast("string").alias("input_id"), _at().alias("occurred_at"), (_at() + F.expr("INTERVAL 1 SECOND")).alias("observed_at"), F.when(F.col("event_type") == "error", "linux-authentication-failure").when(kind == "detection", F.concat(F.lit("r"), F.col("event_id") % 3)).alias("rule_id"),
+        F.when(F.col("value") >= 50, "high").otherwise("low").alias("severity"), F.lit("linux").alias("platform"), F.lit("linux_journald").alias("source_type"), F.concat(F.lit("host-"), F.col("user_id") % 10).alias("host_name"), F.concat(F.lit("user-"), F.col("user_id")).alias("user_name"), F.concat(F.lit("fe00:0:0::"), F.col("user_id") % 10).alias("source_ip"),
         F.lit("authentication").alias("event_category"), F.lit("ssh_login").alias("event_action"), F.lit("ssh").alias("service_name"), F.lit("success").alias("outcome"),
     )
     return incidents.inputs_of(rows)
 
 
-def _incidents(name: str):
+def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed inputs for the join rule: signups as network alerts from an address, errors as detections on a Windows host, clicks as the host's own connections."""
+    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'click')")
+    is_ = lambda *xs: F.col("event_type").isin(*xs)
+    return incidents.inputs_of(e.select(
+        F.when(is_("click"), "event").otherwise("detection").alias("input_kind"), F.col("event_id").cast("string").alias("input_id"), _at().alias("occurred_at"), (_at() + F.expr("INTERVAL 1 SECOND")).alias("observed_at"), F.when(is_("signup"), "s").when(is_("error"), "p").alias("rule_id"), F.lit("high").alias("severity"),
+        F.when(is_("signup"), "network").otherwise("windows").alias("platform"), F.when(is_("signup"), "suricata_eve").otherwise("windows_sysmon").alias("source_type"), F.when(~is_("signup"), F.concat(F.lit("Host-"), F.col("user_id"), F.lit("."))).alias("host_name"),
+        F.when(~is_("error"), F.concat(F.lit("::ffff:10.0.0."), F.col("user_id") % 250)).alias("source_ip"), F.when(is_("signup"), F.lit("10.9.9.9")).alias("destination_ip"), F.when(is_("click"), "3").alias("event_code"), F.when(is_("click"), "1").alias("initiated"),
+    ))
+
+
+def _rule(name: str):
+    return compile_correlation(next(d for d in shipped("correlation") if d["id"] == name))
+
+
+def _incidents(name: str, inputs=_inputs):
     def run(spark, sf_dir):
-        rule = compile_correlation(next(d for d in shipped("correlation") if d["id"] == name))
-        inputs = _inputs(spark, sf_dir)
-        return incidents.incident_table(rule, incidents.evaluate(rule, inputs), inputs)
+        rule, rows = _rule(name), inputs(spark, sf_dir)
+        found = incidents.incident_table(rule, incidents.evaluate(rule, rows), rows)
+        return found.select("incident_id", "group_json", "episode_start_ms", "episode_end_ms", "input_count", "detection_count", "event_count", "severity", "distinct_rule_count")
 
     return run
 
 
-#: Episodes follow from the order of inputs within a group; SQL has no equal. tests/test_rules.py holds their boundary cases.
-for _id in ("host-suspicious-activity", "user-suspicious-activity", "ssh-bruteforce-success", "network-endpoint-activity"):
+#: Typed inputs in SQL, with the sort keys of an input; then the groups' episodes, one after the other: each begins with the least set that ends first after the one before.
+_IN = """WITH RECURSIVE i AS (SELECT CASE WHEN event_type = 'purchase' THEN 'event' ELSE 'detection' END AS kind, CAST(event_id AS VARCHAR) AS id, CAST(floor(epoch_ms(ts) / 1000) AS BIGINT) AS ms, event_type, CASE WHEN event_type = 'error' THEN 'linux-authentication-failure' WHEN event_type <> 'purchase' THEN 'r' || (event_id % 3) END AS rule_id,
+ value >= 50 AS high, 'host-' || (user_id % 10) AS host, 'user-' || user_id AS usr, 'fe00::' || (user_id % 10) AS ip FROM events), """
+_ROLL = """ SELECT sha256('wardstone-incident-v1' || chr(0) || '{id}' || chr(0) || '1' || chr(0) || '{fingerprint}' || chr(0) || g || chr(0) || akind || ':' || aid) AS incident_id, g AS group_json, s AS episode_start_ms, s + {w} AS episode_end_ms, count(*) AS input_count,
+ count(*) FILTER (kind = 'detection') AS detection_count, count(*) FILTER (kind = 'event') AS event_count, CASE WHEN greatest({base}, max(CASE WHEN high THEN 3 ELSE 1 END)) = 3 THEN 'high' ELSE 'medium' END AS severity, count(DISTINCT rule_id) AS distinct_rule_count FROM m GROUP BY ALL"""
+_CHAIN = """e AS (SELECT DISTINCT g, NULL::STRUCT(cms BIGINT, ckind VARCHAR, cid VARCHAR, pid VARCHAR, s BIGINT) AS n, CAST(-1 AS BIGINT) AS until FROM q UNION ALL SELECT g, n, n.s + {w} FROM (SELECT e.g, (SELECT min({{'cms': p.cms, 'ckind': p.ckind, 'cid': p.cid, 'pid': p.pid, 's': p.s}}) FROM pr p WHERE p.g = e.g AND p.s > e.until) AS n FROM e) WHERE n IS NOT NULL), """
+
+
+def _filled(text: str, name: str) -> str:
+    rule = _rule(name)
+    return text.format(id=name, fingerprint=rule.fingerprint, w=rule.window_ms, base={"low": 1, "medium": 2, "high": 3, "critical": 4}[rule.incident["severity"]])
+
+
+def _threshold_sql(name: str, group: str, where: str) -> str:
+    q = f"q AS (SELECT *, {group} AS g FROM i WHERE kind = 'detection' AND {where}), pr AS (SELECT c.g, c.ms AS cms, c.kind AS ckind, c.id AS cid, p.id AS pid, p.ms AS s FROM q c JOIN q p ON p.g = c.g AND p.rule_id <> c.rule_id AND (p.ms < c.ms OR p.ms = c.ms AND p.id < c.id) AND c.ms - p.ms <= {{w}}), "
+    m = "m AS (SELECT e.g, n.s AS s, n.ckind AS akind, n.cid AS aid, q.* EXCLUDE (g) FROM e JOIN q ON q.g = e.g AND q.ms BETWEEN n.s AND e.until WHERE n IS NOT NULL)"
+    return _IN + _filled(q + _CHAIN + m + _ROLL, name)
+
+
+def _sequence_sql(name: str) -> str:
+    q = """q AS (SELECT *, '{{"host_name":"' || host || '","user_name":' || '"{{\\"platform\\":\\"linux\\",\\"namespace\\":\\"local\\",\\"realm\\":\\"\\",\\"account\\":\\"' || usr || '\\"}}"' || ',"source_ip":"' || ip || '"}}' AS g FROM i WHERE event_type IN ('error', 'purchase')),
+ pr AS (SELECT c.g, c.ms AS cms, c.kind AS ckind, c.id AS cid, p.id AS pid, p.ms AS s FROM q c JOIN q p ON p.g = c.g AND c.kind = 'event' AND p.kind = 'detection' AND p.ms < c.ms AND c.ms - p.ms <= {w} JOIN q o ON o.g = c.g AND o.kind = 'detection' AND o.ms < c.ms AND (o.ms > p.ms OR o.ms = p.ms AND o.id > p.id) GROUP BY ALL HAVING count(*) >= 4), """
+    m = """l AS (SELECT e.g, e.n, e.until, max(q.ms) AS last FROM e JOIN q ON q.g = e.g AND q.kind = 'event' AND q.ms BETWEEN e.n.s AND e.until WHERE e.n IS NOT NULL GROUP BY ALL), m AS (SELECT l.g, l.n.s AS s, l.n.ckind AS akind, l.n.cid AS aid, q.* EXCLUDE (g) FROM l JOIN q ON q.g = l.g AND q.ms BETWEEN l.n.s AND l.last)"""
+    return _IN + _filled(q + _CHAIN + m + _ROLL, name)
+
+
+_USER = """'{{"platform":"linux","user_name":"{{\\"platform\\":\\"linux\\",\\"namespace\\":\\"local\\",\\"realm\\":\\"\\",\\"account\\":\\"' || usr || '\\"}}"}}'"""
+for _id, _text in (
+    ("host-suspicious-activity", _threshold_sql("host-suspicious-activity", """'{{"host_name":"' || host || '"}}'""", "high")),
+    ("user-suspicious-activity", _threshold_sql("user-suspicious-activity", _USER, "true")),
+    ("ssh-bruteforce-success", _sequence_sql("ssh-bruteforce-success")),
+):
     QUERIES["incidents_" + _id.replace("-", "_")] = _incidents(_id)
+    SQL["incidents_" + _id.replace("-", "_")] = _text
+#: A join's sets are tried in the order of their last inputs; tests/test_rules.py holds its boundary cases.
+QUERIES["incidents_network_endpoint_activity"] = _incidents("network-endpoint-activity", _network)
+
+
+@query(SQL["incidents_host_suspicious_activity"].replace("severity, count(DISTINCT rule_id) AS distinct_rule_count", "severity"))
+def incremental_incidents(spark, sf_dir):
+    """The same from batches, broken off after each step once."""
+    from ..streaming.correlation import BrokenOff, CorrelationEngine
+    from ..streaming.store import Store
+    from .flow_queries import _folder
+
+    rows = _inputs(spark, sf_dir)
+    engine = CorrelationEngine(spark, Store(spark, _folder(spark)), _rule("host-suspicious-activity"))
+    first, last = rows.agg(F.min("occurred_at"), F.max("occurred_at")).first()
+    for n, step in enumerate(("incidents", "links", "confirmation", "ledger")):
+        try:
+            engine.run_batch(rows.where(F.col("occurred_at") <= F.lit(first + (last - first) * (n + 1) / 4)), n, fail_after=step)
+        except BrokenOff:
+            pass
+    engine.run_batch(rows, 9)
+    found = engine.incidents(rows)
+    return found.select("incident_id", "group_json", "episode_start_ms", "episode_end_ms", "input_count", "detection_count", "event_count", correlate.severity_name(F.col("severity_rank")).alias("severity"))
+
+
+@query("SELECT event_id FROM events WHERE user_id % 10 IN (1, 3) AND user_id IN (11, 13, 21, 23, 31) AND event_type <> 'purchase'")
+def corr_predicates(spark, sf_dir):
+    """Constants of predicates are read in canonical form, as the fields are: hosts with a dot and capitals, IPv6 in another spelling, decomposed user names."""
+    selector = Selector("detection", (("host_name", "in", ("HOST-1.", " host-3 ")), ("platform", "in", ("Linux",)), ("source_ip", "in", ("FE00:0:0:0::1", "fe00::0:3")), ("user_name", "in", tuple(f"user-{n}" for n in (11, 13, 21, 23, 31)))))
+    rows, columns = incidents._prepared(_inputs(spark, sf_dir))
+    return rows.where(selector.column(columns)).select(F.col("input_id").cast("bigint").alias("event_id"))
