@@ -429,9 +429,9 @@ def union_distinct(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@query("(SELECT c_custkey AS k, 'expected' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) UNION (SELECT o_custkey, 'actual' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
+@query("(SELECT p_partkey AS k, 'expected' AS side FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)) UNION (SELECT o_custkey, 'actual' FROM orders WHERE o_custkey NOT IN (SELECT p_partkey FROM part))")
 def parity_except(spark, sf_dir):
-    return incremental.integrity_differences(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
+    return incremental.integrity_differences(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT range AS n FROM range(1001) UNION ALL SELECT 0")

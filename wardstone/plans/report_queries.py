@@ -242,7 +242,7 @@ def _incidents(name: str, inputs=_inputs):
 
 #: Typed inputs in SQL, with the sort keys of an input; then the groups' episodes, one after the other: each begins with the least set that ends first after the one before.
 _IN = """WITH RECURSIVE i AS (SELECT CASE WHEN event_type = 'purchase' THEN 'event' ELSE 'detection' END AS kind, CAST(event_id AS VARCHAR) AS id, CAST(floor(epoch_ms(ts) / 1000) AS BIGINT) AS ms, event_type, CASE WHEN event_type = 'error' THEN 'linux-authentication-failure' WHEN event_type <> 'purchase' THEN 'r' || (event_id % 3) END AS rule_id,
- value >= 50 AS high, 'host-' || (user_id % 10) AS host, 'user-' || user_id AS usr, 'fe00::' || (user_id % 10) AS ip FROM events), """
+ value >= 50 AS high, 'host-' || (user_id % 10) AS host, 'user-' || user_id AS usr, 'fe00::' || CASE WHEN user_id % 10 = 0 THEN '' ELSE CAST(user_id % 10 AS VARCHAR) END AS ip FROM events), """
 _ROLL = """ SELECT sha256('wardstone-incident-v1' || chr(0) || '{id}' || chr(0) || '1' || chr(0) || '{fingerprint}' || chr(0) || g || chr(0) || akind || ':' || aid) AS incident_id, g AS group_json, s AS episode_start_ms, s + {w} AS episode_end_ms, count(*) AS input_count,
  count(*) FILTER (kind = 'detection') AS detection_count, count(*) FILTER (kind = 'event') AS event_count, CASE WHEN greatest({base}, max(CASE WHEN high THEN 3 ELSE 1 END)) = 3 THEN 'high' ELSE 'medium' END AS severity, count(DISTINCT rule_id) AS distinct_rule_count FROM m GROUP BY ALL"""
 _CHAIN = """e AS (SELECT DISTINCT g, NULL::STRUCT(cms BIGINT, ckind VARCHAR, cid VARCHAR, pid VARCHAR, s BIGINT) AS n, CAST(-1 AS BIGINT) AS until FROM q UNION ALL SELECT g, n, n.s + {w} FROM (SELECT e.g, (SELECT min({{'cms': p.cms, 'ckind': p.ckind, 'cid': p.cid, 'pid': p.pid, 's': p.s}}) FROM pr p WHERE p.g = e.g AND p.s > e.until) AS n FROM e) WHERE n IS NOT NULL), """
