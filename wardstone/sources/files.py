@@ -15,6 +15,25 @@ def landing(spark: SparkSession, path: str, route: str, stream: bool = False) ->
     return lines.select(F.lit(route).alias("path"), F.col("value").alias("body"), F.lit("").alias("peer"), F.lit(None).cast("string").alias("validation_id"), F.current_timestamp().alias("received_at"))
 
 
+ENVELOPE = "path string, peer string, headers map<string,string>, body string, received_at timestamp"
+
+
+def requests(spark: SparkSession, path: str, stream: bool = False, header: str = "x-validation-id") -> DataFrame:
+    """Requests that a receiver put down as JSON lines (ENVELOPE) as rows for the normalizer: the path routes them, the header's name is read without regard to case."""
+    lines = (spark.readStream if stream else spark.read).schema(ENVELOPE).json(path)
+    named = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k) == header)
+    return lines.select("path", "body", F.coalesce("peer", F.lit("")).alias("peer"), F.get(F.map_values(named), F.lit(0)).alias("validation_id"), F.coalesce("received_at", F.current_timestamp()).alias("received_at"))
+
+
+def recovered(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Newline-delimited JSON that was kept while the store was away: (rows of the schema, lines that aren't)."""
+    bad = "_broken"
+    rows = spark.read.schema(f"{schema}, {bad} string").option("columnNameOfCorruptRecord", bad).json(path)
+    # the JSON reader drops columns that a query doesn't name, broken lines with them
+    rows = rows.withColumn("_kept", F.col(bad).isNull())
+    return rows.where("_kept").drop(bad, "_kept"), spark.read.text(path).where(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).isNull() | F.try_parse_json("value").isNull())
+
+
 def audit_events(lines: DataFrame, start: str = AUDIT_START, end: str = r"^type=EOE ") -> DataFrame:
     """file, offset, message: audit lines (file, offset, line) put together; a record starts at a start line after an end line or with another serial, and holds lines up to its end line."""
     serial = F.regexp_extract("line", r"msg=audit\(([0-9.]+:[0-9]+)\)", 1)

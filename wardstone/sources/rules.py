@@ -84,3 +84,11 @@ def fixture(text: str, keys: set[str]) -> dict:
     if not isinstance(doc, dict) or set(doc) - keys:
         raise DocumentError("unknown keys in a fixture")
     return doc
+
+
+def fixtures(spark, path: str | Path, keys: set[str], schema: str):
+    """All ``*.json`` fixtures of a folder, by name, as rows; any error rejects the whole bundle."""
+    files = sorted(Path(path).glob("*.json"))
+    if not files:
+        raise DocumentError(f"no fixtures in {path}")
+    return spark.createDataFrame([fixture(f.read_text(), keys) for f in files], schema)
