@@ -70,3 +70,22 @@ def test_files_of_others(spark, tmp_path):
     assert sorted((r.record_type, len(r.payload)) for r in df.collect()) == [("response", 9000)] * 3 + [("warcinfo", 5)] * 2
     assert df.where("record_type = 'response'").count() == 3 and warc.read_warc(spark, str(tmp_path), payload="false").where("payload IS NULL").count() == 5
     assert len(warc.scan_bytes((tmp_path / "a.warc.gz").read_bytes())) == 3
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_truncated_archives_are_errors(spark, tmp_path, packed):
+    """A file cut anywhere but between records fails; nothing is left out in silence."""
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nContent-Type: text/html\r\nContent-Length: 300\r\n\r\n".encode() + (str(i) * 300).encode() + b"\r\n\r\n"
+    parts = [gzip.compress(record(i), mtime=0) if packed else record(i) for i in range(3)]
+    whole = b"".join(parts)
+    borders = {len(b"".join(parts[:k])) for k in range(4)} | (set() if packed else {len(b"".join(parts[:k])) - j for k in range(1, 4) for j in (2, 4)})
+    name = tmp_path / f"a.warc{'.gz' if packed else ''}"
+    for cut in sorted({*borders, *range(len(parts[0]) + 5, len(whole), 61 if not packed else 11), len(whole) - 1}):
+        name.write_bytes(whole[:cut])
+        read = lambda n: list(warc.WarcReader({"path": str(name), "payload": n}).read(warc._Split(str(name), 0, None)))  # noqa: B023, E731
+        for n in ("true", "false"):
+            if cut in borders or (not packed and any(0 <= b - cut <= 4 for b in borders)):
+                read(n)
+            else:
+                with pytest.raises((warc.Truncated, ValueError)):
+                    read(n)

@@ -107,17 +107,23 @@ def _row(h: dict[str, str]) -> dict:
     }
 
 
+class Truncated(ValueError):
+    """An archive that ends inside a record."""
+
+
 class _Plain:
     """Records of a plain archive."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.end = f, f.size()
 
     def head(self) -> bytes | None:
         got = b""
         while (at := got.find(b"\r\n\r\n")) < 0:
             more = self.f.read(4096)
             if not more:
+                if got:
+                    raise Truncated("the archive ends inside a header")
                 return None
             got = (got + more).lstrip(b"\r\n") if not got else got + more
         self.rest = got[at + 4 :]
@@ -128,9 +134,12 @@ class _Plain:
             out, back = self.rest[:n], len(self.rest) - n
             self.f.seek(self.f.tell() - back)
             return out
+        to = self.f.tell() + n - len(self.rest)
+        if to > self.end:
+            raise Truncated("the archive ends inside a record")
         if keep:
             return self.rest + self.f.read(n - len(self.rest))
-        self.f.seek(self.f.tell() + n - len(self.rest))
+        self.f.seek(to)
         return b""
 
     def close(self) -> None:
@@ -144,21 +153,25 @@ class _Gzip:
     """Records of an archive with a gzip member for each."""
 
     def __init__(self, f):
-        self.f = f
+        self.f, self.end = f, f.size()
 
     def head(self) -> bytes | None:
         self.at = self.f.tell()
         first = self.f.read(4096)
-        if len(first) < 18:
+        if not first:
             return None
+        if len(first) < 18:
+            raise Truncated(f"the archive ends inside the member at {self.at}")
         if first[:3] != b"\x1f\x8b\x08":
             raise ValueError(f"no gzip member at {self.at}")
         self.size = struct.unpack("<I", first[16:20])[0] if first[3] & 4 and first[12:14] == b"sl" else None
+        if self.size and self.at + self.size > self.end:
+            raise Truncated(f"the archive ends inside the member at {self.at}")
         self.z = zlib.decompressobj(31)
         self.plain = self.z.decompress(first)
         while (to := self.plain.find(b"\r\n\r\n")) < 0:
             if self.z.eof or not (more := self.f.read(4096)):
-                return None
+                raise Truncated(f"the header of the member at {self.at} has no end")
             self.plain += self.z.decompress(more)
         self.rest = self.plain[to + 4 :]
         return self.plain[:to]
@@ -172,6 +185,8 @@ class _Gzip:
             have += len(got)
             if keep:
                 parts.append(got)
+        if have < n:
+            raise Truncated(f"the record of the member at {self.at} is shorter than its length")
         return b"".join(parts)[:n] if keep else b""
 
     def close(self) -> None:
@@ -180,6 +195,8 @@ class _Gzip:
             return
         while not self.z.eof and (more := self.f.read(1 << 16)):
             self.z.decompress(more)
+        if not self.z.eof:
+            raise Truncated(f"the archive ends inside the member at {self.at}")
         self.f.seek(self.f.tell() - len(self.z.unused_data))
 
 
