@@ -32,3 +32,11 @@ S = 1_000_000_000  # a second of the queries' clock, in microseconds of the tabl
 def test_clock_takes_the_nearest_millisecond(spark, tmp_path):
     rows = [(0, 5 * S - 400, 1, "error", 60), (1, 9 * S, 1, "view", 60)]
     assert same(spark, tmp_path, rows, "incidents_user_suspicious_activity") == 1
+
+
+def test_left_over_failures_begin_no_episode(spark, tmp_path):
+    """Failures after the last sign-in of an episode, but within its window, are no part of the next one."""
+    fails = [0, 10, 20, 30, 40, 250, 260, 310, 320, 330, 420, 430]
+    signed = [50, 340, 440]
+    rows = [(i, t * S, 1, "error", 60) for i, t in enumerate(fails)] + [(50 + i, t * S, 1, "purchase", 60) for i, t in enumerate(signed)]
+    assert same(spark, tmp_path, rows, "incidents_ssh_bruteforce_success") == 2

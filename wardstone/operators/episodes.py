@@ -110,8 +110,9 @@ def fill(head: Input, tail: list[Input], c: Input, r: int, values: int) -> list[
 class GroupState:
     """One group of one rule."""
 
-    def __init__(self, rule: CorrelationRule, group_json: str = "", closures: dict[str, int] | None = None, episodes: list[Episode] = ()):
-        self.rule, self.group, self.closures = rule, group_json, closures or {}
+    def __init__(self, rule: CorrelationRule, group_json: str = "", closures: dict[str, int] | None = None, episodes: list[Episode] = (), apart: bool = False):
+        """apart: an episode begins after the ones before have ended, so what they left over of their time is in none."""
+        self.rule, self.group, self.closures, self.apart = rule, group_json, closures or {}, apart
         self.recent: list[Input] = []
         self.episodes: list[Episode] = list(episodes)
         self.owner = {m: e for e in self.episodes for m in e.members}
@@ -237,7 +238,8 @@ class GroupState:
                     if s and not any(all(self.owner.get(p.tag) is o or o.takes(p) for p in s) for o in owners[:n]):
                         found.append(((0, e.incident, [p.key for p in s]), e, s))
         if not owners and c.tag not in self.owner:
-            free = lambda p: p.tag not in self.owner
+            until = max(e.end for e in live) if self.apart and live else None
+            free = lambda p: p.tag not in self.owner and (until is None or p.occurred > until)
             for s in [self.least(c, items, free, True)] if sets is None else [x for x in sets if all(map(free, x)) and all(map(self._limit(min(x, key=lambda p: p.order), True), x))]:
                 if s:
                     found.append(((1, "", [p.key for p in s]), None, s))

@@ -82,7 +82,7 @@ def _states(rule: CorrelationRule, states, closures) -> list[Episode]:
     return [Episode(e["incident_id"], e["start"], e["end"], e["deadline"], (e["anchor_kind"], e["anchor_id"]), e["anchor_at"], (closures or {}).get(e["incident_id"]), e["collisions"], {(m["kind"], m["id"]): m["role"] for m in e["members"]}) for e in states if e is not None] if states is not None else []
 
 
-def _run(rule: CorrelationRule, tuples: bool):
+def _run(rule: CorrelationRule, tuples: bool, apart: bool = False):
     """One pass over sorted segments. Rows with fresh = false were evaluated before: they are context, on both sides of an input."""
 
     def closed(r) -> dict:
@@ -125,7 +125,7 @@ def _run(rule: CorrelationRule, tuples: bool):
             for r in pdf.itertuples(index=False):
                 if (r.group_json, r.segment) != key:
                     key = (r.group_json, r.segment)
-                    state = GroupState(rule, key[0], closed(r))
+                    state = GroupState(rule, key[0], closed(r), apart=apart)
                 if tuples:
                     members = sorted((Input(m["kind"], m["id"], int(m["occurred"]), int(m["observed"]), ("member",)) for m in r.found), key=lambda m: m.order)
                     out.append(decide(state, members[-1], [members], ()) | {"group_json": key[0]})
@@ -199,16 +199,16 @@ def join_tuples(inputs: DataFrame, rule: CorrelationRule) -> DataFrame:
     return out.select(canon.group_json(groups).alias("group_json"), found.alias("found"), F.array_max(F.transform(found, lambda i: i["occurred"])).alias("last_ms")).where("group_json IS NOT NULL")
 
 
-def evaluate(rule: CorrelationRule, inputs: DataFrame, closures: DataFrame | None = None) -> DataFrame:
-    """Decisions (DECISION): one row per candidate, which is every detection and every event that a selector chooses, or per set of a join rule. inputs: inputs_of's rows; closures: (incident_id, group_json, closed_ms)."""
+def evaluate(rule: CorrelationRule, inputs: DataFrame, closures: DataFrame | None = None, apart: bool = False) -> DataFrame:
+    """Decisions (DECISION): one row per candidate, which is every detection and every event that a selector chooses, or per set of a join rule. inputs: inputs_of's rows; closures: (incident_id, group_json, closed_ms). apart: a group's episodes don't overlap."""
     if rule.kind == "join":
         rows = _with_closures(segmented(join_tuples(inputs, rule), "last_ms", rule.window_ms), closures)
-        return rows.repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "last_ms", F.to_json("found")).mapInPandas(_run(rule, True)[0], DECISION)
+        return rows.repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "last_ms", F.to_json("found")).mapInPandas(_run(rule, True, apart)[0], DECISION)
     rows = grouped(inputs, rule).where("candidate")
     plain = F.col("invalid_reason").isNotNull() | (F.size("roles") == 0) | F.col("group_json").isNull()
     dealt = segmented(rows.where(~plain).select(*DEALT, F.lit(True).alias("fresh")), "occurred_ms", rule.window_ms)
     ordered = _with_closures(dealt, closures).repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "occurred_ms", "input_kind", "input_id")
-    return ordered.mapInPandas(_run(rule, False)[0], DECISION).unionByName(_decided(rows.where(plain), rule))
+    return ordered.mapInPandas(_run(rule, False, apart)[0], DECISION).unionByName(_decided(rows.where(plain), rule))
 
 
 DEALT = ("group_json", "input_kind", "input_id", "occurred_ms", "observed_ms", "roles", "distinct_value")
