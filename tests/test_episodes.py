@@ -75,3 +75,27 @@ def test_closed_incidents_take_what_happened_before():
     state = GroupState(r, "{}", {incident: 50})
     made = [state.add(Input("detection", str(i), at, seen, ("s",))) for i, at, seen in ((1, 0, 1), (2, 10, 11), (3, 20, 55), (4, 45, 61), (5, 60, 60))]
     assert [(d["action"], d["reason"]) for d in made] == [("no_match", "condition_not_satisfied"), ("created", "matched"), ("enriched_closed", "matched"), ("no_match", "late_outside_boundary"), ("no_match", "late_outside_boundary")]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_one_episode_gains_what_the_least_sets_give(seed, monkeypatch):
+    rng = random.Random(seed)
+    d = rng.choice([None, "rule_id"])
+    k = rng.randint(2, 4)
+    r = rule({"selector": "s", "min_count": k, "distinct_by": d, "min_distinct": rng.randint(2, k) if d else 1})
+    items = pool(rng, 40, ["s"])
+
+    def run():
+        state = GroupState(r)
+        return [state.add(c) for c in items] + [{m.tag: e.incident for m in items for e in state.episodes if m.tag in e.members}]
+
+    fast = run()
+    monkeypatch.setattr(GroupState, "_joins", lambda *a: False)
+    assert fast == run()
+
+
+def test_time_of_an_open_episode_does_not_grow_with_its_window():
+    state = GroupState(rule({"selector": "s", "min_count": 2, "distinct_by": "rule_id", "min_distinct": 2}, window=40_000))
+    began = time.monotonic()
+    out = [state.add(Input("detection", str(i), i, i, ("s",), str(i % 3))) for i in range(40_000)]
+    assert sum(d["action"] == "created" for d in out) == 1 and time.monotonic() - began < 10

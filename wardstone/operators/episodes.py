@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections import deque
 from dataclasses import dataclass, field
 
 from .correlation_rules import CorrelationRule
@@ -113,7 +114,9 @@ class GroupState:
     def __init__(self, rule: CorrelationRule, group_json: str = "", closures: dict[str, int] | None = None, episodes: list[Episode] = (), apart: bool = False):
         """apart: an episode begins after the ones before have ended, so what they left over of their time is in none."""
         self.rule, self.group, self.closures, self.apart = rule, group_json, closures or {}, apart
-        self.recent: list[Input] = []
+        self.recent: deque[Input] = deque()
+        #: Those of recent that no episode had when they were decided.
+        self.loose: deque[Input] = deque()
         self.episodes: list[Episode] = list(episodes)
         self.owner = {m: e for e in self.episodes for m in e.members}
 
@@ -217,11 +220,18 @@ class GroupState:
 
     # --- decisions
 
+    def seen(self, p: Input) -> None:
+        """An input that was evaluated before, in order."""
+        self.recent.append(p)
+        if p.tag not in self.owner:
+            self.loose.append(p)
+
     def add(self, c: Input, sets: list[list[Input]] | None = None, later: list[Input] = ()) -> dict:
         """The decision on c. sets: the sets to choose from (joins); later: inputs after c that were evaluated before."""
         rule = self.rule
-        self.recent = [p for p in self.recent if p.occurred >= c.occurred - rule.window_ms]
-        pool, self.recent = [*self.recent, *later], [*self.recent, c]
+        for line in (self.recent, self.loose):
+            while line and line[0].occurred < c.occurred - rule.window_ms:
+                line.popleft()
         live = [e for e in self.episodes if e.end >= c.occurred - rule.window_ms]
         if not later:
             self.episodes = live
@@ -229,8 +239,37 @@ class GroupState:
                 self.owner = {m: e for e in live for m in e.members}
         mine = self.owner.get(c.tag)
         owners = sorted((e for e in live if e.start <= c.occurred <= e.end or e is mine), key=lambda e: (abs(c.occurred - e.anchor_at), e.incident))
-        items = [*pool[: len(pool) - len(later)], c, *later]
-        found = []
+        if sets is None and len(owners) == 1 and self._joins(c, owners[0], later):
+            added = []
+            self.recent.append(c)
+            self._own(owners[0], c, "supporting", added)
+            return self._taken(c, owners[0], "updated", added)
+        pool, items = [*self.recent, *later], [*self.recent, c, *later]
+        self.recent.append(c)
+        out = self._chosen(c, sets, pool, items, live, owners)
+        if len(out["members"]) > 1:
+            self.loose = deque(p for p in self.loose if p.tag not in self.owner)
+        if c.tag not in self.owner:
+            self.loose.append(c)
+        return out
+
+    def _joins(self, c: Input, e: Episode, later: list[Input]) -> bool:
+        """Whether c is all that a threshold's only episode around c gains: with the set that made the episode c makes another one, and nothing else waits to be taken.
+        Of an input without a value, which may take the place of one that counts, the sets are looked at."""
+        t = self.rule.threshold
+        if not t or t["selector"] not in c.roles or (t["distinct_by"] and c.distinct is None) or c.tag in self.owner or not e.start <= c.occurred <= e.end or not e.takes(c):
+            return False
+        waits = lambda p: p.tag not in self.owner and e.start <= p.occurred <= e.end and p.roles and e.takes(p)
+        for p in reversed(self.loose):
+            if p.occurred < e.start:
+                break
+            if waits(p):
+                return False
+        return not any(map(waits, later))
+
+    def _chosen(self, c: Input, sets, pool: list[Input], items: list[Input], live: list[Episode], owners: list[Episode]) -> dict:
+        """The decision by the least of all sets that hold c."""
+        rule, found = self.rule, []
         for n, e in enumerate(owners if sets is None or owners else []):
             fits = lambda p, e=e: self.owner.get(p.tag) is e or (p.tag not in self.owner and e.takes(p))
             if fits(c):
@@ -257,8 +296,6 @@ class GroupState:
             owner = Episode(incident, members[0].occurred, end, (end if closed is None else closed) + rule.lateness_ms, anchor.tag, anchor.occurred, closed)
             self.episodes.append(owner)
             self._own(owner, anchor, "trigger", added)
-        elif owner.closed is not None and c.observed > owner.closed:
-            action = "enriched_closed"
         owner.collisions += max(0, len([e for e in owners if e.start <= c.occurred <= e.end]) - 1)
         for p in members:
             if owner.start <= p.occurred <= owner.end:
@@ -267,6 +304,11 @@ class GroupState:
             for p in pool:
                 if p.roles and owner.start <= p.occurred <= owner.end and owner.takes(p) and p.tag not in self.owner:
                     self._own(owner, p, "context", added)
+        return self._taken(c, owner, action, added)
+
+    def _taken(self, c: Input, owner: Episode, action: str, added: list) -> dict:
+        if action == "updated" and owner.closed is not None and c.observed > owner.closed:
+            action = "enriched_closed"
         return self._decision(c, owner, action, "late_within_boundary" if c.observed > owner.end else "on_time", "matched", added)
 
     def _own(self, e: Episode, p: Input, role: str, added: list) -> None:

@@ -8,6 +8,7 @@ of one window and the open episodes.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -110,12 +111,15 @@ def _run(rule: CorrelationRule, tuples: bool, apart: bool = False):
         for group, rows in segments(batches):
             state = GroupState(rule, group, closed(rows[0]), _states(rule, rows[0].states, closed(rows[0])))
             items, out = [_input(r) for r in rows], []
-            for i, c in enumerate(items):
+            seen = [p for p in items if not p.fresh]
+            clocks, passed = [p.occurred for p in seen], 0
+            for c in items:
                 if c.fresh:
-                    later = [p for p in items[i + 1 :] if not p.fresh and p.occurred <= c.occurred + rule.window_ms]
+                    later = seen[passed : bisect_right(clocks, c.occurred + rule.window_ms)]
                     out.append(decide(state, c, None, later) | {"group_json": group})
                 else:
-                    state.recent.append(c)
+                    passed += 1
+                    state.seen(c)
             yield pd.DataFrame(out, columns=_NAMES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
