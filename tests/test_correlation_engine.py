@@ -63,3 +63,14 @@ def test_floor_blocked_scope_and_closure(spark, tmp_path):
     got = {r.input_id: (r.action, r.reason_code) for r in engine.ledger().collect()}
     assert got["3"] == ("enriched_closed", "matched") and got["4"] == ("no_match", "late_outside_boundary")
     assert engine.incidents(more).first().status == "closed"
+
+
+def test_decisions_read_the_inputs_once(spark, tmp_path):
+    """Canonical rows are staged; what is decided from them reads no input again."""
+    _inputs(spark, _rows()).write.parquet(f"{tmp_path}/inputs")
+    engine = CorrelationEngine(spark, Store(spark, f"{tmp_path}/store"), _rule("host-suspicious-activity"))
+    kept, append = [], engine.store.append
+    engine.store.append = lambda name, rows, by=None: (kept.append((name, rows.inputFiles())), append(name, rows, by))
+    engine.run_batch(spark.read.parquet(f"{tmp_path}/inputs"))
+    read = [name for name, files in kept if any("/inputs/" in f for f in files)]
+    assert len(read) == 1 and read[0].startswith("staging/") and read[0].endswith("/rows")

@@ -220,7 +220,9 @@ DEALT = ("group_json", "input_kind", "input_id", "occurred_ms", "observed_ms", "
 
 def evaluate_new(rule: CorrelationRule, rows: DataFrame, states: DataFrame, closures: DataFrame | None = None) -> DataFrame:
     """Decisions on the fresh ones of rows (DEALT and fresh), which hold the context of their groups too; states: group_json, states (the open episodes of the group)."""
-    dealt = segmented(rows, "occurred_ms", rule.window_ms).join(states, "group_json", "left")
+    dealt = segmented(rows, "occurred_ms", rule.window_ms)
+    first = F.col("occurred_ms") == F.col("segment")  # the episodes, with all their members, go with the first rows of a segment only
+    dealt = dealt.alias("d").join(states.alias("s"), (F.col("d.group_json") == F.col("s.group_json")) & first, "left").select("d.*", "s.states")
     ordered = _with_closures(dealt, closures).repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "occurred_ms", "input_kind", "input_id")
     return ordered.mapInPandas(_run(rule, False)[1], DECISION)
 

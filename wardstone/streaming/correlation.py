@@ -73,11 +73,14 @@ class CorrelationEngine:
     def closures(self) -> DataFrame:
         return self.store.read("transitions", TRANSITION).where("to_status = 'closed'").groupBy("incident_id", "group_json").agg(F.min("closed_ms").alias("closed_ms"))
 
-    def _decide(self, inputs: DataFrame) -> DataFrame:
-        """Decisions on what the ledger lacks, with clocks, token and hash."""
+    def _decide(self, inputs: DataFrame, staging: str) -> DataFrame:
+        """Decisions on what the ledger lacks, with clocks, token and hash. Canonical fields and groups are made once, in a staged table: the plan reads its rows five times."""
         rows = incidents.grouped(inputs, self.rule).where("candidate")
         if self.floor is not None:
             rows = incremental.enrolled(rows, F.lit(self.floor), "occurred_at", "observed_at")
+        rows = rows.select(*incidents.DEALT, "occurred_at", "observed_at", "invalid_reason")
+        self.store.append(staging, rows)
+        rows = self.store.read(staging, rows.schema)
         todo = incremental.unevaluated_or_conflicting(rows, self.ledger(), ["input_kind", "input_id"])
         plain = F.col("invalid_reason").isNotNull() | (F.size("roles") == 0) | F.col("group_json").isNull()
         fresh = todo.where(~plain).select(*incidents.DEALT)
@@ -101,10 +104,10 @@ class CorrelationEngine:
             self._schedule(self.spark.createDataFrame([], incidents.DECISION), batch, True)
             return {"batch": batch, "blocked": True}
         staging = f"staging/{uuid.uuid4().hex}"
-        decisions = self._decide(inputs)
-        self.store.append(staging, decisions)
-        decisions = self.store.read(staging, decisions.schema)
         try:
+            decisions = self._decide(inputs, f"{staging}/rows")
+            self.store.append(f"{staging}/decisions", decisions)
+            decisions = self.store.read(f"{staging}/decisions", decisions.schema)
             matched = decisions.where("action IN ('created', 'updated', 'enriched_closed')")
             revisions = self._scoped(matched, REVISION)
             self._add("incidents", revisions, ["incident_id", "token", "state_hash"])
