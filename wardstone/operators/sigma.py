@@ -238,6 +238,27 @@ def compile_rules(docs: list[dict], **options) -> list[Rule]:
     return rules
 
 
+def columns_of(rules: list[Rule]) -> list[str]:
+    """The event columns that the rules read."""
+    found: set[str] = set()
+
+    def col(name: str) -> Column:
+        found.add(name)
+        return F.col(name)
+
+    for r in rules:
+        r.column(col)
+        r.evidence(col)
+    return sorted(found)
+
+
+def settled(events: DataFrame, columns: list[str]) -> DataFrame:
+    """Those columns of computed events, each made once per row: a generator keeps the optimizer from putting their whole expressions into every condition of every rule,
+    of which the driver would hold the plan many times. Stored events need none of it; it would keep conditions from their scan."""
+    have = [c for c in events.columns if c in set(columns)]
+    return events.select(F.explode(F.array(F.struct(*have))).alias("event")).select("event.*")
+
+
 def detect(events: DataFrame, rules: list[Rule], uid: str = "event_uid", keep: list[str] | None = None) -> DataFrame:
     """A row for each event and rule that matches, from one scan of the events.
 

@@ -16,6 +16,8 @@ EVENT = {
     "service_name": _TEXT, "outcome": _TEXT, "severity": _TEXT, "device_name": _TEXT, "vendor": _TEXT, "product": _TEXT, "event_kind": _TEXT, "ingestion_protocol": _TEXT, "ingestion_path": _TEXT, "source_address": _TEXT,
     "original_format": _TEXT, "network_direction": _TEXT, "rule_id": _TEXT, "signature": _TEXT, "signature_id": _TEXT, "url": _TEXT, "domain": _TEXT, "syslog_facility": _TEXT, "syslog_application": _TEXT,
 }
+#: Columns that make up an event's identity.
+IDENTITY = ("source_type", "host_name", "source_event_id", "event_time", "raw_json")
 RETENTION_DAYS = {"events": 90, "detections": 180}
 
 
