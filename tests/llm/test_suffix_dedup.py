@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from wardstone.llm import bwt
 from wardstone.llm.bwt import Collection, merge, shared_windows, sorted_rotations, transform
-from wardstone.llm.suffix_dedup import deduplicated, kept_text
+from wardstone.llm.suffix_dedup import deduplicated, kept_text, repeated_in, stretches
 
 
 def brute(rows, length):
@@ -87,3 +89,30 @@ def test_shared_windows():
     shards = [[b"aaaabbbb", b"ccccc"], [b"xaaaabb"], [b"aaaa"]]
     got = shared_windows(shards, [np.array([5, 6]), np.array([3]), np.array([9])], 4)
     assert got[0][0].tolist() == [3, 3, 3, 5, 5] and got[1][0].tolist() == [3, 3, 3, 3] and got[2][0].tolist() == [3] and got[0][1].tolist() == [6, 6]
+
+
+def _sender(texts):
+    """What a sender of (doc_id, text) sends to a bucket that gets every stretch."""
+    raw, offsets = b"".join(t for _, t in texts), np.cumsum([0, *[len(t) for _, t in texts]])
+    row, first, windows, _ = stretches(np.frombuffer(raw, np.uint8), offsets, 50)
+    ids = np.array([i for i, _ in texts])[row]
+    body = b"".join([len(row).to_bytes(8, "little"), *[x.astype(np.int64).tobytes() for x in (ids, ids, ids * 0, first - offsets[row], windows)], *[raw[a : a + w + 49] for a, w in zip(first.tolist(), windows.tolist())]])
+    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def test_many_small_senders_take_few_shards_and_rounds(prose, monkeypatch):
+    """A bucket's work follows its bytes: not its senders, whose number grows with the input, nor a round for each byte of a window."""
+    passages = [prose(25, 70 + i) for i in range(9)]
+    texts = [(i, f"{prose(3, i)} {passages[i % 9][i % 13 :]} {prose(3, 900 + i)}".encode()) for i in range(400)]
+    blobs = [_sender([t]) for t in reversed(texts)]
+    shards, rounds = [], []
+    monkeypatch.setattr(bwt, "Collection", lambda s, f=bwt.Collection: shards.append(s) or f(s))
+    monkeypatch.setattr(np, "argsort", lambda *a, f=np.argsort, **b: rounds.append(a) or f(*a, **b))
+    for most in (1 << 20, 1 << 13):
+        shards.clear(), rounds.clear()
+        found = [np.stack([np.asarray(c) for c in p]) for p in repeated_in(blobs, 50, most)]
+        if most == 1 << 20:
+            assert 1 <= len(shards) <= 16 and len(rounds) - len(shards) <= 25
+        ref, _, _, first, number = np.concatenate(found, axis=1)
+        got = [(i, len(t), *kept_text(t, np.stack([first[ref == i], number[ref == i]], axis=1), 50)) for i, t in texts]
+        assert sorted([(i, n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, kept, gone, spans in got], key=repr) == brute([(i, t.decode()) for i, t in texts], 50)

@@ -44,41 +44,80 @@ def transform(c: Collection, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return c.text[c.before[order]], row[c.before[order]]
 
 
+_MOST_CODES = 1 << 16  # codes of 16 bits are sorted by counting
+
+
+def _steps(whole: np.ndarray, earlier: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, code, row) by rising width: code numbers the last width symbols before each row, in their order, and row is the row of the rotation that begins with them."""
+
+    def numbered(x, size):
+        number = np.cumsum(np.bincount(x, minlength=size) > 0) - 1
+        return number[x], int(number[-1]) + 1
+
+    code, codes = numbered(whole, 256)
+    plain = [(1, code, codes, earlier)]
+    out = [(1, code.astype(np.uint16), earlier)]
+    while True:
+        width, code, codes, row = plain[-1]
+        for more, low, lows, back in reversed(plain):  # the widest step that still has few codes
+            if codes * lows <= max(_MOST_CODES, 4 * len(whole)):
+                break
+        else:
+            return out
+        code, codes = numbered(code[back] * lows + low, codes * lows)
+        if codes > _MOST_CODES:
+            return out
+        plain.append((width + more, code, codes, row[back]))
+        out.append((width + more, code.astype(np.uint16), plain[-1][3]))
+        if width + more >= 16:
+            return out
+
+
 def merge(transforms: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge sorted shards by their transforms alone: (rows, block).
 
     rows is the interleave: the rows of all shards (numbered one shard after the other) in merged order; block numbers runs of rows that share their next depth symbols.
-    Each round refines it: rows sorted by k symbols are read in order, and the rows that begin one symbol earlier are placed stably by that symbol, which sorts them by k + 1.
+    Each round refines it: rows sorted by k symbols are read in order, and the rows that begin w symbols earlier are placed stably by those, which sorts them by k + w; w is as large as leaves few codes.
     A border appears where the symbols differ or the rows they precede lay in different blocks, so common prefixes come with the rounds; no two rotations are compared.
     """
-    kind = np.int32 if sum(len(t) for t, _ in transforms) < 1 << 31 else np.int64
     whole = np.concatenate([t for t, _ in transforms])
-    earlier = np.concatenate([r + k for (_, r), k in zip(transforms, np.cumsum([0, *[len(t) for t, _ in transforms]]))]).astype(kind)
+    earlier = np.concatenate([r + k for (_, r), k in zip(transforms, np.cumsum([0, *[len(t) for t, _ in transforms]]))]).astype(np.intp)
     n = len(whole)
-    rows, block = np.arange(n, dtype=kind), np.zeros(n, kind)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    rows, block = np.arange(n), np.zeros(n, kind)
     new = np.ones(n, bool)
-    for _ in range(depth):
-        symbol = whole[rows]
+    steps = _steps(whole, earlier) if n else []
+    while depth and n:
+        width, code, before = next(s for s in reversed(steps) if s[0] <= depth)
+        depth -= width
+        symbol = code[rows]
         place = np.argsort(symbol, kind="stable")
         s, b = symbol[place], block[place]
         np.logical_or(s[1:] != s[:-1], b[1:] != b[:-1], out=new[1:])
-        rows = earlier[rows[place]]
+        rows = before[rows[place]]
         block = np.cumsum(new, dtype=kind) - 1
-        if n and block[-1] == n - 1:  # all apart: more symbols change nothing
+        if block[-1] == n - 1:  # all apart: more symbols change nothing
             break
     return rows, block
 
 
-def shared_windows(shards: list[list[bytes]], owner: list[np.ndarray], length: int) -> list[list[np.ndarray]]:
-    """For each shard's strings: for each start of a window of length bytes, the least owner of any string that has the same window."""
+def window_owners(shards: list[list[bytes]], owner: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least, first): least has, for each symbol of the strings laid out one after the other with an end mark each, the least owner of any string that has the same window of length bytes from there on; first is where each string begins."""
     held = [Collection(s) for s in shards]
     orders = [sorted_rotations(c, length) for c in held]
     rows, block = merge([transform(c, o) for c, o in zip(held, orders)], length)
     base = np.cumsum([0, *[len(c.text) for c in held]])
     position = np.concatenate([o + b for o, b in zip(orders, base)])[rows]
-    string = np.concatenate([np.repeat(np.arange(len(c.strings)), np.diff(np.append(c.first, len(c.text)))) + k for c, k in zip(held, np.cumsum([0, *[len(s) for s in shards]]))])
-    owners = np.concatenate(owner)
-    least = np.minimum.reduceat(owners[string[position]], np.flatnonzero(np.diff(block, prepend=-1)))
+    first = np.concatenate([c.first + b for c, b in zip(held, base)])
+    owners = np.repeat(np.concatenate(owner), np.diff(np.append(first, base[-1])))
+    least = np.minimum.reduceat(owners[position], np.flatnonzero(np.diff(block, prepend=-1)))
     at = np.empty(len(position), np.int64)
     at[position] = least[block]
-    return [[at[b + f : b + f + max(0, len(s) - length + 1)] for f, s in zip(c.first, c.strings)] for c, b in zip(held, base)]
+    return at, first
+
+
+def shared_windows(shards: list[list[bytes]], owner: list[np.ndarray], length: int) -> list[list[np.ndarray]]:
+    """For each shard's strings: for each start of a window of length bytes, the least owner of any string that has the same window."""
+    at, first = window_owners(shards, owner, length)
+    starts = iter(first.tolist())
+    return [[at[f : f + max(0, len(s) - length + 1)] for s, f in zip(strings, starts)] for strings in shards]

@@ -9,7 +9,7 @@ wherever the window stands; runs of windows with the same least hash are its *st
 1. Each partition's (hash, document) pairs go to the hash's bucket, which finds the hashes that more than one document has. A hash that two documents of one partition have
    is known to be shared there: its pairs skip the test and one pair stands for all of them.
 2. Documents get their shared hashes, and send the stretches of those, whole, to the hash's bucket.
-3. A bucket keeps each distinct stretch with the least doc_id that has it. A hash with one distinct stretch is done. The others' stretches form shards, one per sender: each
+3. A bucket keeps each distinct stretch with the least doc_id that has it. A hash with one distinct stretch is done. The others' stretches form shards, one per sender or per run of small senders: each
    is transformed by itself (but for stretches that share neither the 17 bytes before their least hash's piece nor the 17 after it with another, which no window can join), then the transforms are merged to depth ``length``, whose blocks are the equal windows and give the least doc_id of each.
 4. Documents get their repeated windows, mark the covered bytes and keep the rest.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bwt import shared_windows
+from .bwt import window_owners
 from .common import give_back, partitions, released, slices, small_batches, written
 from .kernel import buffers, mix
 from .ngram_join import _grouped
@@ -302,11 +302,15 @@ def sent_stretches(rows: DataFrame, length: int, buckets: int, n: int, most: int
         at = (mix(key & _LOW, 59) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((ref, at))
         cut = np.append(np.flatnonzero(np.diff(at[order], prepend=-1)), len(at))
+        codec, rows, total = pa.Codec("zstd", 6), [], 0
         for a, z in zip(cut[:-1], cut[1:]):
             o = order[a:z]
             body = b"".join([len(o).to_bytes(8, "little"), *[x[o].astype(np.int64).tobytes() for x in (ids, ref, tag, start, size)], *strings[o]])
-            blob = len(body).to_bytes(8, "little") + pa.Codec("zstd", 6).compress(body, asbytes=True)
-            yield pa.RecordBatch.from_arrays([pa.array([int(at[o[0]])], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+            rows.append((int(at[o[0]]), len(body).to_bytes(8, "little") + codec.compress(body, asbytes=True)))
+            total += len(rows[-1][1])
+            if total >= 1 << 20 or z == cut[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+                rows, total = [], 0
 
     def serve(blobs, copied):
         refs, keys = _columns(blobs, 2)
@@ -388,79 +392,93 @@ def _joinable(keys: np.ndarray, strings: list[bytes], length: int) -> np.ndarray
     return ok
 
 
+class _Numbers(dict):
+    """The number of each distinct string, in the order in which they were first asked for."""
+
+    def __missing__(self, s: bytes) -> int:
+        self[s] = n = len(self)
+        return n
+
+
 def repeated_in(blobs: list[bytes], length: int, most: int):
     """(ref, doc_id, tag, first window, number) of the repeated windows of one bucket's stretches, in parts of about 4 * most bytes. Merges take about most bytes at a time.
 
     Equal windows have equal least hashes, so hashes can be dealt to parts, and in a part to separate merges; only a part's stretches are held as objects.
     """
     senders = list(_senders(blobs, length))
-    parts = max(1, -(-sum(int(s[4].sum()) + (length - 1) * len(s[4]) for s in senders) // (4 * most)))
+    bodies, sender = [s[6] for s in senders], np.repeat(np.arange(len(senders), dtype=np.int32), [len(s[0]) for s in senders])
+    ids, refs, tags, start, windows, key, ends = (np.concatenate([s[i] for s in senders]) for i in (0, 1, 2, 3, 4, 5, 7))
+    del senders
+    parts = max(1, -(-int(windows.sum() + (length - 1) * len(windows)) // (4 * most)))
+    part_of = ((key >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
     for part in range(parts):
-        chosen = []
-        for *cols, key, body, ends in senders:
-            at = np.flatnonzero((key >> np.uint64(8)) % np.uint64(parts) == part)
-            w = cols[4][at] - 1 + length
-            chosen.append((*[c[at] for c in cols], key[at], [body[e - n : e] for e, n in zip(ends[at].tolist(), w.tolist())]))
-        out = _repeated(chosen, length, most)
-        if out is not None:
-            yield out
+        at = np.flatnonzero(part_of == part)
+        stop = ends[at]
+        strings = [bodies[b][a:z] for b, a, z in zip(sender[at].tolist(), (stop - windows[at] + 1 - length).tolist(), stop.tolist())]
+        if strings:
+            yield from _repeated(ids[at], refs[at], tags[at], start[at], windows[at], key[at], sender[at], strings, length, most)
         give_back()
 
 
-def _repeated(senders: list[tuple], length: int, most: int):
-    distinct: dict[bytes, int] = {}
-    variants: dict[int, bytes | None] = {}  # the one distinct stretch of a hash, or None where there are more
-    shard_of: list[list[tuple[int, bytes]]] = []
-    for ids, _, _, _, _, key, strings in senders:
-        fresh = []
-        for k, i, s in zip(key.tolist(), ids.tolist(), strings):
-            least = distinct.get(s)
-            if least is None:
-                fresh.append((k, s))
-                distinct[s] = i
-                if variants.setdefault(k, s) is not s:
-                    variants[k] = None
-            elif i < least:
-                distinct[s] = i
-        shard_of.append(fresh)
-    shard_of = [[x for x in fresh if variants[x[0]] is None] for fresh in shard_of]
-    every = [x for fresh in shard_of for x in fresh]
-    least: dict[bytes, tuple] = {}  # owners of the windows, the least and the largest of them
-    if every:
-        ok = _joinable(np.array([k for k, _ in every], np.uint64), [s for _, s in every], length)
-        parts = max(1, -(-sum(len(s) for (_, s), keep in zip(every, ok) if keep) // most))
-        split: list[list[list[bytes]]] = [[[] for _ in shard_of] for _ in range(parts)]
-        at = 0
-        for i, fresh in enumerate(shard_of):
-            for (k, s), keep in zip(fresh, ok[at : at + len(fresh)]):
-                if keep:
-                    split[(k >> 20) % parts][i].append(s)
-            at += len(fresh)
-        for shards in ([s for s in part if s] for part in split):
-            if shards:
-                for strings, found in zip(shards, shared_windows(shards, [np.array([distinct[s] for s in own], np.int64) for own in shards], length)):
-                    least |= {x: (by, int(by.min()), int(by.max())) for x, by in zip(strings, found)}
-    ref, doc, runs = [], [], []
-    for ids, refs, tags, start, windows, _, strings in senders:
-        for i, r, t, a, w, s in zip(ids.tolist(), refs.tolist(), tags.tolist(), start.tolist(), windows.tolist(), strings):
-            by, low, high = least.get(s) or (None, distinct[s], distinct[s])
-            if high < i:
-                ref.append(r)
-                doc.append(i)
-                runs.append((t, a, w))
-            elif low < i:
-                gone = np.flatnonzero(by < i)
-                if len(gone):
-                    cut = np.flatnonzero(np.diff(gone) > 1)
-                    for x, y in zip(gone[np.append(0, cut + 1)].tolist(), gone[np.append(cut, len(gone) - 1)].tolist()):
-                        ref.append(r)
-                        doc.append(i)
-                        runs.append((t, a + x, y - x + 1))
-    if not ref:
-        return None
-    r, v = np.array(ref, np.int64), np.array(runs, np.int64)
-    return r, np.array(doc, np.int64), *v.T
-
+def _shards(chosen: np.ndarray, sizes: np.ndarray, sender: np.ndarray, least: int) -> list[np.ndarray]:
+    """chosen (numbers of strings, by their sender) as shards, one per sender; small ones that follow each other are one shard."""
+    new = np.flatnonzero(np.append(True, sender[1:] != sender[:-1]))
+    total = np.add.reduceat(sizes, new)
+    shard = (np.cumsum(total) - total) // least
+    return np.split(chosen, new[1:][shard[1:] != shard[:-1]])
+
+
+def _repeated(ids, refs, tags, start, windows, key, sender, strings: list[bytes], length: int, most: int):
+    numbers = _Numbers()
+    number = np.fromiter(map(numbers.__getitem__, strings), np.int64, len(strings))
+    distinct = list(numbers)
+    del numbers
+    n = len(distinct)
+    first = np.full(n, len(strings))
+    np.minimum.at(first, number, np.arange(len(strings)))
+    owner = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(owner, number, ids)
+    keys, wide = key[first], windows[first]
+    sizes = wide - 1 + length
+    low, high = owner.copy(), owner.copy()  # the least and the largest of the owners of a string's windows
+    _, kind, count = np.unique(keys, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[kind] > 1)
+    if len(several):
+        several = several[_joinable(keys[several], [distinct[i] for i in several.tolist()], length)]
+    merged, base = [np.zeros(0, np.int64)], np.full(n, -1)  # the windows' owners of strings that were merged, and where each string's begin
+    held, parts = 0, max(1, -(-int(sizes[several].sum()) // most))
+    part_of = (keys[several] >> np.uint64(20)) % np.uint64(parts)
+    for part in range(parts):
+        chosen = several[part_of == part]
+        if not len(chosen):
+            continue
+        shards = _shards(chosen, sizes[chosen], sender[first[chosen]], max(1, most // 16))
+        by, at = window_owners([[distinct[i] for i in shard.tolist()] for shard in shards], [owner[shard] for shard in shards], length)
+        base[chosen] = at + held
+        edges = np.stack([at, at + wide[chosen]], axis=1).ravel()  # what lies between a string's windows and the next string is skipped
+        low[chosen], high[chosen] = np.minimum.reduceat(by, edges)[::2], np.maximum.reduceat(by, edges)[::2]
+        merged.append(by)
+        held += len(by)
+    by = np.concatenate(merged)
+    own = ids
+    whole = np.flatnonzero(high[number] < own)
+    if len(whole):
+        yield refs[whole], own[whole], tags[whole], start[whole], windows[whole]
+    some = np.flatnonzero((low[number] < own) & (high[number] >= own))
+    ends = np.cumsum(windows[some])
+    cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]), most)[1:], "left") + 1 if len(some) else []
+    for o in np.split(some, np.unique(cuts)) if len(some) else []:
+        if not len(o):
+            continue
+        w = windows[o]
+        row = np.repeat(np.arange(len(o)), w)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
+        gone = by[base[number[o]][row] + place] < own[o][row]
+        edge = np.append(True, row[1:] != row[:-1])
+        begin = np.flatnonzero(gone & (edge | ~np.append(False, gone[:-1])))
+        end = np.flatnonzero(gone & np.append(edge[1:] | ~gone[1:], True))
+        x = o[row[begin]]
+        yield refs[x], own[x], tags[x], start[x] + place[begin], end - begin + 1
 
 
 def repeated_windows(sent: DataFrame, length: int, n: int, groups: int, most: int = 1 << 20) -> DataFrame:
