@@ -175,6 +175,22 @@ def test_join_with_ownership(spark):
     assert not _incidents(spark, rule, [net, end, (*own[:2], 600.001, own[3])])[1]
 
 
+def test_join_by_groups_gives_the_incidents_of_all_sets(spark):
+    rule, rng = _rule("network-endpoint-activity"), random.Random(4)
+    ip = lambda: f"10.0.0.{rng.randrange(3)}"
+    rows = []
+    for i in range(90):
+        net = ("detection", f"n{i}", {"rule_id": "s", "severity": "medium", "platform": "network", "source_type": "suricata_eve", "source_ip": ip(), "destination_ip": rng.choice([ip(), "8.8.8.8", None])})
+        end = ("detection", f"e{i}", {"rule_id": "p", "severity": "high", "platform": "windows", "source_type": "windows_sysmon", "host_name": rng.choice(["A.", "b", "c"])})
+        own = ("event", f"o{i}", {"event_code": "3", "initiated": "1", "platform": "windows", "source_type": "windows_sysmon", "host_name": rng.choice(["a", "B", "d", None]), "source_ip": rng.choice(["::ffff:", ""]) + ip()})
+        kind, id, fields = rng.choice([net, end, own])
+        rows.append((kind, id, rng.randrange(0, 5000, 20), fields, rng.choice([1, 1, 700, 1400, 1501])))
+    inputs = _inputs(spark, rows).cache()
+    assert incidents.parts_of_roles(rule) == {"network_alert": ["shared_ip"], "endpoint_detection": ["host_name"], "endpoint_identity": ["shared_ip", "host_name"]}
+    every, gains = (sorted(tuple(r) for r in incidents.incident_table(rule, incidents.evaluate(rule, inputs, gains=g, keep=lambda df: df.cache()).cache(), inputs).drop("revision", "late_update_count").collect()) for g in (False, True))
+    assert every == gains and len(every) > 5
+
+
 def test_order_of_arrival_does_not_matter(spark):
     rule = _rule("host-suspicious-activity")
     rows = [_det(i, s, r) for i, (s, r) in enumerate([(0, "a"), (30, "b"), (90, "a"), (700, "c"), (1500, "a"), (1501, "b")])]

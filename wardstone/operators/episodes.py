@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
+import re
 from collections import deque
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from .correlation_rules import CorrelationRule
 
 
@@ -351,3 +355,145 @@ class GroupState:
             "input_kind": c.kind, "input_id": c.id, "action": action, "lateness": lateness, "reason": reason, "incident_id": e and e.incident, "episode_start_ms": e and e.start, "episode_end_ms": e and e.end,
             "late_accept_until_ms": e and e.deadline, "anchor_kind": e and e.anchor[0], "anchor_id": e and e.anchor[1], "anchor_ms": e and e.anchor_at, "collision_count": e and e.collisions, "members": list(added), "partial": [], "partial_start_ms": None,
         }
+
+
+def json_key(kind: str, id: str) -> str:
+    """Sorts inputs as the JSON does that Spark writes of them."""
+    if id.isalnum():
+        return f'{kind}"{id}"'
+    quoted = json.dumps(id, ensure_ascii=False)[1:]
+    return f'{kind}"' + (re.sub(r"(\\u00)([01][0-9a-f])|\\\\", lambda m: m[1] + m[2].upper() if m[1] else m[0], quoted) if "\\u00" in quoted else quoted)
+
+
+def in_sets(occurred: np.ndarray, pools: list[np.ndarray], lasts: np.ndarray, window: int) -> list[np.ndarray]:
+    """Of each pool, those that are in a set of one input per pool, all within the window, whose last occurs at one of lasts. Pools are positions by time and have nothing in common."""
+    at = [occurred[p] for p in pools]
+    low, equal, high = ([np.searchsorted(t, x, side) for t in at] for x, side in ((lasts - window, "left"), (lasts, "left"), (lasts, "right")))
+    out = []
+    for r, pool in enumerate(pools):
+        others = [k for k in range(len(pools)) if k != r]
+        whole = np.logical_and.reduce([high[k] > low[k] for k in others])
+        ends = np.logical_or.reduce([high[k] > equal[k] for k in others])  # another one is the last: any input of the window will do
+        edge = np.zeros(len(pool) + 1, np.int64)
+        np.add.at(edge, np.where(ends, low[r], equal[r])[whole], 1)
+        np.add.at(edge, high[r][whole], -1)
+        out.append(pool[np.cumsum(edge[:-1]) > 0])
+    return out
+
+
+class JoinGroup:
+    """One group of a join whose sets are all that have one input per role within the window: what the sets, in the order (last, JSON), add to episodes, without a look at each of them.
+
+    Inputs are columns in the order (occurred, kind, id); role numbers the required selectors. While an episode covers the time, which inputs fit it does not change, so the sets up to its end add
+    all inputs that are in a set of such; between episodes the first set of free inputs counts.
+    """
+
+    def __init__(self, rule: CorrelationRule, group: str, closures: dict[str, int], apart: bool, kind: list, id: list, occurred: np.ndarray, observed: np.ndarray, role: np.ndarray):
+        self.rule, self.state, self.apart = rule, GroupState(rule, group, closures, apart=apart), apart
+        self.kind, self.id, self.occurred, self.observed, self.role = kind, id, occurred, observed, role
+        self.owner = np.full(len(role), -1)
+        self.until = -1 << 62
+        keys = list(map(json_key, kind, id))
+        self.rank = np.empty(len(role), np.int64)
+        self.rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+
+    def _pools(self, ok: np.ndarray, base: int) -> list[np.ndarray]:
+        """Positions by role of what ok has from base on."""
+        at = np.flatnonzero(ok) + base
+        return [at[self.role[at] == r] for r in range(len(self.rule.require))]
+
+    def gains(self):
+        """(episode, action, members in order) of every set that begins an episode, and once for all that its later sets add."""
+        if len(set(zip(self.kind, self.id))) < len(self.role):  # an input of two roles: its sets are looked at one by one
+            yield from self._one_by_one()
+            return
+        while (chosen := self._next()) is not None:
+            chosen = np.sort(chosen)
+            first, last = chosen[0], chosen[-1]
+            anchor = (self.kind[last], self.id[last])
+            incident, start = self.state.incident(anchor), int(self.occurred[first])
+            end, closed = start + self.rule.window_ms, self.state.closures.get(incident)
+            e = Episode(incident, start, end, (end if closed is None else closed) + self.rule.lateness_ms, anchor, int(self.occurred[last]), closed)
+            n = int(self.owner.max()) + 1
+            self.owner[chosen] = n
+            yield e, "created", chosen
+            more = self._added(e, n, chosen)
+            if len(more):
+                self.owner[more] = n
+                yield e, "enriched_closed" if closed is not None and int(self.observed[more].max()) > closed else "updated", more
+            self.until = end
+
+    def _next(self) -> np.ndarray | None:
+        """The first set of free inputs that ends after the episodes so far."""
+        t, rule, n = self.occurred, self.rule, len(self.occurred)
+        reach, at, size = rule.window_ms + rule.lateness_ms, int(np.searchsorted(self.occurred, self.until, "right")), 512
+        while at < n:
+            stop = int(np.searchsorted(t, t[min(n, at + size) - 1], "right"))
+            base = int(np.searchsorted(t, t[at] - rule.window_ms, "left"))
+            part = slice(base, stop)
+            free = (self.owner[part] < 0) & (self.observed[part] - t[part] <= reach)
+            if self.apart:
+                free &= t[part] > self.until
+            pools = self._pools(free, base)
+            lasts = np.unique(np.concatenate([t[p] for p in pools]))
+            lasts = lasts[lasts >= t[at]]
+            for r in pools:
+                lasts = lasts[np.searchsorted(t[r], lasts, "right") > np.searchsorted(t[r], lasts - rule.window_ms, "left")]
+            for last in lasts:
+                found = self._least(last, [p[slice(*np.searchsorted(t[p], (last - rule.window_ms, last + 1)))] for p in pools])
+                if found is not None:
+                    return np.array(found)
+            at, size = stop, size * 2
+        return None
+
+    def _least(self, last: int, pools: list[np.ndarray]) -> list[int] | None:
+        """The least set by JSON that ends at last and is observed within its first input's window and lateness."""
+        t, seen, reach = self.occurred, self.observed, self.rule.window_ms + self.rule.lateness_ms
+        ends = [bool(len(p)) and t[p[-1]] == last for p in pools]
+
+        def pick(r: int, chosen: list[int], low: int, high: int, ended: bool):
+            if r == len(pools):
+                return chosen
+            able = pools[r]
+            able = able[(seen[able] <= np.minimum(t[able], low) + reach) & (high <= np.minimum(t[able], low) + reach)]
+            if not ended and not any(ends[r + 1 :]):
+                able = able[t[able] == last]
+            for i in able[np.argsort(self.rank[able])].tolist():
+                found = pick(r + 1, [*chosen, i], min(low, int(t[i])), max(high, int(seen[i])), ended or t[i] == last)
+                if found:
+                    return found
+            return None
+
+        return pick(0, [], 1 << 62, -1 << 62, False)
+
+    def _added(self, e: Episode, n: int, chosen: np.ndarray) -> np.ndarray:
+        """What the sets after chosen, up to the end of its episode e, add to it."""
+        t, w = self.occurred, self.rule.window_ms
+        base, stop = int(np.searchsorted(t, e.anchor_at - w, "left")), int(np.searchsorted(t, e.end, "right"))
+        part = slice(base, stop)
+        takes = (self.observed[part] <= e.deadline) & (t[part] <= (e.end if e.closed is None else e.closed))
+        pools = self._pools((self.owner[part] == n) | ((self.owner[part] < 0) & takes), base)
+        lasts = np.unique(np.concatenate([t[p] for p in pools]))
+        found = in_sets(t, pools, lasts[lasts > e.anchor_at], w)
+        own = sorted(chosen.tolist(), key=lambda c: self.role[c])
+        now = [p[t[p] <= e.anchor_at] for p in pools]
+        for r in range(len(pools)):  # sets that end with chosen's and come after it
+            after = [*[np.array([c]) for c in own[:r]], now[r][self.rank[now[r]] > self.rank[own[r]]], *now[r + 1 :]]
+            found += in_sets(t, after, np.array([e.anchor_at]), w)
+        found = np.unique(np.concatenate(found))
+        return found[(self.owner[found] < 0) & (t[found] >= e.start)]
+
+    def _one_by_one(self):
+        t, w = self.occurred, self.rule.window_ms
+        of: dict[tuple, int] = {}
+        inputs = [Input(k, i, int(a), int(b), ("member",)) for k, i, a, b in zip(self.kind, self.id, t, self.observed)]
+        for last in np.unique(t):
+            pools = self._pools((t >= last - w) & (t <= last), 0)
+            sets = (s for s in itertools.product(*[p[np.argsort(self.rank[p], kind="stable")].tolist() for p in pools]) if max(t[i] for i in s) == last and len({inputs[i].tag for i in s}) == len(s))
+            for s in sets:
+                members = sorted((inputs[i] for i in s), key=lambda p: p.order)
+                of |= {inputs[i].tag: i for i in s}
+                out = self.state.add(members[-1], [members])
+                if out["members"]:
+                    e = next(e for e in self.state.episodes if e.incident == out["incident_id"])
+                    yield e, out["action"], np.array(sorted(of[m["kind"], m["id"]] for m in out["members"]))

@@ -9,16 +9,19 @@ of one window and the open episodes.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canon
 from . import collapse, correlate
 from .correlation_rules import CorrelationRule
-from .episodes import Episode, GroupState, Input
+from .episodes import Episode, GroupState, Input, JoinGroup
 from .range_join import range_join, span_ok
 
 FIELDS = ("rule_id", "rule_version", "rule_name", "severity", "platform", "vendor", "product", "source_type", "host_name", "user_name", "user_id", "source_ip", "destination_ip", "protocol", "signature", "signature_id", "event_code", "event_category", "event_action", "event_kind", "service_name", "outcome", "initiated", "validation_id")
@@ -203,9 +206,110 @@ def join_tuples(inputs: DataFrame, rule: CorrelationRule) -> DataFrame:
     return out.select(canon.group_json(groups).alias("group_json"), found.alias("found"), F.array_max(F.transform(found, lambda i: i["occurred"])).alias("last_ms")).where("group_json IS NOT NULL")
 
 
-def evaluate(rule: CorrelationRule, inputs: DataFrame, closures: DataFrame | None = None, apart: bool = False) -> DataFrame:
-    """Decisions (DECISION): one row per candidate, which is every detection and every event that a selector chooses, or per set of a join rule. inputs: inputs_of's rows; closures: (incident_id, group_json, closed_ms). apart: a group's episodes don't overlap."""
+def parts_of_roles(rule: CorrelationRule) -> dict[str, list[str]] | None:
+    """The parts of the group that each required selector's inputs have, if the sets of a group are all combinations of its inputs within the window, else None: relations are equal parts, and
+    addresses that meet one local address at most, and some selector has all parts."""
+    meets = [r for r in rule.relations if r[2] == "intersects"]
+    equal = [r for r in rule.relations if r[2] == "equals"]
+    if len(meets) != 1 or "local_ip_set" not in (meets[0][1], meets[0][4]) or any(r[1] != r[4] for r in equal) or {r[1] for r in equal} | {"shared_ip"} != set(rule.group_by):
+        return None
+    has = {n: [g for g in rule.group_by if (n in (meets[0][0], meets[0][3]) if g == "shared_ip" else any(r[1] == g and n in (r[0], r[3]) for r in equal))] for n in rule.require}
+    joined = all(len([r for r in equal if r[1] == g]) >= sum(g in p for p in has.values()) - 1 for g in rule.group_by if g != "shared_ip")
+    return has if joined and any(len(p) == len(rule.group_by) for p in has.values()) else None
+
+
+def join_inputs(inputs: DataFrame, rule: CorrelationRule, has: dict[str, list[str]], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The inputs of a join by group: group_json, input_kind, input_id, occurred_ms, observed_ms, role (the number of the selector). has: parts_of_roles."""
+    columns = {k: F.col(f"canonical.{k}") for k in _CANONICAL}
+    columns |= _ip_sets(columns)
+    meets = next(r for r in rule.relations if r[2] == "intersects")
+    ips = {meets[0]: meets[1], meets[3]: meets[4]}
+    fields = [columns.get(f, F.col(f)).alias(f"own_{f}") for f in sorted({g for g in rule.group_by if g != "shared_ip"} | set(ips.values()))]
+    rows = keep(grouped(inputs, rule).where(F.size("roles") > 0).select("input_kind", "input_id", "occurred_ms", "observed_ms", "roles", *fields))
+    sides = {}
+    for i, n in enumerate(rule.require):
+        parts = [(F.explode(f"own_{ips[n]}") if g == "shared_ip" else F.col(f"own_{g}").cast("string")).alias(f"part_{g}") for g in has[n]]
+        sides[n] = rows.where(F.array_contains("roles", n)).select("input_kind", "input_id", "occurred_ms", "observed_ms", F.lit(i).alias("role"), *parts).dropna(subset=[f"part_{g}" for g in has[n]])
+    every = [f"part_{g}" for g in rule.group_by]
+    base = next(n for n in rule.require if len(has[n]) == len(rule.group_by))
+    groups = sides[base].select(*every).distinct()
+    for n in rule.require:  # groups that lack a selector have no set
+        if n != base:
+            groups = groups.join(sides[n].select(*[f"part_{g}" for g in has[n]]).distinct(), [f"part_{g}" for g in has[n]], "left_semi")
+    out = None
+    for n in rule.require:
+        side = sides[n].join(groups, [f"part_{g}" for g in has[n]])
+        side = side.select(canon.group_json({g: F.col(f"part_{g}") for g in rule.group_by}).alias("group_json"), "input_kind", "input_id", "occurred_ms", "observed_ms", "role")
+        out = side if out is None else out.unionByName(side)
+    return out
+
+
+def _gains(rule: CorrelationRule, apart: bool):
+    """Decisions that add members, from the inputs of join groups in order."""
+    schema = pa.schema([("input_kind", pa.string()), ("input_id", pa.string()), ("group_json", pa.string()), ("action", pa.string()), ("lateness", pa.string()), ("reason", pa.string()), ("incident_id", pa.string()), *[(n, pa.int64()) for n in ("episode_start_ms", "episode_end_ms", "late_accept_until_ms")], ("anchor_kind", pa.string()), ("anchor_id", pa.string()), ("anchor_ms", pa.int64()), ("collision_count", pa.int32()), ("members", pa.list_(pa.struct([("kind", pa.string()), ("id", pa.string()), ("role", pa.string())]))), ("partial", pa.list_(pa.string())), ("partial_start_ms", pa.int64())])
+
+    def decided(parts: list[pa.RecordBatch]) -> tuple[list[dict], list[pa.Array]]:
+        t = pa.Table.from_batches(parts)
+        col = lambda n: t.column(n).combine_chunks()
+        group, closed = t.column("group_json")[0].as_py(), t.column("closed")[0].as_py()
+        kinds, ids, seen = col("input_kind"), col("input_id"), col("observed_ms").to_numpy()
+        state = JoinGroup(rule, group, {c["incident_id"]: c["closed_ms"] for c in closed or ()}, apart, kinds.to_pylist(), ids.to_pylist(), col("occurred_ms").to_numpy(), seen, col("role").to_numpy())
+        rows, members = [], []
+        for e, action, at in state.gains():
+            last = int(at[-1])
+            roles = pa.concat_arrays([pa.repeat("supporting", len(at) - 1), pa.array(["trigger" if (state.kind[last], state.id[last]) == e.anchor else "supporting"])])
+            members.append(pa.StructArray.from_arrays([kinds.take(pa.array(at)), ids.take(pa.array(at)), roles], ["kind", "id", "role"]))
+            rows.append({
+                "input_kind": state.kind[last], "input_id": state.id[last], "group_json": group, "action": action, "lateness": "late_within_boundary" if int(seen[last]) > e.end else "on_time", "reason": "matched", "incident_id": e.incident, "episode_start_ms": e.start,
+                "episode_end_ms": e.end, "late_accept_until_ms": e.deadline, "anchor_kind": e.anchor[0], "anchor_id": e.anchor[1], "anchor_ms": e.anchor_at, "collision_count": e.collisions, "partial": [],
+            })
+        return rows, members
+
+    def batch(rows: list[dict], members: list[pa.Array]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, members)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(members))
+        return pa.RecordBatch.from_arrays([lists if f.name == "members" else pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, rows, members, size = None, [], [], [], 0
+
+        def close():
+            nonlocal size
+            if parts:
+                a, b = decided(parts)
+                rows.extend(a)
+                members.extend(b)
+                size += sum(map(len, b)) + len(a)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group, segment = b.column("group_json"), b.column("segment").to_numpy()
+            differs = np.asarray(pc.not_equal(group[1:], group[:-1])) | (segment[1:] != segment[:-1])
+            cut = np.concatenate([[0], np.flatnonzero(differs) + 1, [b.num_rows]])
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                own = (group[a].as_py(), int(segment[a]))
+                if own != key:
+                    close()
+                    key, parts = own, []
+                    if size > 50_000:
+                        yield batch(rows, members)
+                        rows, members, size = [], [], 0
+                parts.append(b.slice(a, z - a))
+        close()
+        if rows:
+            yield batch(rows, members)
+
+    return run
+
+
+def evaluate(rule: CorrelationRule, inputs: DataFrame, closures: DataFrame | None = None, apart: bool = False, gains: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Decisions (DECISION): one row per candidate, which is every detection and every event that a selector chooses, or per set of a join rule. inputs: inputs_of's rows; closures: (incident_id, group_json, closed_ms). apart: a group's episodes don't overlap.
+    gains: of a join, the set that begins an episode and one row for all that later sets add to it: the same incidents and links, but revisions and late updates aren't counted set by set. Sets then aren't made one by one, where a group's are all combinations of its inputs (parts_of_roles). keep stores a table that is read several times."""
     if rule.kind == "join":
+        if gains and (has := parts_of_roles(rule)) is not None:
+            rows = _with_closures(segmented(join_inputs(inputs, rule, has, keep), "occurred_ms", rule.window_ms), closures)
+            return rows.repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "occurred_ms", "input_kind", "input_id", "role").mapInArrow(_gains(rule, apart), DECISION)
         rows = _with_closures(segmented(join_tuples(inputs, rule), "last_ms", rule.window_ms), closures)
         return rows.repartition("group_json", "segment").sortWithinPartitions("group_json", "segment", "last_ms", F.to_json("found")).mapInPandas(_run(rule, True, apart)[0], DECISION)
     rows = grouped(inputs, rule).where("candidate")
