@@ -93,7 +93,8 @@ def _canonical_ip(values: pd.Series) -> pd.Series:
 
 def canonical_ip(c: Column) -> Column:
     """Canonical IPv4 or compressed IPv6; v4-mapped addresses become IPv4, zones and junk null."""
-    return F.coalesce(canonical_ipv4(c), _canonical_ip(F.when(F.contains(c, F.lit(":")), c)))
+    plain = canonical_ipv4(c)
+    return F.coalesce(plain, _canonical_ip(F.when(F.contains(c, F.lit(":")) & plain.isNull(), c)))
 
 
 def literal_principal(v, windows: bool) -> tuple[str, str, str] | None:

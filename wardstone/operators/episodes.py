@@ -365,135 +365,185 @@ def json_key(kind: str, id: str) -> str:
     return f'{kind}"' + (re.sub(r"(\\u00)([01][0-9a-f])|\\\\", lambda m: m[1] + m[2].upper() if m[1] else m[0], quoted) if "\\u00" in quoted else quoted)
 
 
-def in_sets(occurred: np.ndarray, pools: list[np.ndarray], lasts: np.ndarray, window: int) -> list[np.ndarray]:
-    """Of each pool, those that are in a set of one input per pool, all within the window, whose last occurs at one of lasts. Pools are positions by time and have nothing in common."""
-    at = [occurred[p] for p in pools]
-    low, equal, high = ([np.searchsorted(t, x, side) for t in at] for x, side in ((lasts - window, "left"), (lasts, "left"), (lasts, "right")))
-    out = []
-    for r, pool in enumerate(pools):
-        others = [k for k in range(len(pools)) if k != r]
-        whole = np.logical_and.reduce([high[k] > low[k] for k in others])
-        ends = np.logical_or.reduce([high[k] > equal[k] for k in others])  # another one is the last: any input of the window will do
-        edge = np.zeros(len(pool) + 1, np.int64)
-        np.add.at(edge, np.where(ends, low[r], equal[r])[whole], 1)
-        np.add.at(edge, high[r][whole], -1)
-        out.append(pool[np.cumsum(edge[:-1]) > 0])
-    return out
+class Side:
+    """Inputs of one role in the order (occurred, kind, id). rank: the order of their JSON."""
 
+    def __init__(self, kind: list, id: list, occurred: np.ndarray, observed: np.ndarray, reach: int):
+        self.kind, self.id, self.occurred, self.observed = kind, id, occurred, observed
+        keys = list(map(json_key, kind, id))
+        self.rank = np.empty(len(keys), np.int64)
+        self.rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+        #: Those that can be in a set without an owner.
+        self.near = observed - occurred <= reach
 
-class JoinGroup:
+    def order(self, i: int) -> tuple:
+        return int(self.occurred[i]), self.kind[i], self.id[i]
+
+
+class JoinSets:
     """One group of a join whose sets are all that have one input per role within the window: what the sets, in the order (last, JSON), add to episodes, without a look at each of them.
 
-    Inputs are columns in the order (occurred, kind, id); role numbers the required selectors. While an episode covers the time, which inputs fit it does not change, so the sets up to its end add
-    all inputs that are in a set of such; between episodes the first set of free inputs counts.
+    No input has two roles. While an episode covers the time, which inputs fit it does not change, so the sets up to its end add all inputs that are in a set of such; between episodes the first set
+    of free inputs counts. sides are not changed, so several groups may share one.
     """
 
-    def __init__(self, rule: CorrelationRule, group: str, closures: dict[str, int], apart: bool, kind: list, id: list, occurred: np.ndarray, observed: np.ndarray, role: np.ndarray):
-        self.rule, self.state, self.apart = rule, GroupState(rule, group, closures, apart=apart), apart
-        self.kind, self.id, self.occurred, self.observed, self.role = kind, id, occurred, observed, role
-        self.owner = np.full(len(role), -1)
+    def __init__(self, rule: CorrelationRule, group: str, closures: dict[str, int], apart: bool, sides: list[Side]):
+        self.rule, self.state, self.apart, self.sides = rule, GroupState(rule, group, closures, apart=apart), apart, sides
+        self.free = [np.ones(len(s.rank), bool) for s in sides]
+        self.able = [s.near.copy() for s in sides]
         self.until = -1 << 62
-        keys = list(map(json_key, kind, id))
-        self.rank = np.empty(len(role), np.int64)
-        self.rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-
-    def _pools(self, ok: np.ndarray, base: int) -> list[np.ndarray]:
-        """Positions by role of what ok has from base on."""
-        at = np.flatnonzero(ok) + base
-        return [at[self.role[at] == r] for r in range(len(self.rule.require))]
 
     def gains(self):
-        """(episode, action, members in order) of every set that begins an episode, and once for all that its later sets add."""
-        if len(set(zip(self.kind, self.id))) < len(self.role):  # an input of two roles: its sets are looked at one by one
-            yield from self._one_by_one()
-            return
+        """(episode, positions by role of the set that begins it, those of what its later sets add)."""
         while (chosen := self._next()) is not None:
-            chosen = np.sort(chosen)
-            first, last = chosen[0], chosen[-1]
-            anchor = (self.kind[last], self.id[last])
-            incident, start = self.state.incident(anchor), int(self.occurred[first])
-            end, closed = start + self.rule.window_ms, self.state.closures.get(incident)
-            e = Episode(incident, start, end, (end if closed is None else closed) + self.rule.lateness_ms, anchor, int(self.occurred[last]), closed)
-            n = int(self.owner.max()) + 1
-            self.owner[chosen] = n
-            yield e, "created", chosen
-            more = self._added(e, n, chosen)
-            if len(more):
-                self.owner[more] = n
-                yield e, "enriched_closed" if closed is not None and int(self.observed[more].max()) > closed else "updated", more
+            inputs = sorted((s.order(i), r) for r, (s, i) in enumerate(zip(self.sides, chosen)))
+            start, (at, *anchor) = inputs[0][0][0], inputs[-1][0]
+            incident, end = self.state.incident(tuple(anchor)), start + self.rule.window_ms
+            closed = self.state.closures.get(incident)
+            e = Episode(incident, start, end, (end if closed is None else closed) + self.rule.lateness_ms, tuple(anchor), at, closed)
+            first = [np.array([i]) for i in chosen]
+            self._take(first)
+            more = self._added(e, chosen)
+            self._take(more)
+            yield e, first, more
             self.until = end
 
-    def _next(self) -> np.ndarray | None:
+    def _take(self, found: list[np.ndarray]) -> None:
+        for free, able, at in zip(self.free, self.able, found):
+            free[at] = able[at] = False
+
+    def _first(self, r: int, low: int) -> int | None:
+        """The time of the first free input of a role from low on."""
+        t, able = self.sides[r].occurred, self.able[r]
+        i = int(t.searchsorted(low))
+        i += int(able[i:].argmax()) if i < len(t) else 0
+        return int(t[i]) if i < len(t) and able[i] else None
+
+    def _next(self) -> list[int] | None:
         """The first set of free inputs that ends after the episodes so far."""
-        t, rule, n = self.occurred, self.rule, len(self.occurred)
-        reach, at, size = rule.window_ms + rule.lateness_ms, int(np.searchsorted(self.occurred, self.until, "right")), 512
-        while at < n:
-            stop = int(np.searchsorted(t, t[min(n, at + size) - 1], "right"))
-            base = int(np.searchsorted(t, t[at] - rule.window_ms, "left"))
-            part = slice(base, stop)
-            free = (self.owner[part] < 0) & (self.observed[part] - t[part] <= reach)
-            if self.apart:
-                free &= t[part] > self.until
-            pools = self._pools(free, base)
-            lasts = np.unique(np.concatenate([t[p] for p in pools]))
-            lasts = lasts[lasts >= t[at]]
-            for r in pools:
-                lasts = lasts[np.searchsorted(t[r], lasts, "right") > np.searchsorted(t[r], lasts - rule.window_ms, "left")]
-            for last in lasts:
-                found = self._least(last, [p[slice(*np.searchsorted(t[p], (last - rule.window_ms, last + 1)))] for p in pools])
-                if found is not None:
-                    return np.array(found)
-            at, size = stop, size * 2
-        return None
+        w, roles, at = self.rule.window_ms, range(len(self.sides)), self.until
+        floor = at + 1 if self.apart else -1 << 62
+        while True:
+            last = min((x for r in roles if (x := self._first(r, at + 1)) is not None), default=None)
+            if last is None:
+                return None
+            while True:  # the first time whose window has all roles
+                low = max(last - w, floor)
+                firsts = [self._first(r, low) for r in roles]
+                if None in firsts:
+                    return None
+                if max(firsts) <= last:
+                    break
+                last = max(firsts)
+            found = self._least(last, low)
+            if found is not None:
+                return found
+            at = last
 
-    def _least(self, last: int, pools: list[np.ndarray]) -> list[int] | None:
+    def _least(self, last: int, low: int) -> list[int] | None:
         """The least set by JSON that ends at last and is observed within its first input's window and lateness."""
-        t, seen, reach = self.occurred, self.observed, self.rule.window_ms + self.rule.lateness_ms
-        ends = [bool(len(p)) and t[p[-1]] == last for p in pools]
+        reach, pools = self.rule.window_ms + self.rule.lateness_ms, []
+        for s, able in zip(self.sides, self.able):
+            part = slice(int(s.occurred.searchsorted(low)), int(s.occurred.searchsorted(last, "right")))
+            pools.append(np.flatnonzero(able[part]) + part.start)
+        ends = [bool(len(p)) and s.occurred[p[-1]] == last for s, p in zip(self.sides, pools)]
+
+        def by_rank(rank: np.ndarray):
+            if len(rank):
+                yield int(rank.argmin())
+                yield from np.argsort(rank)[1:].tolist()
 
         def pick(r: int, chosen: list[int], low: int, high: int, ended: bool):
             if r == len(pools):
                 return chosen
-            able = pools[r]
-            able = able[(seen[able] <= np.minimum(t[able], low) + reach) & (high <= np.minimum(t[able], low) + reach)]
+            s, able = self.sides[r], pools[r]
+            t = s.occurred
+            if chosen:
+                first = np.minimum(t[able], low) + reach
+                able = able[(s.observed[able] <= first) & (high <= first)]
             if not ended and not any(ends[r + 1 :]):
                 able = able[t[able] == last]
-            for i in able[np.argsort(self.rank[able])].tolist():
-                found = pick(r + 1, [*chosen, i], min(low, int(t[i])), max(high, int(seen[i])), ended or t[i] == last)
+            for n in by_rank(s.rank[able]):
+                i = int(able[n])
+                found = pick(r + 1, [*chosen, i], min(low, int(t[i])), max(high, int(s.observed[i])), ended or t[i] == last)
                 if found:
                     return found
             return None
 
         return pick(0, [], 1 << 62, -1 << 62, False)
 
-    def _added(self, e: Episode, n: int, chosen: np.ndarray) -> np.ndarray:
-        """What the sets after chosen, up to the end of its episode e, add to it."""
-        t, w = self.occurred, self.rule.window_ms
-        base, stop = int(np.searchsorted(t, e.anchor_at - w, "left")), int(np.searchsorted(t, e.end, "right"))
-        part = slice(base, stop)
-        takes = (self.observed[part] <= e.deadline) & (t[part] <= (e.end if e.closed is None else e.closed))
-        pools = self._pools((self.owner[part] == n) | ((self.owner[part] < 0) & takes), base)
-        lasts = np.unique(np.concatenate([t[p] for p in pools]))
-        found = in_sets(t, pools, lasts[lasts > e.anchor_at], w)
-        own = sorted(chosen.tolist(), key=lambda c: self.role[c])
-        now = [p[t[p] <= e.anchor_at] for p in pools]
-        for r in range(len(pools)):  # sets that end with chosen's and come after it
-            after = [*[np.array([c]) for c in own[:r]], now[r][self.rank[now[r]] > self.rank[own[r]]], *now[r + 1 :]]
-            found += in_sets(t, after, np.array([e.anchor_at]), w)
-        found = np.unique(np.concatenate(found))
-        return found[(self.owner[found] < 0) & (t[found] >= e.start)]
+    def _added(self, e: Episode, chosen: list[int]) -> list[np.ndarray]:
+        """What the sets after chosen, up to the end of its episode e, add to it.
+
+        A window that ends after the anchor, but within the episode, has chosen in it: all that fits there is in a set, and so is all before it, once another role has an input after the anchor.
+        """
+        roles, until = range(len(self.sides)), e.end if e.closed is None else min(e.end, e.closed)
+        fits, late = [], []
+        for s, free in zip(self.sides, self.free):
+            part = slice(int(s.occurred.searchsorted(e.start)), int(s.occurred.searchsorted(until, "right")))
+            at = np.flatnonzero(free[part] & (s.observed[part] <= e.deadline)) + part.start
+            fits.append(at)
+            late.append(at[int(s.occurred[at].searchsorted(e.anchor_at, "right")) :])
+        whole = [any(len(late[k]) for k in roles if k != r) for r in roles]
+        if all(whole):
+            return fits
+        found = [[fits[r] if whole[r] else late[r]] for r in roles]
+        for r, at in self._beside(e, chosen):
+            found[r].append(at[self.sides[r].occurred[at] >= e.start])
+        return [np.unique(np.concatenate(f)) for f in found]
+
+    def _beside(self, e: Episode, chosen: list[int]):
+        """(role, positions) of free inputs in sets that end with the anchor and come after chosen: up to a role they are chosen's, there a greater one."""
+        roles, last, now = range(len(self.sides)), e.anchor_at, []
+        for s, free in zip(self.sides, self.free):
+            part = slice(int(s.occurred.searchsorted(last - self.rule.window_ms)), int(s.occurred.searchsorted(last if e.closed is None else min(last, e.closed), "right")))
+            now.append(np.flatnonzero(free[part] & (s.observed[part] <= e.deadline)) + part.start)
+        ends = lambda r, at: bool((self.sides[r].occurred[at] == last).any())
+        own = [self.sides[r].occurred[chosen[r]] == last for r in roles]
+        for r in roles:
+            rank = self.sides[r].rank
+            greater = now[r][rank[now[r]] > rank[chosen[r]]]
+            if not len(greater):
+                continue
+            pools = [None] * r + [greater, *now[r + 1 :]]
+            edge = [*own[:r], ends(r, greater), *[own[k] or ends(k, now[k]) for k in roles[r + 1 :]]]
+            for k in roles[r:]:
+                at = pools[k]
+                yield k, at if any(edge[j] for j in roles if j != k) else at[self.sides[k].occurred[at] == last]
+
+
+class JoinGroup:
+    """JoinSets over the columns of one group in the order (occurred, kind, id); role numbers the required selectors. Sets of inputs that have two roles are looked at one by one."""
+
+    def __init__(self, rule: CorrelationRule, group: str, closures: dict[str, int], apart: bool, kind: list, id: list, occurred: np.ndarray, observed: np.ndarray, role: np.ndarray):
+        self.rule, self.group, self.closures, self.apart = rule, group, closures, apart
+        self.kind, self.id, self.occurred, self.observed, self.role = kind, id, occurred, observed, role
+
+    def gains(self):
+        """(episode, action, members in order) of every set that begins an episode, and once for all that its later sets add."""
+        if len(set(zip(self.kind, self.id))) < len(self.role):
+            yield from self._one_by_one()
+            return
+        at = [np.flatnonzero(self.role == r) for r in range(len(self.rule.require))]
+        sides = [Side([self.kind[i] for i in p.tolist()], [self.id[i] for i in p.tolist()], self.occurred[p], self.observed[p], self.rule.window_ms + self.rule.lateness_ms) for p in at]
+        for e, *found in JoinSets(self.rule, self.group, self.closures, self.apart, sides).gains():
+            first, more = (np.sort(np.concatenate([p[f] for p, f in zip(at, fs)])) for fs in found)
+            yield e, "created", first
+            if len(more):
+                yield e, "enriched_closed" if e.closed is not None and int(self.observed[more].max()) > e.closed else "updated", more
 
     def _one_by_one(self):
-        t, w = self.occurred, self.rule.window_ms
+        t, w, state = self.occurred, self.rule.window_ms, GroupState(self.rule, self.group, self.closures, apart=self.apart)
+        keys = list(map(json_key, self.kind, self.id))
         of: dict[tuple, int] = {}
         inputs = [Input(k, i, int(a), int(b), ("member",)) for k, i, a, b in zip(self.kind, self.id, t, self.observed)]
         for last in np.unique(t):
-            pools = self._pools((t >= last - w) & (t <= last), 0)
-            sets = (s for s in itertools.product(*[p[np.argsort(self.rank[p], kind="stable")].tolist() for p in pools]) if max(t[i] for i in s) == last and len({inputs[i].tag for i in s}) == len(s))
+            near = np.flatnonzero((t >= last - w) & (t <= last)).tolist()
+            sets = (s for s in itertools.product(*[sorted((i for i in near if self.role[i] == r), key=keys.__getitem__) for r in range(len(self.rule.require))]) if max(t[i] for i in s) == last and len({inputs[i].tag for i in s}) == len(s))
             for s in sets:
                 members = sorted((inputs[i] for i in s), key=lambda p: p.order)
                 of |= {inputs[i].tag: i for i in s}
-                out = self.state.add(members[-1], [members])
+                out = state.add(members[-1], [members])
                 if out["members"]:
-                    e = next(e for e in self.state.episodes if e.incident == out["incident_id"])
+                    e = next(e for e in state.episodes if e.incident == out["incident_id"])
                     yield e, out["action"], np.array(sorted(of[m["kind"], m["id"]] for m in out["members"]))

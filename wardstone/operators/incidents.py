@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import canon
 from . import collapse, correlate
 from .correlation_rules import CorrelationRule
-from .episodes import Episode, GroupState, Input, JoinGroup
+from .episodes import Episode, GroupState, Input, JoinGroup, JoinSets, Side
 from .range_join import range_join, span_ok
 
 FIELDS = ("rule_id", "rule_version", "rule_name", "severity", "platform", "vendor", "product", "source_type", "host_name", "user_name", "user_id", "source_ip", "destination_ip", "protocol", "signature", "signature_id", "event_code", "event_category", "event_action", "event_kind", "service_name", "outcome", "initiated", "validation_id")
@@ -34,9 +34,11 @@ _CANONICAL = ("host_name", "user_name", "source_ip", "destination_ip", "platform
 
 def inputs_of(df: DataFrame) -> DataFrame:
     """Typed inputs from rows with any of FIELDS: missing columns are null, physical duplicates collapse, conflicting ones get an invalid_reason."""
-    have = set(df.columns)
-    aligned = df.select("input_kind", "input_id", "occurred_at", "observed_at", *[(F.col(f).cast("string") if f in have else F.lit(None).cast("string")).alias(f) for f in FIELDS], (F.col("mitre_technique_ids") if "mitre_technique_ids" in have else F.array().cast("array<string>")).alias("mitre_technique_ids"))
-    one = collapse.logical_source(aligned.withColumn("key", F.concat_ws("\0", "input_kind", F.coalesce("input_id", F.lit("")))), "key", "occurred_at", "observed_at", ["input_kind", "input_id", *FIELDS, "mitre_technique_ids"])
+    have = [f for f in (*FIELDS, "mitre_technique_ids") if f in df.columns]  # those that are null everywhere tell no rows apart
+    aligned = df.select("input_kind", "input_id", "occurred_at", "observed_at", *[(F.col(f).cast("string") if f in FIELDS else F.col(f)).alias(f) for f in have])
+    one = collapse.logical_source(aligned.withColumn("key", F.concat_ws("\0", "input_kind", F.coalesce("input_id", F.lit("")))), "key", "occurred_at", "observed_at", ["input_kind", "input_id", *have])
+    given = {f: F.lit(None).cast("string") for f in FIELDS} | {"mitre_technique_ids": F.array().cast("array<string>")} | {f: F.col(f) for f in have}
+    one = one.select("key", "occurred_at", "input_kind", "input_id", *[c.alias(f) for f, c in given.items()], "observed_at", "variants", "copies", "invalid_reason")
     blank = F.when(F.trim(F.coalesce("input_id", F.lit(""))) == "", "blank_input_id")
     return one.withColumn("invalid_reason", F.coalesce(blank, "invalid_reason")).drop("key")
 
@@ -46,15 +48,22 @@ def canonical(unicode_rules: bool = True) -> dict[str, Column]:
     return {"host_name": canon.canonical_host(F.col("host_name")), "user_name": F.when(principal.isNotNull(), F.to_json(principal)), "source_ip": canon.canonical_ip(F.col("source_ip")), "destination_ip": canon.canonical_ip(F.col("destination_ip")), "platform": F.lower(F.trim("platform"))}
 
 
-def _prepared(inputs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    """inputs with their canonical fields in the struct ``canonical``, and those by field. A generator keeps the optimizer from repeating the expressions at each use."""
-    fields = F.explode(F.array(F.struct(*[c.alias(k) for k, c in canonical().items()]))).alias("canonical")
-    return inputs.select("*", fields), {k: F.col(f"canonical.{k}") for k in _CANONICAL}
+def _prepared(inputs: DataFrame, used: set[str] = frozenset(_CANONICAL)) -> tuple[DataFrame, dict[str, Column]]:
+    """inputs with those of their canonical fields that are used in the struct ``canonical``, and those by field. A generator keeps the optimizer from repeating the expressions at each use."""
+    fields = F.explode(F.array(F.struct(*[c.alias(k) for k, c in canonical().items() if k in used]))).alias("canonical")
+    return inputs.select("*", fields), {k: F.col(f"canonical.{k}") for k in _CANONICAL if k in used}
+
+
+def _used(rule: CorrelationRule) -> set[str]:
+    """The canonical fields that a rule looks at."""
+    sides = {f for r in rule.relations for f in (r[1], r[4])} | {w[0] for s in rule.selectors.values() for w in s.where} | set(rule.group_by) | {rule.threshold["distinct_by"] if rule.threshold else None}
+    addresses = {"source_ip", "destination_ip"} if sides & {"ip_set", "local_ip_set", "shared_ip"} else set()
+    return {"platform"} | addresses | (sides & set(_CANONICAL))
 
 
 def grouped(inputs: DataFrame, rule: CorrelationRule) -> DataFrame:
     """inputs with their roles, the group of the rule (null where a part is missing) and clocks in milliseconds."""
-    rows, canonical_columns = _prepared(inputs)
+    rows, canonical_columns = _prepared(inputs, _used(rule))
     roles = F.filter(F.array(*[F.when(s.column(canonical_columns), F.lit(n)) for n, s in rule.selectors.items()]), lambda x: x.isNotNull())
     by = rule.threshold["distinct_by"] if rule.threshold else None
     distinct = canonical_columns.get(by, F.col(by)) if by else F.lit(None).cast("string")
@@ -74,9 +83,9 @@ def _decided(rows: DataFrame, rule: CorrelationRule) -> DataFrame:
     return rows.select(*[given.get(f.split()[0], F.lit(None)).cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in _FIELDS])
 
 
-def segmented(rows: DataFrame, at: str, window_ms: int) -> DataFrame:
+def segmented(rows: DataFrame, at: str, window_ms: int, by: str = "group_json") -> DataFrame:
     """rows with ``segment``: the time of the first row after a pause of the group that is longer than the window."""
-    w = Window.partitionBy("group_json").orderBy(at)
+    w = Window.partitionBy(by).orderBy(at)
     before = F.lag(at).over(w)
     fresh = F.when(before.isNull() | (F.col(at) - before > window_ms), F.col(at))
     return rows.withColumn("fresh_segment", fresh).withColumn("segment", F.max("fresh_segment").over(w)).drop("fresh_segment")
@@ -162,7 +171,7 @@ def _ip_sets(columns: dict[str, Column]) -> dict[str, Column]:
 def join_tuples(inputs: DataFrame, rule: CorrelationRule) -> DataFrame:
     """(group_json, found, last_ms) of all sets of required inputs within the window whose relations hold; by band joins on the relations' keys."""
     rows = grouped(inputs, rule)
-    canonical_columns = {k: F.col(f"canonical.{k}") for k in _CANONICAL}
+    canonical_columns = {k: F.col(f"canonical.{k}") for k in _used(rule)}
     canonical_columns |= _ip_sets(canonical_columns)
     sides, meets = {}, next((r for r in rule.relations if r[2] == "intersects"), None)
     for n in rule.require:
@@ -218,24 +227,29 @@ def parts_of_roles(rule: CorrelationRule) -> dict[str, list[str]] | None:
     return has if joined and any(len(p) == len(rule.group_by) for p in has.values()) else None
 
 
-def join_inputs(inputs: DataFrame, rule: CorrelationRule, has: dict[str, list[str]], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The inputs of a join by group: group_json, input_kind, input_id, occurred_ms, observed_ms, role (the number of the selector). has: parts_of_roles."""
-    columns = {k: F.col(f"canonical.{k}") for k in _CANONICAL}
+def _sides(inputs: DataFrame, rule: CorrelationRule, has: dict[str, list[str]], keep: Callable[[DataFrame], DataFrame], more: dict[str, Column]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The inputs of each selector with the parts of the group that they have, their role (the number of the selector) and the columns more; and the groups that lack no selector."""
+    columns = {k: F.col(f"canonical.{k}") for k in _used(rule)}
     columns |= _ip_sets(columns)
     meets = next(r for r in rule.relations if r[2] == "intersects")
     ips = {meets[0]: meets[1], meets[3]: meets[4]}
     fields = [columns.get(f, F.col(f)).alias(f"own_{f}") for f in sorted({g for g in rule.group_by if g != "shared_ip"} | set(ips.values()))]
-    rows = keep(grouped(inputs, rule).where(F.size("roles") > 0).select("input_kind", "input_id", "occurred_ms", "observed_ms", "roles", *fields))
+    rows = keep(grouped(inputs, rule).where(F.size("roles") > 0).select("input_kind", "input_id", "occurred_ms", "observed_ms", "roles", *[c.alias(k) for k, c in more.items()], *fields))
     sides = {}
     for i, n in enumerate(rule.require):
         parts = [(F.explode(f"own_{ips[n]}") if g == "shared_ip" else F.col(f"own_{g}").cast("string")).alias(f"part_{g}") for g in has[n]]
-        sides[n] = rows.where(F.array_contains("roles", n)).select("input_kind", "input_id", "occurred_ms", "observed_ms", F.lit(i).alias("role"), *parts).dropna(subset=[f"part_{g}" for g in has[n]])
-    every = [f"part_{g}" for g in rule.group_by]
+        sides[n] = rows.where(F.array_contains("roles", n)).select("input_kind", "input_id", "occurred_ms", "observed_ms", F.lit(i).alias("role"), *more, *parts).dropna(subset=[f"part_{g}" for g in has[n]])
     base = next(n for n in rule.require if len(has[n]) == len(rule.group_by))
-    groups = sides[base].select(*every).distinct()
+    groups = sides[base].select(*[f"part_{g}" for g in rule.group_by]).distinct()
     for n in rule.require:  # groups that lack a selector have no set
         if n != base:
             groups = groups.join(sides[n].select(*[f"part_{g}" for g in has[n]]).distinct(), [f"part_{g}" for g in has[n]], "left_semi")
+    return sides, groups
+
+
+def join_inputs(inputs: DataFrame, rule: CorrelationRule, has: dict[str, list[str]], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The inputs of a join by group: group_json, input_kind, input_id, occurred_ms, observed_ms, role (the number of the selector). has: parts_of_roles."""
+    sides, groups = _sides(inputs, rule, has, keep, {})
     out = None
     for n in rule.require:
         side = sides[n].join(groups, [f"part_{g}" for g in has[n]])
@@ -244,6 +258,154 @@ def join_inputs(inputs: DataFrame, rule: CorrelationRule, has: dict[str, list[st
     return out
 
 
+#: Groups of a hub that go to a task with one copy of what they share.
+HUB_GROUPS = 128
+
+
+def dealt_inputs(inputs: DataFrame, rule: CorrelationRule, has: dict[str, list[str]], keep: Callable[[DataFrame], DataFrame], more: dict[str, Column]) -> DataFrame:
+    """The inputs of a join by hub, which is the parts of the group that the selector with the fewest has: hub, segment, bucket, group_json and the columns of an input.
+
+    An input with no more parts than those goes once to each bucket of groups of its hub (its group_json is null), not to each group: an address with m alerts and n hosts is m * n / HUB_GROUPS rows.
+    """
+    every = list(rule.group_by)
+    hub = min((has[n] for n in rule.require), key=len)
+    json = lambda gs: canon.group_json({g: F.col(f"part_{g}") for g in gs})
+    sides, groups = _sides(inputs, rule, has, keep, more)
+    counts = groups.groupBy(*[f"part_{g}" for g in hub]).agg(F.ceil(F.count(F.lit(1)) / HUB_GROUPS).alias("buckets"))
+    bucket = F.pmod(F.xxhash64(*[f"part_{g}" for g in every]), F.col("buckets")).cast("int")
+    groups = keep(groups.join(counts, [f"part_{g}" for g in hub]).select(*[f"part_{g}" for g in every], json(hub).alias("hub"), json(every).alias("group_json"), "buckets", bucket.alias("bucket")))
+    hubs = groups.select(*[f"part_{g}" for g in hub], "hub", "buckets").distinct()
+    out = None
+    for n in rule.require:
+        shared = len(has[n]) == len(hub) < len(every) and set(has[n]) == set(hub)
+        side = sides[n].join(hubs if shared else groups, [f"part_{g}" for g in has[n]])
+        own = (F.lit(None).cast("string").alias("group_json"), F.lit(None).cast("int").alias("bucket")) if shared else ("group_json", "bucket")
+        side = side.select("hub", "buckets", *own, "input_kind", "input_id", "occurred_ms", "observed_ms", "role", *more)
+        out = side if out is None else out.unionByName(side)
+    out = segmented(out, "occurred_ms", rule.window_ms, "hub")
+    buckets = F.when(F.col("bucket").isNull(), F.sequence(F.lit(0), (F.col("buckets") - 1).cast("int"))).otherwise(F.array("bucket"))
+    return out.withColumn("bucket", F.explode(buckets)).drop("buckets")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with the same values of by."""
+    key, parts = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        differs = np.zeros(b.num_rows - 1, bool)
+        for n in by:
+            codes = b.column(n).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            differs |= codes[1:] != codes[:-1]
+        cut = np.concatenate([[0], np.flatnonzero(differs) + 1, [b.num_rows]]).tolist()
+        for a, z in zip(cut[:-1], cut[1:]):
+            own = tuple(b.column(n)[a].as_py() for n in by)
+            if own != key and parts:
+                yield key, pa.Table.from_batches(parts)
+                parts = []
+            key = own
+            parts.append(b.slice(a, z - a))
+    if parts:
+        yield key, pa.Table.from_batches(parts)
+
+
+_COUNTS = "incident_id string, group_json string, episode_start_ms long, episode_end_ms long, first_us long, last_us long, profiles array<struct<profile:string,n:bigint>>"
+
+
+def _counted(rule: CorrelationRule, apart: bool):
+    """Incidents with how many members of each profile they have, from dealt_inputs in order."""
+    schema = pa.schema([("incident_id", pa.string()), ("group_json", pa.string()), *[(n, pa.int64()) for n in ("episode_start_ms", "episode_end_ms", "first_us", "last_us")], ("profiles", pa.list_(pa.struct([("profile", pa.string()), ("n", pa.int64())])))])
+    roles, reach = range(len(rule.require)), rule.window_ms + rule.lateness_ms
+
+    def sides_of(t: pa.Table) -> dict[int, tuple]:
+        """Of each role: its Side, the number of each input's profile, the profiles, clocks in microseconds and whether some input has several roles."""
+        role, out = t.column("role").to_numpy(), {}
+        for r in np.unique(role).tolist():
+            at = np.flatnonzero(role == r)
+            own = t.slice(int(at[0]), len(at)) if at[-1] - at[0] + 1 == len(at) else t.take(pa.array(at))
+            col = lambda n: own.column(n).combine_chunks()  # noqa: B023, E731
+            profile = col("profile").dictionary_encode()
+            side = Side(col("input_kind").to_pylist(), col("input_id").to_pylist(), col("occurred_ms").to_numpy(), col("observed_ms").to_numpy(), reach)
+            out[r] = side, profile.indices.to_numpy(), profile.dictionary.to_pylist(), col("occurred_us").to_numpy(), bool((col("n_roles").to_numpy() > 1).any())
+        return out
+
+    def twice(sides: list[Side]) -> bool:
+        return len({m for s in sides for m in zip(s.kind, s.id)}) < sum(len(s.id) for s in sides)
+
+    def by_sets(group: str, closures: dict, sides: list[Side]):
+        """Episodes and their members by role, of sides that have inputs in common: each such input counts once."""
+        rows = sorted((*s.order(i), r, i) for r, s in enumerate(sides) for i in range(len(s.id)))
+        joined = JoinGroup(rule, group, closures, apart, [x[1] for x in rows], [x[2] for x in rows], np.array([x[0] for x in rows]), np.array([int(sides[x[3]].observed[x[4]]) for x in rows]), np.array([x[3] for x in rows]))
+        found: dict[str, tuple] = {}
+        for e, _, members in joined.gains():
+            found.setdefault(e.incident, (e, {}))[1].update({rows[m][1:3]: rows[m][3:] for m in members.tolist()})
+        for e, members in found.values():
+            yield e, [np.array([i for q, i in members.values() if q == r], np.int64) for r in roles]
+
+    def incidents_of(group: str, closures: dict, columns: list[tuple]):
+        sides = [c[0] for c in columns]
+        if any(c[4] for c in columns) and twice(sides):
+            episodes = by_sets(group, closures, sides)
+        else:
+            episodes = ((e, [np.concatenate(x) for x in zip(a, b)]) for e, a, b in JoinSets(rule, group, closures, apart, sides).gains())
+        for e, members in episodes:
+            n, first, last = {}, [], []
+            for at, (_, codes, profiles, us, _) in zip(members, columns):
+                if len(at):
+                    for p, k in zip(profiles, np.bincount(codes[at], minlength=len(profiles)).tolist()):
+                        if k:
+                            n[p] = n.get(p, 0) + k
+                    first.append(int(us[at].min()))
+                    last.append(int(us[at].max()))
+            yield {"incident_id": e.incident, "group_json": group, "episode_start_ms": e.start, "episode_end_ms": e.end, "first_us": min(first), "last_us": max(last), "profiles": [{"profile": p, "n": k} for p, k in n.items()]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shared, rows = None, {}, []
+        for (*own, group), t in _chunks(batches, ["hub", "segment", "bucket", "group_json"]):
+            if own != key:
+                key, shared = own, {}
+            if group is None:
+                shared = sides_of(t)
+                continue
+            columns = shared | sides_of(t)
+            if len(columns) == len(roles):
+                closed = t.column("closed")[0].as_py()
+                rows.extend(incidents_of(group, {c["incident_id"]: c["closed_ms"] for c in closed or ()}, [columns[r] for r in roles]))
+            if len(rows) > 5000:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
+
+
+def join_rollup(rule: CorrelationRule, inputs: DataFrame, closures: DataFrame | None = None, apart: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """incident_table of a join's evaluate(gains=True), but for revision and late_update_count. Where a group's sets are all combinations of its inputs, members are counted by what the table tells of
+    them (their profile) where they are found, and no link is written: their number is that of groups times what these share."""
+    if (has := parts_of_roles(rule)) is None:
+        rows = keep(inputs)
+        return incident_table(rule, keep(evaluate(rule, rows, closures, apart, True, keep)), rows).drop("revision", "late_update_count")
+    profile = F.to_json(F.struct("input_kind", "severity", "source_type", "rule_id", "mitre_technique_ids"))
+    more = {"profile": profile, "occurred_us": F.unix_micros(F.col("occurred_at").cast("timestamp")), "n_roles": F.size("roles")}
+    rows = _with_closures(dealt_inputs(inputs, rule, has, keep, more), closures)
+    by = ["hub", "segment", "bucket"]
+    found = rows.repartition(*by).sortWithinPartitions(*by, F.col("group_json").asc_nulls_first(), "role", "occurred_ms", "input_kind", "input_id").mapInArrow(_counted(rule, apart), _COUNTS)
+    told = F.transform("profiles", lambda p: F.struct(F.from_json(p["profile"], "input_kind string, severity string, source_type string, rule_id string, mitre_technique_ids array<string>").alias("of"), p["n"].alias("n")))
+    found = found.select("*", F.explode(F.array(told)).alias("told"))
+    each = lambda c: F.transform("told", lambda p: c(p["of"]))
+    total = lambda keep: F.aggregate(F.filter("told", keep), F.lit(0).cast("bigint"), lambda n, p: n + p["n"])
+    distinct = lambda c: F.array_sort(F.array_distinct(F.filter(each(c), lambda x: x.isNotNull())))
+    rank = F.greatest(F.lit(correlate.SEVERITY[rule.incident["severity"]]), F.array_max(each(lambda p: correlate.severity_rank(p["severity"]))))
+    rules = distinct(lambda p: p["rule_id"])
+    return found.select(
+        "incident_id", total(lambda p: F.lit(True)).alias("input_count"), total(lambda p: p["of"]["input_kind"] == "detection").alias("detection_count"), total(lambda p: p["of"]["input_kind"] == "event").alias("event_count"), rank.alias("severity_rank"),
+        F.timestamp_micros("first_us").alias("first_seen"), F.timestamp_micros("last_us").alias("last_seen"), F.size(rules).cast("bigint").alias("distinct_rule_count"), F.size(distinct(lambda p: correlate.source_family(p["source_type"]))).cast("bigint").alias("source_family_count"), rules.alias("rule_ids"),
+        F.array_sort(F.array_distinct(F.concat(F.flatten(F.filter(each(lambda p: p["mitre_technique_ids"]), lambda x: x.isNotNull())), F.array(*[F.lit(t) for t in rule.techniques]).cast("array<string>")))).alias("mitre_technique_ids"),
+        "group_json", "episode_start_ms", "episode_end_ms", correlate.severity_name(rank).alias("severity"), F.lit(rule.incident["confidence"]).alias("confidence"), F.lit(rule.incident["type"]).alias("incident_type"), title(rule).alias("incident_title"), F.lit("new").alias("status"),
+    )
+
+
 def _gains(rule: CorrelationRule, apart: bool):
     """Decisions that add members, from the inputs of join groups in order."""
     schema = pa.schema([("input_kind", pa.string()), ("input_id", pa.string()), ("group_json", pa.string()), ("action", pa.string()), ("lateness", pa.string()), ("reason", pa.string()), ("incident_id", pa.string()), *[(n, pa.int64()) for n in ("episode_start_ms", "episode_end_ms", "late_accept_until_ms")], ("anchor_kind", pa.string()), ("anchor_id", pa.string()), ("anchor_ms", pa.int64()), ("collision_count", pa.int32()), ("members", pa.list_(pa.struct([("kind", pa.string()), ("id", pa.string()), ("role", pa.string())]))), ("partial", pa.list_(pa.string())), ("partial_start_ms", pa.int64())])
